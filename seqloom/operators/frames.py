@@ -74,7 +74,7 @@ def hand_shape(frames: DataFrame, hand_min: float = L.HAND_MIN_SPAN) -> DataFram
     """Adds per hand the RMS span, the updated flag (0 for a degenerate hand)."""
     for side in ("l", "r"):
         h = f"{side}hand"
-        sq = "+".join(f"power({h}[{2 * i}]-{h}[0],2)+power({h}[{2 * i + 1}]-{h}[1],2)" for i in range(1, L.N_HAND))
+        sq = "+".join(f"({h}[{j}]-{h}[{j % 2}])*({h}[{j}]-{h}[{j % 2}])" for j in range(2, 2 * L.N_HAND))
         frames = frames.withColumn(f"_{side}span", F.expr(f"sqrt(({sq})/{L.N_HAND})"))
         frames = frames.withColumn(f"{side}flag", F.expr(f"if({h}_ok and _{side}span >= {hand_min}D, 1.0D, 0.0D)"))
         frames = frames.withColumn(f"{side}span", F.expr(f"if(_{side}span < {hand_min}D, 1.0D, _{side}span)")).drop(f"_{side}span")
@@ -106,14 +106,20 @@ def static_features(frames: DataFrame, hand_min: float = L.HAND_MIN_SPAN, scale_
         + _global_sql("face", L.N_FACE)
         + _local_sql("l")
         + _local_sql("r")
-        + ["lflag", "rflag"]
     )
-    clamped = [f"greatest(-{L.CLAMP}D, least({L.CLAMP}D, {v}))" for v in vals]
+
+    def clamp(v: str) -> str:
+        return f"greatest(-{L.CLAMP}D, least({L.CLAMP}D, {v}))"
+
+    # The lambda over the two flags keeps this projection out of the fused stage,
+    # whose single method would exceed the JVM's size limit; Spark then compiles
+    # the wide array in pieces.
+    static = f"concat({_array(map(clamp, vals))}, transform(array(lflag, rflag), v -> {clamp('v')}))"
     keep = [c for c in frames.columns if c not in ("pose", "pose_f", "pose_vis", "lhand", "rhand", "face", "lhand_ok", "rhand_ok", "pose_ok")]
-    return f.selectExpr(*keep, f"{_array(clamped)} as static")
+    return f.selectExpr(*keep, f"{static} as static")
 
 
-def resample(static: DataFrame, n_out: int = L.SEQ_LEN, dims: int = L.DIM_STATIC, carry: tuple[str, ...] = ()) -> DataFrame:
+def resample(static: DataFrame, n_out: int = L.SEQ_LEN, carry: tuple[str, ...] = ()) -> DataFrame:
     """Linear interpolation of each clip's ``static`` onto ``n_out`` steps.
 
     Every frame emits the steps that fall between it and its successor, so no
@@ -121,7 +127,6 @@ def resample(static: DataFrame, n_out: int = L.SEQ_LEN, dims: int = L.DIM_STATIC
     """
     order = W.partitionBy("clip_id").orderBy("frame_idx")
     whole = W.partitionBy("clip_id")
-    pos = f"_k*(_t-1)/{n_out - 1}"
     steps = F.expr(
         f"""case when _t = 1 then sequence(0, {n_out - 1})
                  else filter(sequence(cast(floor(_i*{n_out - 1}/(_t-1)) as int), cast(least({n_out - 1}, ceil((_i+1)*{n_out - 1}/(_t-1))) as int)),
@@ -137,16 +142,17 @@ def resample(static: DataFrame, n_out: int = L.SEQ_LEN, dims: int = L.DIM_STATIC
     )
     f = f.withColumn("step", F.explode(steps))
     f = f.withColumn("_w", F.expr(f"if(_t = 1, 0.0D, step*(_t-1)/{n_out - 1} - _i)"))
-    lerp = [f"static[{j}] + _w*(_next[{j}]-static[{j}])" for j in range(dims)]
-    return f.withColumn("_next", F.coalesce("_next", "static")).selectExpr("clip_id", *carry, "step", f"{_array(lerp)} as static")
+    lerp = "if(_next is null or _w = 0, static, zip_with(static, _next, (a, b) -> a + _w*(b-a)))"
+    return f.selectExpr("clip_id", *carry, "step", f"{lerp} as static")
 
 
 def add_velocity(steps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Appends the step-to-step change of the 142 global values; step 0 gets 0."""
     order = W.partitionBy("clip_id").orderBy("step")
     prev = steps.withColumn("_prev", F.coalesce(F.lag("static").over(order), F.col("static")))
-    vals = [f"static[{j}]" for j in range(L.DIM_STATIC)] + [f"static[{j}]-_prev[{j}]" for j in range(L.DIM_GLOBAL)]
-    return prev.selectExpr("clip_id", *carry, "step", f"{_array(vals)} as window")
+    n = L.DIM_GLOBAL
+    vel = f"zip_with(slice(static, 1, {n}), slice(_prev, 1, {n}), (a, b) -> a - b)"
+    return prev.selectExpr("clip_id", *carry, "step", f"concat(static, {vel}) as window")
 
 
 def build_window(
@@ -196,5 +202,9 @@ def slice_clip(frames: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def long_rows(df: DataFrame, keys: list[str], col: str, digits: int = 5) -> DataFrame:
-    """One row per array element: keys, dim, v."""
-    return df.select(*keys, F.posexplode(col).alias("dim", "v")).select(*keys, "dim", (F.round("v", digits) + 0.0).alias("v"))
+    """One row per array element: keys, dim, v.
+
+    The outer form keeps Spark from inferring a size(col) > 0 filter, which it
+    would push down by copying the whole array expression.
+    """
+    return df.select(*keys, F.posexplode_outer(col).alias("dim", "v")).select(*keys, "dim", (F.round("v", digits) + 0.0).alias("v"))

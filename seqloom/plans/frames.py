@@ -24,9 +24,9 @@ def keypoint_project(spark, sf):
 
 def pose_ffill(spark, sf):
     f = V.embedding_frames(spark, sf).select("clip_id", "frame_idx", "pose", "pose_ok")
-    keep = O.forward_fill_pose(f).select("clip_id", "frame_idx", F.lit("keep").alias("leading"), "pose_f")
-    back = O.forward_fill_pose(f, "backfill").select("clip_id", "frame_idx", F.lit("backfill").alias("leading"), "pose_f")
-    return O.long_rows(keep.unionByName(back), ["clip_id", "frame_idx", "leading"], "pose_f", 6)
+    keep = O.forward_fill_pose(f).select("clip_id", "frame_idx", F.lit("keep").alias("mode"), "pose_f")
+    back = O.forward_fill_pose(f, "backfill").select("clip_id", "frame_idx", F.lit("backfill").alias("mode"), "pose_f")
+    return O.long_rows(keep.unionByName(back), ["clip_id", "frame_idx", "mode"], "pose_f", 6)
 
 
 def body_frame(spark, sf):
@@ -102,9 +102,9 @@ REGISTRY = {
         pose_ffill,
         f"""with {FRAMES}, x as (select *, max(case when pose_ok then f end) over (partition by clip_id order by f) as src,
               min(case when pose_ok then f end) over (partition by clip_id) as fst from fr),
-            y as (select clip_id, f, 'keep' as leading, coalesce(src, f) as s from x union all
+            y as (select clip_id, f, 'keep' as mode, coalesce(src, f) as s from x union all
                   select clip_id, f, 'backfill', coalesce(src, fst, f) from x)
-            select y.clip_id, y.f::int as frame_idx, leading, j::int as dim, round(raw[(j+1)::int], 6) {Z} as v
+            select y.clip_id, y.f::int as frame_idx, mode, j::int as dim, round(raw[(j+1)::int], 6) {Z} as v
             from y join fr on fr.clip_id = y.clip_id and fr.f = y.s, range(18) t(j)""",
     ),
     "body_frame": (

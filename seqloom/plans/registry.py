@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from seqloom.plans import catalog, frames
+from seqloom.plans import catalog, frames, scoring
 
-REGISTRY = {**catalog.REGISTRY, **frames.REGISTRY}
+REGISTRY = {**catalog.REGISTRY, **frames.REGISTRY, **scoring.REGISTRY}
