@@ -1,11 +1,160 @@
-"""Token columns."""
+"""Token columns, edit operations and sentence rules."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` evaluated once per row.
+
+    Spark re-evaluates a column expression wherever a lambda mentions it.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def token_norm(c: Column) -> Column:
     """Trimmed, white-space runs as '-', upper case."""
     return F.upper(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", "-"))
+
+
+def tokens(text: Column) -> Column:
+    """White-space tokens in upper case; blank text has none."""
+    clean = F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"\s+"))
+
+
+# A cell packs cost, substitutions and deletions; insertions follow from the cost.
+_COST, _SUB, _DEL = 1 << 40, 1 << 20, 1
+_CELLS = 1 << 21  # padded cells per diagonal block
+
+
+def edit_counts(refs: list, hyps: list) -> np.ndarray:
+    """(substitutions, deletions, insertions) per pair of token lists.
+
+    Ties prefer match/substitution, then deletion, then insertion. Pairs of
+    like size are solved together, one anti-diagonal at a time.
+    """
+    n = np.array([len(r) for r in refs], np.int64)
+    m = np.array([len(h) for h in hyps], np.int64)
+    out = np.zeros((len(refs), 3), np.int64)
+    flat = [t for r in refs for t in r] + [t for h in hyps for t in h]
+    codes = pd.factorize(np.array(flat, dtype=object))[0] if flat else np.zeros(0, np.int64)
+    r_at = np.concatenate([[0], np.cumsum(n)])
+    h_at = n.sum() + np.concatenate([[0], np.cumsum(m)])
+    order = np.argsort(n + m, kind="stable")
+    start = 0
+    while start < len(order):
+        size = max(1, _CELLS // int((n[order[start:]].max() + 1))) if start < len(order) else 1
+        block = order[start : start + min(size, 512)]
+        start += len(block)
+        out[block] = _edit_block(codes, r_at[block], h_at[block], n[block], m[block])
+    return out
+
+
+def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
+    rows, width, height = len(n), int(n.max()), int(m.max())
+    ref = np.full((rows, width + 1), -1, np.int64)
+    hyp = np.full((rows, height + 1), -2, np.int64)
+    for b in range(rows):
+        ref[b, 1 : n[b] + 1] = codes[r_at[b] : r_at[b] + n[b]]
+        hyp[b, 1 : m[b] + 1] = codes[h_at[b] : h_at[b] + m[b]]
+    last = np.zeros((rows, width + 1), np.int64)
+    older = np.zeros_like(last)
+    final = np.zeros(rows, np.int64)
+    for k in range(1, width + height + 1):
+        now = np.zeros_like(last)
+        lo, hi = max(1, k - height), min(k - 1, width)
+        if lo <= hi:
+            i = np.arange(lo, hi + 1)
+            sub = older[:, i - 1] + (ref[:, i] != hyp[:, k - i]) * (_COST + _SUB)
+            dele = last[:, i - 1] + (_COST + _DEL)
+            ins = last[:, i] + _COST
+            cs, cd, ci = sub >> 40, dele >> 40, ins >> 40
+            now[:, i] = np.where((cs <= cd) & (cs <= ci), sub, np.where(cd <= ci, dele, ins))
+        if k <= height:
+            now[:, 0] = k * _COST
+        if k <= width:
+            now[:, k] = k * (_COST + _DEL)
+        done = n + m == k
+        final[done] = now[done, n[done]]
+        older, last = last, now
+    cost, s, d = final >> 40, (final >> 20) & 0xFFFFF, final & 0xFFFFF
+    return np.stack([s, d, cost - s - d], axis=1)
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("sub", "dele", "ins")]))
+def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(edit_counts(list(ref), list(hyp)), columns=["sub", "dele", "ins"])
+
+
+def sentence(items: Column, insert_tense: bool = True) -> Column:
+    """Array of {vi, pos, tense} in signing order to one written sentence.
+
+    Time words go first; only the first negation stays, before the first
+    verb/adjective (else last); a copula joins noun phrases when there is no
+    verb; the first time word with a tense marks the first verb unless negated.
+    """
+
+    def is_pos(*pos: str) -> Callable[[Column], Column]:
+        return lambda x: F.coalesce(x.getField("pos"), F.lit("")).isin(*pos)
+
+    def not_pos(*pos: str) -> Callable[[Column], Column]:
+        return lambda x: ~is_pos(*pos)(x)
+
+    def first_of(a: Column, *pos: str) -> Column:
+        return F.array_position(F.transform(a, is_pos(*pos)), True).cast("int")
+
+    def place_negation(rest: Column, negs: Column) -> Column:
+        at = first_of(rest, "VERB", "ADJ")
+        first = F.slice(negs, 1, 1)
+        return let(
+            at,
+            lambda i: F.when(F.size(negs) == 0, rest)
+            .when(i > 0, F.concat(F.slice(rest, F.lit(1), i - 1), first, F.slice(rest, i, F.size(rest))))
+            .otherwise(F.concat(rest, first)),
+        )
+
+    none = F.array().cast("array<string>")
+
+    def words(s: Column) -> Column:
+        def word(x: Column, i: Column) -> Column:
+            before = F.get(s.seq, i - 1)
+            copula = (i > 0) & is_pos("NOUN", "PRON")(before) & is_pos("NOUN")(x) & (s.verb == 0)
+            mark = F.when((i == s.verb - 1) & ~s.neg, s.mark).otherwise(none)
+            return F.concat(F.when(copula, F.array(F.lit("là"))).otherwise(none), mark, F.array(x.getField("vi")))
+
+        return F.flatten(F.transform(s.seq, word))
+
+    def finish(t: Column, wh: Column) -> Column:
+        return F.when(t == "", "").otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)), F.when(wh, "?").otherwise(".")))
+
+    def build(all_items: Column) -> Column:
+        times = F.filter(all_items, is_pos("TIME"))
+        rest = F.filter(all_items, not_pos("TIME", "NEG"))
+        negs = F.filter(all_items, is_pos("NEG"))
+        tense = F.get(F.filter(times, lambda x: F.coalesce(x.getField("tense"), F.lit("")) != ""), F.lit(0)).getField("tense")
+        mark = F.when(tense == "past", F.array(F.lit("đã"))).when(tense == "fut", F.array(F.lit("sẽ"))).otherwise(none)
+        seq = F.concat(times, place_negation(rest, negs))
+        state = let(
+            seq,
+            lambda q: F.struct(
+                q.alias("seq"),
+                first_of(q, "VERB").alias("verb"),
+                (F.size(negs) > 0).alias("neg"),
+                (mark if insert_tense else none).alias("mark"),
+                F.exists(q, is_pos("WH")).alias("wh"),
+            ),
+        )
+        return let(
+            state,
+            lambda s: let(F.trim(F.regexp_replace(F.array_join(words(s), " "), r"\s+", " ")), lambda t: finish(t, s.wh)),
+        )
+
+    return F.when(F.size(items) == 0, "").otherwise(let(items, build))

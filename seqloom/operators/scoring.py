@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import layout as L
+from seqloom.functions.text import let
 
 
 def softmax(logits: Column) -> Column:
     """Shift by the maximum, exponentiate, divide by the sum."""
-    e = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+
+    def scale(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return let(logits, lambda z: let(F.array_max(z), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), scale)))
 
 
 @dataclass

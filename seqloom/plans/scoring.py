@@ -218,7 +218,8 @@ REGISTRY = {
     ),
     "top_confusions": (
         top_confusions,
-        f"""with {RUNS}, {ONE}, c as (select run, y, pred, count(*) as n, sum(count(*)) over (partition by run, y) as t from o where run = 'vectors' group by all)
+        f"""with {RUNS}, {ONE}, b as (select run, y, pred, count(*) as n from o where run = 'vectors' group by run, y, pred),
+            c as (select *, sum(n) over (partition by run, y) as t from b)
             select run, y as actual, pred as predicted, n, round(n/t, 5) as rate from c where y <> pred order by n desc, run, actual, predicted limit 20""",
     ),
     "confidence_curve": (
