@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from seqloom.plans import catalog, frames, scoring, segments, text
+from seqloom.plans import catalog, expansion, frames, scoring, segments, text
 
-REGISTRY = {**catalog.REGISTRY, **frames.REGISTRY, **scoring.REGISTRY, **text.REGISTRY, **segments.REGISTRY}
+REGISTRY = {**catalog.REGISTRY, **frames.REGISTRY, **scoring.REGISTRY, **text.REGISTRY, **segments.REGISTRY, **expansion.REGISTRY}

@@ -43,7 +43,7 @@ def online_energy(spark, sf):
 def rate_ema(spark, sf):
     ev = V.event_stream(spark, sf).select("stream_id", "ts", "frame_idx")
     r = O.rate_ema(ev.withColumn("us_in", F.unix_micros("ts")), "stream_id", ["ts", "frame_idx"], "us_in")
-    return r.select("stream_id", "frame_idx", F.round(F.nanvl("rate", F.lit(None)), 6).alias("rate"))
+    return r.select("stream_id", "frame_idx", F.round(F.when(~F.isnan("rate"), F.col("rate")), 6).alias("rate"))
 
 
 def latency_stats(spark, sf):
@@ -107,8 +107,9 @@ def seg_windows_sql(rules: L.SegmentRules) -> str:
 
 EV = """src as (select user_id as stream_id, row_number() over (partition by user_id order by ts, event_id) as rn, event_id as id, value as energy, event_type <> 'error' as hands from events)"""
 
-RATE = """rs as (select user_id as k, event_id, row_number() over (partition by user_id order by ts, event_id) as rn,
-    1.0::double / greatest((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6::double, 1e-4::double) as x from events),
+RATE = """r0 as (select user_id as k, event_id, row_number() over (partition by user_id order by ts, event_id) as rn,
+    (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6::double as dt from events),
+rs as (select *, case when dt is not null then 1.0::double / greatest(dt, 1e-4::double) end as x from r0),
 re as (select k, rn, event_id, x as rate from rs where rn = 1
   union all select rs.k, rs.rn, rs.event_id, case when re.rate is null then rs.x else 0.9*re.rate + 0.1*rs.x end from re join rs on rs.k = re.k and rs.rn = re.rn + 1)"""
 
