@@ -168,6 +168,12 @@ def build_window(
     return add_velocity(resample(s, n_out, carry=carry), carry)
 
 
+def window_mean(windows: DataFrame, dims: int = L.DIM_GLOBAL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One vector per clip: the mean over the steps of the first ``dims`` values."""
+    mean = F.expr(_array(f"avg(window[{j}])" for j in range(dims)))
+    return windows.groupBy("clip_id", *carry).agg(mean.alias("vec"))
+
+
 def pad_empty_clips(windows: DataFrame, clips: DataFrame, n_out: int = L.SEQ_LEN, width: int = L.DIM_WINDOW) -> DataFrame:
     """Zero windows for clips that have no frame at all."""
     missing = clips.select("clip_id").join(windows.select("clip_id").distinct(), "clip_id", "left_anti")

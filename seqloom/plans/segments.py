@@ -7,11 +7,14 @@ from pyspark.sql import Window as W
 
 from seqloom.functions import layout as L
 from seqloom.functions.text import sentence
+from seqloom.operators import frames as FR
 from seqloom.operators import gloss as G
+from seqloom.operators import scoring as C
 from seqloom.operators import segments as O
 from seqloom.operators.ordered_scan import Counter, ordered_scan
 from seqloom.operators.ranking import exact_percentiles
 from seqloom.plans import frames_sql as FS
+from seqloom.plans import scoring as SC
 from seqloom.plans import text as TX
 from seqloom.sources import surrogates as V
 
@@ -40,6 +43,36 @@ def online_energy(spark, sf):
     return e.select("stream_id", "vec_id", F.round("energy", 5).alias("energy"))
 
 
+LIVE_RULES = L.SegmentRules(hi=40.0, lo=25.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=1)
+GATE = L.GateRules(0.35, 0.05)
+EMIT_SCALE = 3.0
+
+
+def stream_emissions(spark, sf):
+    """Live frames to energy, segments, windows, classes and gated emissions.
+
+    The two scans carry only ids and energies; landmarks join back by frame id
+    for the segments' frames alone.
+    """
+    live = _live_frames(spark, sf)
+    energy = O.online_energy(live, "stream_id", ["vec_id"], ["hands"])
+    seg = O.segment(energy, "stream_id", ["vec_id"], LIVE_RULES)
+    want = O.segment_windows(seg, "stream_id", "vec_id", LIVE_RULES).select(
+        F.concat(F.col("stream_id").cast("string"), F.lit(":"), F.col("seg_id").cast("string")).alias("clip_id"),
+        "stream_id", "seg_id", "n", F.col("pos").alias("frame_idx"), "vec_id",
+    )
+    frames = want.join(live.drop("clip_id", "frame_idx", "stream_id"), "vec_id")
+    ids = ("stream_id", "seg_id", "n")
+    feats = FR.window_mean(FR.build_window(frames, hand_min=FS.HAND_MIN, scale_min=FS.SCALE_MIN, carry=ids), carry=ids)
+    clips = V.embedding_frames(spark, sf)
+    known = FR.window_mean(FR.build_window(clips, hand_min=FS.HAND_MIN, scale_min=FS.SCALE_MIN, carry=("label",)), carry=("label",))
+    model = C.fit_centroids(known, L.DIM_GLOBAL, 10, EMIT_SCALE, y="label")
+    scored = model.transform(feats)
+    name = F.when(F.col("pred") == 9, L.NOSIGN).otherwise(F.concat(F.lit("SIGN-"), F.col("pred").cast("string")))
+    out = C.gate(scored.withColumn("gloss", name), GATE, "gloss")
+    return out.select("stream_id", "seg_id", "gloss", F.round("conf", 5).alias("conf"), F.round("margin", 5).alias("margin"), F.col("n").cast("int").alias("frames"))
+
+
 def rate_ema(spark, sf):
     ev = V.event_stream(spark, sf).select("stream_id", "ts", "frame_idx")
     r = O.rate_ema(ev.withColumn("us_in", F.unix_micros("ts")), "stream_id", ["ts", "frame_idx"], "us_in")
@@ -125,7 +158,23 @@ lf4 as (select *, case when p is null or not (ml or mr) then 0.0 else ((case whe
 en as (select label, 0::bigint as rn, 0.0::double as energy, null::bigint as vec_id, null::boolean as hands from (select distinct label from lf4)
   union all select en.label, l.rn, case when good then 0.6*energy + 0.4*v else 0.7*energy end, l.vec_id, l.hands from en join lf4 l on l.label = en.label and l.rn = en.rn + 1)"""
 
+_LIVE = "lsrc as (select label as stream_id, rn, vec_id as id, energy, hands from en where rn > 0)"
+
+EMIT = f"""with recursive {FS.FRAMES}, {ENERGY}, {_LIVE}, {fsm_sql('lsrc', 'stream_id', LIVE_RULES)}, {seg_windows_sql(LIVE_RULES)},
+allf as (select label::int as y, clip_id, f, raw, pose_ok, lhand_ok, rhand_ok, 'train' as fold from fr
+  union all select -1, sw.stream_id||':'||seg_id, pos, raw, pose_ok, lhand_ok, rhand_ok, 'test' from sw join fr on fr.vec_id = sw.id),
+{FS.chain('allf')}, {FS.resampled()},
+mv as (select clip_id, dim, avg(v) as v from rsm where dim < 142 group by all),
+mf as (select clip_id, any_value(y) as y, any_value(fold) as orig_split, any_value(fold) as fold, any_value(vec) as vec
+  from (select clip_id, list(v order by dim) as vec from mv group by clip_id) join (select distinct clip_id, y, fold from allf) using (clip_id) group by clip_id),
+{SC._run_sql('emit', 'mf', L.DIM_GLOBAL, EMIT_SCALE)},
+x as (select clip_id, any_value(pred) as pred, max(p) as conf, max(p) - max(case when cls <> pred then p end) as margin from emit group by clip_id)
+select string_split(clip_id, ':')[1]::int as stream_id, string_split(clip_id, ':')[2]::bigint as seg_id, 'SIGN-'||pred as gloss,
+  round(conf, 5) as conf, round(margin, 5) as margin, (select count(*) from allf a where a.clip_id = x.clip_id)::int as frames
+from x where pred <> 9 and conf >= {GATE.conf} and margin >= {GATE.margin}"""
+
 REGISTRY = {
+    "stream_emissions": (stream_emissions, EMIT),
     "segment_events": (
         segment_events,
         f"with recursive {EV}, {fsm_sql('src', 'stream_id', RULES)} select stream_id, id as frame_idx, frame_no, event, seg_len::int as seg_len from seg",
