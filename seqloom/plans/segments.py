@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,7 +18,9 @@ from seqloom.operators.ranking import exact_percentiles
 from seqloom.plans import frames_sql as FS
 from seqloom.plans import scoring as SC
 from seqloom.plans import text as TX
+from seqloom.session import shared_dir
 from seqloom.sources import surrogates as V
+from seqloom.streaming import live as live_ops
 
 RULES = L.SegmentRules(hi=60.0, lo=20.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=1)
 
@@ -29,6 +33,19 @@ def segment_events(spark, sf):
     return _segmented(spark, sf).select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
 
 
+def segment_stream(spark, sf):
+    """The same events from a Structured Streaming run over the events table."""
+    schema = V.table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    live = rows.select(
+        F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_idx"),
+        F.col("value").alias("energy"), (F.col("event_type") != "error").alias("hands"),
+    )
+    run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    out = live_ops.run_available(live_ops.segment_stream(live, rules=RULES), f"{run}/out", f"{run}/state")
+    return out.select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
+
+
 def segment_windows(spark, sf):
     return O.segment_windows(_segmented(spark, sf), "stream_id", "frame_idx", RULES).select("stream_id", "seg_id", "pos", "frame_idx")
 
@@ -179,6 +196,10 @@ REGISTRY = {
         segment_events,
         f"with recursive {EV}, {fsm_sql('src', 'stream_id', RULES)} select stream_id, id as frame_idx, frame_no, event, seg_len::int as seg_len from seg",
     ),
+    "segment_stream": (
+        segment_stream,
+        f"with recursive {EV}, {fsm_sql('src', 'stream_id', RULES)} select stream_id, id as frame_idx, frame_no, event, seg_len::int as seg_len from seg",
+    ),
     "segment_windows": (
         segment_windows,
         f"with recursive {EV}, {fsm_sql('src', 'stream_id', RULES)}, {seg_windows_sql(RULES)} select stream_id, seg_id, pos::int as pos, id as frame_idx from sw",
