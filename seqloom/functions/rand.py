@@ -6,6 +6,8 @@ order, so a recomputed partition yields the same draw.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def seed31(key: Column, tag: str) -> Column:
 
 def lehmer_sql(seed: str, j: str | int, mult: int) -> str:
     """SQL text: uniform in (0, 1) for draw ``j`` of ``seed`` (two Lehmer rounds)."""
-    inner = f"(({seed} + ({j}) * 7919) % {LEHMER_M}) * 48271 % {LEHMER_M}"
+    shift = j * 7919 if isinstance(j, int) else f"({j}) * 7919"
+    inner = f"(({seed} + {shift}) % {LEHMER_M}) * 48271 % {LEHMER_M}"
     return f"(((({inner}) * {mult} % {LEHMER_M}) + 1) / 2147483649.0D)"
 
 
@@ -36,4 +39,4 @@ def gauss_sql(seed: str, j: str | int) -> str:
     """SQL text: standard normal draw ``j`` of ``seed`` (Box-Muller)."""
     u1 = lehmer_sql(seed, j, 16807)
     u2 = lehmer_sql(seed, j, 69621)
-    return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
+    return f"(sqrt(-2 * ln({u1})) * cos({2 * math.pi!r}D * {u2}))"

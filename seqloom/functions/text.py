@@ -30,9 +30,12 @@ def tokens(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"\s+"))
 
 
-# A cell packs cost, substitutions and deletions; insertions follow from the cost.
-_COST, _SUB, _DEL = 1 << 40, 1 << 20, 1
-_CELLS = 1 << 21  # padded cells per diagonal block
+# A cell packs cost, the move's rank among equal costs, substitutions and
+# deletions, so the smaller number is the better move; insertions follow from
+# the cost.
+_COST, _RANK, _SUB, _DEL = 1 << 42, 1 << 40, 1 << 20, 1
+_NO_RANK = ~(3 << 40)
+_CELLS = 1 << 17  # cells per diagonal and block: a block stays in cache
 
 
 def edit_counts(refs: list, hyps: list) -> np.ndarray:
@@ -51,7 +54,7 @@ def edit_counts(refs: list, hyps: list) -> np.ndarray:
     order = np.argsort(n + m, kind="stable")
     start = 0
     while start < len(order):
-        size = max(1, _CELLS // int((n[order[start:]].max() + 1))) if start < len(order) else 1
+        size = max(1, _CELLS // int(n[order[start : start + 512]].max() + 1))
         block = order[start : start + min(size, 512)]
         start += len(block)
         out[block] = _edit_block(codes, r_at[block], h_at[block], n[block], m[block])
@@ -72,12 +75,11 @@ def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
         now = np.zeros_like(last)
         lo, hi = max(1, k - height), min(k - 1, width)
         if lo <= hi:
-            i = np.arange(lo, hi + 1)
-            sub = older[:, i - 1] + (ref[:, i] != hyp[:, k - i]) * (_COST + _SUB)
-            dele = last[:, i - 1] + (_COST + _DEL)
-            ins = last[:, i] + _COST
-            cs, cd, ci = sub >> 40, dele >> 40, ins >> 40
-            now[:, i] = np.where((cs <= cd) & (cs <= ci), sub, np.where(cd <= ci, dele, ins))
+            back = hyp[:, k - hi : k - lo + 1][:, ::-1]
+            sub = older[:, lo - 1 : hi] + (ref[:, lo : hi + 1] != back) * (_COST + _SUB)
+            dele = last[:, lo - 1 : hi] + (_COST + _RANK + _DEL)
+            ins = last[:, lo : hi + 1] + (_COST + 2 * _RANK)
+            now[:, lo : hi + 1] = np.minimum(np.minimum(sub, dele), ins) & _NO_RANK
         if k <= height:
             now[:, 0] = k * _COST
         if k <= width:
@@ -85,7 +87,7 @@ def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
         done = n + m == k
         final[done] = now[done, n[done]]
         older, last = last, now
-    cost, s, d = final >> 40, (final >> 20) & 0xFFFFF, final & 0xFFFFF
+    cost, s, d = final >> 42, (final >> 20) & 0xFFFFF, final & 0xFFFFF
     return np.stack([s, d, cost - s - d], axis=1)
 
 

@@ -84,13 +84,19 @@ def spatial_jitter(steps: DataFrame, seed: int = 42, rules: L.AugmentRules = L.A
         sx, sy = ("+_sx", "+_sy") if j < L.DIM_GLOBAL else ("", "")
         vals += [f"{x}*_c-{y}*_s{sx}", f"{x}*_s+{y}*_c{sy}"]
     vals += [f"static[{L.DIM_STATIC - 2}]", f"static[{L.DIM_STATIC - 1}]"]
-    moved = s.withColumn("_moved", F.expr("array(" + ",".join(vals) + ")"))
-    return moved.withColumn("static", _noisy("_moved", rules.noise)).select(*steps.columns)
+    return _with_noise(s, [f"({v})" for v in vals], rules.noise).select(*steps.columns)
 
 
-def _noisy(col: str, std: float) -> Column:
-    j = f"step*{L.DIM_STATIC}+i"
-    return F.expr(f"transform({col}, (v, i) -> v + {std}D * {gauss_sql('_seed', j)})")
+def _with_noise(steps: DataFrame, values: list[str], std: float) -> DataFrame:
+    """``static`` from value expressions plus normal draws keyed by (_seed, step, dim).
+
+    Written out per value so that Spark compiles it; the lambda over the two
+    flags keeps the projection out of the fused stage (see frames.static_features).
+    """
+    s = steps.withColumn("_draw", F.expr(f"_seed + step*{L.DIM_STATIC}*7919L"))
+    noisy = [f"{v} + {std}D * {gauss_sql('_draw', j)}" for j, v in enumerate(values)]
+    body = f"concat(array({','.join(noisy[:-2])}), transform(array({','.join(noisy[-2:])}), v -> v))"
+    return s.withColumn("static", F.expr(body)).drop("_draw")
 
 
 def synthetic_negatives(frames: DataFrame, ratio: float, seed: int = 42, hand_min: float = L.HAND_MIN_SPAN, scale_min: float = L.SCALE_MIN, rules: L.AugmentRules = L.AugmentRules()) -> DataFrame:
@@ -108,10 +114,10 @@ def synthetic_negatives(frames: DataFrame, ratio: float, seed: int = 42, hand_mi
     f = f.withColumn("_a", F.when(head, 0).otherwise(F.greatest(F.lit(0), F.col("_t") - F.col("_k"))))
     f = f.filter((F.col("frame_idx") >= F.col("_a")) & (F.col("frame_idx") < F.col("_a") + F.col("_k")))
     s = O.static_features(f.drop("_k"), hand_min, scale_min).filter("frame_idx = _a")
-    held = F.when(F.col("_t") < 4, F.array_repeat(F.lit(0.0), L.DIM_STATIC)).otherwise(F.col("static"))
-    s = s.select("clip_id", "_t", held.alias("_held"), seed31(F.col("clip_id"), f"rest{seed}").alias("_seed"))
+    s = s.select("clip_id", "_t", F.col("static").alias("_held"), seed31(F.col("clip_id"), f"rest{seed}").alias("_seed"))
     s = s.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(L.SEQ_LEN - 1))))
-    out = F.when(F.col("_t") < 4, F.col("_held")).otherwise(_noisy("_held", rules.rest_noise))
+    s = _with_noise(s, [f"_held[{j}]" for j in range(L.DIM_STATIC)], rules.rest_noise)
+    out = F.when(F.col("_t") < 4, F.array_repeat(F.lit(0.0), L.DIM_STATIC)).otherwise(F.col("static"))
     return s.select(F.concat(F.lit("neg:"), "clip_id").alias("clip_id"), "step", out.alias("static"))
 
 

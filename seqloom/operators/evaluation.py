@@ -16,16 +16,15 @@ def confusion(preds: DataFrame, k: int = 5) -> DataFrame:
 
 
 def class_counts(conf: DataFrame) -> DataFrame:
-    """True positives, predicted and true counts per class of y or pred."""
+    """Support, predictions, hits and top-k hits per class of y or pred."""
+    zero = F.lit(0).cast("bigint")
+    ok = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(zero)
     sides = F.array(
-        F.struct(F.col("y").alias("cls"), F.col("n").alias("sup"), F.lit(0).cast("bigint").alias("prd"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
-        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("sup"), F.col("n").alias("prd"), F.lit(0).cast("bigint").alias("tp")),
-    )
-    return (
-        conf.select("run", F.inline(sides))
-        .groupBy("run", "cls")
-        .agg(F.sum("sup").alias("support"), F.sum("prd").alias("predicted"), F.sum("tp").alias("tp"))
+        F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"), ok.alias("tp"), F.col("n_top").alias("top")),
+        F.struct(F.col("pred").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp"), zero.alias("top")),
     )
+    names = ("support", "predicted", "tp", "top")
+    return conf.select("run", F.inline(sides)).groupBy("run", "cls").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def per_class_report(preds: DataFrame) -> DataFrame:
@@ -34,26 +33,26 @@ def per_class_report(preds: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(zero)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(zero)
-    f = 2 * F.col("tp") / (F.col("support") + F.col("predicted"))
-    return c.select("run", "cls", p.alias("precision"), r.alias("recall"), f.alias("f1"), "support")
+    return c.select("run", "cls", p.alias("precision"), r.alias("recall"), _f1().alias("f1"), "support")
+
+
+def _f1():
+    return 2 * F.col("tp") / (F.col("support") + F.col("predicted"))
 
 
-def eval_metrics(preds: DataFrame, labels: str = "union", k: int = 5) -> DataFrame:
-    """Accuracy, macro-F1 and top-k per run.
+def eval_metrics(preds: DataFrame, k: int = 5) -> DataFrame:
+    """Accuracy, top-k and macro-F1 per run, from one confusion table.
 
-    labels='union' averages F1 over classes in y or pred; 'true_only' over y.
+    macro_f1 averages over classes in y or pred, macro_f1_true over y alone.
     """
-    conf = confusion(preds, k)
-    base = conf.groupBy("run").agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"),
-        (F.sum("n_top") / F.sum("n")).alias("top5"),
+    c = class_counts(confusion(preds, k))
+    return c.groupBy("run").agg(
+        F.sum("support").alias("n"),
+        (F.sum("tp") / F.sum("support")).alias("acc"),
+        (F.sum("top") / F.sum("support")).alias("top5"),
+        F.avg(_f1()).alias("macro_f1"),
+        F.avg(F.when(F.col("support") > 0, _f1())).alias("macro_f1_true"),
     )
-    cls = class_counts(conf)
-    if labels == "true_only":
-        cls = cls.filter("support > 0")
-    f1 = cls.groupBy("run").agg(F.avg(2 * F.col("tp") / (F.col("support") + F.col("predicted"))).alias("macro_f1"))
-    return base.join(f1, "run")
 
 
 def top_confusions(preds: DataFrame, k: int = 20) -> DataFrame:

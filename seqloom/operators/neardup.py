@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import exact_percentiles
+from seqloom.session import shared_dir
 
 SEGMENTS = 8
 SLOTS = 8  # sampled training clips per bucket for the first upper bound
@@ -79,7 +80,13 @@ def nearest_in_label(clips: DataFrame, dims: int) -> DataFrame:
 
 
 def near_dup_profile(near: DataFrame, cohort: str, thresholds=(0.02, 0.05, 0.1)) -> DataFrame:
-    """Distribution of dmin per cohort and the share below each threshold."""
+    """Distribution of dmin per cohort and the share below each threshold.
+
+    ``near`` (one number per test clip) is checkpointed: the search behind it is
+    costly and the report reads it several times.
+    """
+    shared_dir(near.sparkSession)
+    near = near.select(cohort, "dmin").checkpoint()
     shares = [F.avg((F.col("dmin") < t).cast("double")).alias("below_" + str(t).replace(".", "_")) for t in thresholds]
     base = near.groupBy(cohort).agg(
         F.count("*").alias("n"), F.avg("dmin").alias("mean"), F.stddev_samp("dmin").alias("std"), F.min("dmin").alias("min"), F.max("dmin").alias("max"), *shares

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from seqloom.functions import layout as L
@@ -99,7 +101,7 @@ def _dropout(src: str) -> str:
 
 def _gauss(seed: str, j: str) -> str:
     u1, u2 = (lehmer_sql(seed, j, m).replace("2147483649.0D", "2147483649.0::double") for m in (16807, 69621))
-    return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
+    return f"(sqrt(-2 * ln({u1})) * cos({2 * math.pi!r}::double * {u2}))"
 
 
 def _jitter(src: str) -> str:
