@@ -6,8 +6,7 @@ order, so a recomputed partition yields the same draw.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +27,12 @@ def seed31(key: Column, tag: str) -> Column:
     return F.conv(F.substring(hash_hex(key, tag), 1, 7), 16, 10).cast("bigint") + F.lit(1)
 
 
-def lehmer_sql(seed: str, j: str | int, mult: int) -> str:
-    """SQL text: uniform in (0, 1) for draw ``j`` of ``seed`` (two Lehmer rounds)."""
-    shift = j * 7919 if isinstance(j, int) else f"({j}) * 7919"
-    inner = f"(({seed} + {shift}) % {LEHMER_M}) * 48271 % {LEHMER_M}"
-    return f"(((({inner}) * {mult} % {LEHMER_M}) + 1) / 2147483649.0D)"
+def lehmer_draws(seed: np.ndarray, j: np.ndarray, mult: int) -> np.ndarray:
+    """Uniforms in (0, 1) for draw ``j`` of ``seed``: two Lehmer rounds."""
+    first = (seed + j * 7919) % LEHMER_M * 48271 % LEHMER_M
+    return (first * mult % LEHMER_M + 1) / 2147483649.0
 
 
-def gauss_sql(seed: str, j: str | int) -> str:
-    """SQL text: standard normal draw ``j`` of ``seed`` (Box-Muller)."""
-    u1 = lehmer_sql(seed, j, 16807)
-    u2 = lehmer_sql(seed, j, 69621)
-    return f"(sqrt(-2 * ln({u1})) * cos({2 * math.pi!r}D * {u2}))"
+def gauss_draws(seed: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Standard normals for draw ``j`` of ``seed`` (Box-Muller)."""
+    return np.sqrt(-2.0 * np.log(lehmer_draws(seed, j, 16807))) * np.cos(2 * np.pi * lehmer_draws(seed, j, 69621))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seqloom.functions import layout as L
+from seqloom.operators.scoring import mean_vector
 
 
 def _array(items) -> str:
@@ -170,8 +171,7 @@ def build_window(
 
 def window_mean(windows: DataFrame, dims: int = L.DIM_GLOBAL, carry: tuple[str, ...] = ()) -> DataFrame:
     """One vector per clip: the mean over the steps of the first ``dims`` values."""
-    mean = F.expr(_array(f"avg(window[{j}])" for j in range(dims)))
-    return windows.groupBy("clip_id", *carry).agg(mean.alias("vec"))
+    return windows.groupBy("clip_id", *carry).agg(mean_vector(F.slice("window", 1, dims)).alias("vec"))
 
 
 def pad_empty_clips(windows: DataFrame, clips: DataFrame, n_out: int = L.SEQ_LEN, width: int = L.DIM_WINDOW) -> DataFrame:

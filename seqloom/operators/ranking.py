@@ -48,7 +48,7 @@ def hash_cuts(keys: DataFrame, key: str, tag: str, fracs: list[tuple[float, int]
     total = total.withColumn("ks", F.array(*ks))
     targets = (
         total.select("n", F.posexplode("ks").alias("cut", "k"), "bs")
-        .select("n", "cut", "k", F.expr("filter(bs, b -> b._before < k and k <= b._before + b._n)[0]").alias("b"))
+        .select("n", "cut", "k", F.expr("get(filter(bs, b -> b._before < k and k <= b._before + b._n), 0)").alias("b"))
         .select("cut", "k", "n", F.col("b._b").alias("_b"), (F.col("k") - F.col("b._before")).alias("_want"))
     )
     w = W.partitionBy("cut", "_b").orderBy("_h")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def softmax(logits: Column) -> Column:
     return let(logits, lambda z: let(F.array_max(z), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), scale)))
 
 
+def mean_vector(vec: Column) -> Column:
+    """Element-wise mean of an array column, as one partial aggregate."""
+    return vector_to_array(Summarizer.mean(array_to_vector(vec)))
+
+
 @dataclass
 class CentroidModel:
     """Mean vector per class index; logits are -scale * squared distance."""
@@ -55,7 +62,7 @@ class CentroidModel:
 
 def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y: str = "y", vec: str = "vec") -> CentroidModel:
     """One aggregation; the model is n_classes x dims numbers, whatever the data size."""
-    means = train.groupBy(y).agg(F.array(*[F.avg(F.col(vec)[i]) for i in range(dims)]).alias("c"))
+    means = train.groupBy(y).agg(mean_vector(F.slice(vec, 1, dims)).alias("c"))
     c = np.full((n_classes, dims), 1e6)  # a class without training rows is never nearest
     for row in means.limit(n_classes + 1).collect():
         c[row[y]] = row["c"]
@@ -65,14 +72,12 @@ def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y:
 def fit_logistic(train: DataFrame, y: str = "y", vec: str = "vec", **params):
     """Multinomial logistic regression on the same vectors (pyspark.ml)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
 
     data = train.select(F.col(y).cast("double").alias("label"), array_to_vector(F.col(vec)).alias("features"))
     return LogisticRegression(**params).fit(data)
 
 
 def logistic_transform(model, df: DataFrame, vec: str = "vec") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     s = model.transform(df.withColumn("features", array_to_vector(F.col(vec))))
     return s.withColumn("prob", vector_to_array("probability")).withColumn("pred", F.col("prediction").cast("int")).drop(

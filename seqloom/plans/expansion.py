@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from seqloom.functions import layout as L
-from seqloom.functions.rand import lehmer_sql, uniform
+from seqloom.functions.rand import uniform
 from seqloom.operators import augment as A
 from seqloom.operators import frames as O
 from seqloom.operators import neardup as N
@@ -100,8 +98,9 @@ def _dropout(src: str) -> str:
 
 
 def _gauss(seed: str, j: str) -> str:
-    u1, u2 = (lehmer_sql(seed, j, m).replace("2147483649.0D", "2147483649.0::double") for m in (16807, 69621))
-    return f"(sqrt(-2 * ln({u1})) * cos({2 * math.pi!r}::double * {u2}))"
+    first = f"(({seed} + ({j}) * 7919) % 2147483647) * 48271 % 2147483647"
+    u1, u2 = (f"((({first}) * {m} % 2147483647) + 1) / 2147483649.0::double" for m in (16807, 69621))
+    return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * ({u2})))"
 
 
 def _jitter(src: str) -> str:

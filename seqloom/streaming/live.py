@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqloom.functions import layout as L
 from seqloom.operators.segments import EnergyScan, SegmentScan, wrist_columns
+from seqloom.session import pickled_by_value
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -67,11 +68,9 @@ def segment_stream(
     use_keyed_state(frames.sparkSession)
     by_name = {f.name: f for f in frames.schema.fields}
     schema = T.StructType([by_name[key], by_name[order[-1]]] + [T.StructField(n, t) for n, t in SegmentScan.outputs])
-    return (
-        frames.withWatermark(order[0], watermark)
-        .groupBy(key)
-        .transformWithStateInPandas(SegmentProcessor(key, list(order), rules), schema, "Append", "EventTime")
-    )
+    groups = frames.withWatermark(order[0], watermark).groupBy(key)
+    with pickled_by_value():
+        return groups.transformWithStateInPandas(SegmentProcessor(key, list(order), rules), schema, "Append", "EventTime")
 
 
 class LiveProcessor(StatefulProcessor):
@@ -127,7 +126,8 @@ def segment_frame_stream(frames: DataFrame, key: str, order: tuple[str, ...], ru
         + [by_name[key], T.StructField("seg_id", by_name[order[-1]].dataType), T.StructField("n", T.IntegerType()), T.StructField("frame_idx", T.IntegerType())]
     )
     proc = LiveProcessor(key, list(order), PAYLOAD, rules)
-    return f.withWatermark(order[0], watermark).groupBy(key).transformWithStateInPandas(proc, schema, "Append", "EventTime")
+    with pickled_by_value():
+        return f.withWatermark(order[0], watermark).groupBy(key).transformWithStateInPandas(proc, schema, "Append", "EventTime")
 
 
 def each_batch(classify: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
