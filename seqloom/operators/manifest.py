@@ -219,20 +219,22 @@ def catalog_summary(clips: DataFrame, min_det_rate: float = 0.3, min_frames: int
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:
-    """Counts by split and by source and in total, in one grouping-sets pass."""
+    """Counts by split and by source and in total, in one grouping-sets pass
+    over rows merged per (split, source, label, group, signer)."""
     split = F.when(F.col("split") == "", "(untagged)").otherwise(F.col("split"))
-    m = manifest.select(split.alias("split"), "source", "label", "group_id", "signer_id")
+    m = manifest.groupBy(split.alias("split"), "source", "label", "group_id", "signer_id").agg(F.count("*").alias("n"))
+    signed = F.col("signer_id") != ""
     g = m.groupingSets(
         [[F.col("split")], [F.col("source")], []],
         F.col("split"),
         F.col("source"),
     ).agg(
         F.grouping_id().alias("gid"),
-        F.count("*").alias("clips"),
+        F.sum("n").alias("clips"),
         F.count_distinct("label").alias("labels"),
         F.count_distinct("group_id").alias("groups"),
-        F.count_distinct(F.when(F.col("signer_id") != "", F.col("signer_id"))).alias("signers"),
-        F.count_if(F.col("signer_id") != "").alias("signer_clips"),
+        F.count_distinct(F.when(signed, F.col("signer_id"))).alias("signers"),
+        F.sum(F.when(signed, F.col("n")).otherwise(0)).alias("signer_clips"),
     )
     return g.select(
         F.when(F.col("gid") == 1, "split").when(F.col("gid") == 2, "source").otherwise("all").alias("level"),
@@ -284,6 +286,11 @@ def label_map(manifest: DataFrame, with_nosign: bool = True, nosign: str = "__NO
     return packed.select(F.posexplode("a").alias("idx", "s")).select("idx", F.col("s.label").alias("label"))
 
 
+def with_label_index(clips: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``idx`` by label; Spark broadcasts the label dictionary while it is small."""
+    return clips.join(labels.select("label", "idx"), "label")
+
+
 def class_weights(train: DataFrame, labels: DataFrame, lo: float = 0.2, hi: float = 5.0) -> DataFrame:
     """Inverse-frequency weights; a class without clips gets the mean count."""
     n = train.groupBy("label").agg(F.count("*").alias("n"))

@@ -22,9 +22,15 @@ def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
     return counts.select(bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), "_n")
 
 
-def global_ordinal(df: DataFrame, order: Column, bucket: Column) -> DataFrame:
-    """Adds ``ordinal`` = 1-based position by ``order``; ``bucket`` must rise with it."""
-    b = df.withColumn("_b", bucket).withColumn("_o", order)
+def global_ordinal(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
+    """Adds ``ordinal`` = 1-based position by the unique integer column ``order``.
+
+    The value range is cut into a fixed number of buckets, so the offset table
+    stays small and each task ranks one bucket.
+    """
+    span = df.agg(F.struct(F.min(order).alias("lo"), (F.max(order) - F.min(order) + 1).alias("w")).alias("s")).scalar()
+    b = df.withColumn("_s", span).withColumn("_o", F.col(order))
+    b = b.withColumn("_b", F.floor((F.col("_o") - F.col("_s.lo")) / F.col("_s.w") * buckets)).drop("_s")
     off = _offsets(b.groupBy("_b").agg(F.count("*").alias("_n")), "_b").drop("_n")
     w = W.partitionBy("_b").orderBy("_o")
     return b.join(off, "_b").withColumn("ordinal", F.row_number().over(w) + F.col("_before")).drop("_b", "_o", "_before")

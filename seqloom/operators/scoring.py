@@ -64,7 +64,10 @@ def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y:
     """One aggregation; the model is n_classes x dims numbers, whatever the data size."""
     means = train.groupBy(y).agg(mean_vector(F.slice(vec, 1, dims)).alias("c"))
     c = np.full((n_classes, dims), 1e6)  # a class without training rows is never nearest
-    for row in means.limit(n_classes + 1).collect():
+    rows = means.take(n_classes + 1)
+    if len(rows) > n_classes:
+        raise ValueError(f"more than {n_classes} classes in the training rows")
+    for row in rows:
         c[row[y]] = row["c"]
     return CentroidModel(c, scale)
 
@@ -124,9 +127,9 @@ def ensemble(preds: DataFrame, runs: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("run", "prob"))).alias("m"),
         F.min("y").alias("y"),
         F.max("y").alias("_y2"),
-        F.count_distinct("run").alias("_runs"),
     )
-    same = (F.size("m") == len(runs)) & (F.col("_runs") == len(runs)) & (F.col("y") == F.col("_y2"))
+    n_runs = F.size(F.array_distinct("m.run"))
+    same = (F.size("m") == len(runs)) & (n_runs == len(runs)) & (F.col("y") == F.col("_y2"))
     total = F.expr("aggregate(slice(m, 2, size(m)), m[0].prob, (acc, x) -> zip_with(acc, x.prob, (a, b) -> a + b))")
     prob = F.when(same, total).otherwise(F.raise_error(F.lit("runs disagree on test rows or labels")))
     return g.select("clip_id", F.lit("+".join(runs)).alias("run"), "y", prob.alias("prob")).withColumn(

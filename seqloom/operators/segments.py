@@ -80,7 +80,7 @@ class SegmentScan:
         return (seen + len(syms), code), out
 
     def identity(self):
-        every = np.arange(self.next.shape[1])
+        every = np.arange(self.next.shape[1], dtype=np.int16)
         return (0, every, every)
 
     def fold(self, summary, rows):
@@ -90,7 +90,7 @@ class SegmentScan:
             states = self.next[s][states]
             if i % 16 == 15 and len(states) > 1:  # different entry states soon meet
                 states, back = np.unique(states, return_inverse=True)
-                to = back[to]
+                to = back.astype(np.int16)[to]
         return (n + len(syms), to, states)
 
     def resume(self, summary, state):

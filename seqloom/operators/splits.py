@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from seqloom.functions.rand import hash_hex
-from seqloom.operators.ranking import hash_cuts
+from seqloom.operators.ranking import HASH_PREFIX, hash_cuts
 
 KEY_BY_MODE = {"random": "stem", "group": "group_id", "signer": "signer_id", "provided": "group_id"}
 
@@ -76,8 +77,11 @@ def assert_no_leakage(folded: DataFrame, key: str) -> None:
 
 
 def split_report(folded: DataFrame) -> DataFrame:
-    return folded.groupBy("fold").agg(
-        F.count("*").alias("clips"),
+    """Clips, labels, groups and named signers per fold; the distinct counts run
+    on rows already merged per (fold, label, group, signer)."""
+    base = folded.groupBy("fold", "label", "group_id", "signer_id").agg(F.count("*").alias("n"))
+    return base.groupBy("fold").agg(
+        F.sum("n").alias("clips"),
         F.count_distinct("label").alias("labels"),
         F.count_distinct("group_id").alias("groups"),
         F.count_distinct(F.when(F.col("signer_id") != "", F.col("signer_id"))).alias("signers"),
@@ -90,10 +94,8 @@ def stratified_fraction(manifest: DataFrame, fraction: float, seed: int = 42, ro
     A label is cut into hash-prefix buckets, so even a label with most of the
     rows is ranked in many tasks.
     """
-    from pyspark.sql import Window as W
-
     h = hash_hex(F.col(row_id), f"frac{seed}")
-    m = manifest.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    m = manifest.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, HASH_PREFIX))
     per = m.groupBy("label", "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy("label").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     off = per.select(

@@ -126,8 +126,8 @@ def complete_sources(spark, sf):
 def ordinal_pairing(spark, sf):
     vids = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     refs = V.table(spark, sf, "documents").filter("lang <> 'en'").select("doc_id")
-    v = R.global_ordinal(vids, F.col("conv_id"), F.expr("conv_id div 4096"))
-    r = R.global_ordinal(refs, F.col("doc_id"), F.expr("doc_id div 4096"))
+    v = R.global_ordinal(vids, "conv_id")
+    r = R.global_ordinal(refs, "doc_id")
     return v.join(r, "ordinal").select("ordinal", "conv_id", "turns", "doc_id")
 
 

@@ -22,10 +22,10 @@ def test_softmax(spark):
 
 def test_macro_f1_label_sets(spark):
     """Class 2 is predicted but never true: it counts as 0 in the union."""
-    m = E.eval_metrics(preds(spark, [(0, [0.9, 0.1, 0]), (0, [0.1, 0, 0.9]), (1, [0, 1.0, 0])])).first()
+    m = E.eval_metrics(preds(spark, [(0, [0.9, 0.1, 0.0]), (0, [0.1, 0.0, 0.9]), (1, [0.0, 1.0, 0.0])])).first()
     assert m["acc"] == pytest.approx(2 / 3)
     assert m["macro_f1"] == pytest.approx((2 / 3 + 1 + 0) / 3) and m["macro_f1_true"] == pytest.approx((2 / 3 + 1) / 2)
-    rep = {r["cls"]: r for r in E.per_class_report(preds(spark, [(0, [0.9, 0.1, 0]), (0, [0.1, 0, 0.9])])).collect()}
+    rep = {r["cls"]: r for r in E.per_class_report(preds(spark, [(0, [0.9, 0.1, 0.0]), (0, [0.1, 0.0, 0.9])])).collect()}
     assert rep[2]["support"] == 0 and rep[2]["precision"] == 0.0 and rep[0]["recall"] == 0.5
 
 
