@@ -105,7 +105,7 @@ def _replay(scan: Scan, key: str, entry: dict[int, Any], names: list[str]):
 
 
 def ordered_scan(df: DataFrame, key: str, order: list[str], scan: Scan) -> DataFrame:
-    """Adds the scan's outputs to each row of ``df``, per key in ``order``.
+    """Adds (or replaces) the scan's outputs on each row of ``df``, per key in ``order``.
 
     ``order`` must be unique within a key. The sorted rows are checkpointed to
     the shared folder: both passes must see the same partitions even if an
@@ -129,8 +129,9 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], scan: Scan) -> DataF
         if goes_on:
             entry[r["part"]] = state_in
         last_key, last_state = tail, (scan.resume(head, state_in) if first == tail else state)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, t) for n, t in scan.outputs])
-    return placed.mapInPandas(_replay(scan, key, entry, df.columns), schema)
+    new = [T.StructField(n, t) for n, t in scan.outputs]
+    kept = [f for f in df.schema.fields if f.name not in {n.name for n in new}]
+    return placed.mapInPandas(_replay(scan, key, entry, [f.name for f in kept]), T.StructType(kept + new))
 
 
 class Counter:
