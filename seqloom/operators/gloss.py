@@ -67,7 +67,7 @@ def lookup(tokens: DataFrame, lex: DataFrame, gloss: str = "gloss") -> DataFrame
     The lexicon is a dictionary keyed by gloss; Spark broadcasts it when small
     and splits hot glosses (AQE) when it is not.
     """
-    t = tokens.withColumn("norm", token_norm(F.col(gloss)))
+    t = tokens.drop("vi", "pos", "tense").withColumn("norm", token_norm(F.col(gloss)))
     entry = lex.select(F.col("gloss").alias("norm"), F.struct("vi", "pos", "tense").alias("_e"))
     unknown = F.struct(
         F.lower(F.translate("norm", "-", " ")).alias("vi"), F.lit("X").alias("pos"), F.lit(None).cast("string").alias("tense")
@@ -80,9 +80,9 @@ def translate(tokens: DataFrame, lex: DataFrame, by: list[str], order: str, inse
 
     Sentences without a single real gloss come out as ''.
     """
-    e = lookup(tokens, lex)
+    e = lookup(tokens.select(*by, F.col(order).alias("_ord"), "gloss"), lex)
     real = (F.coalesce("gloss", F.lit("")) != "") & ~F.col("gloss").startswith("__")
-    item = F.when(real, F.struct(F.col(order).alias("ord"), "vi", "pos", "tense"))
+    item = F.when(real, F.struct(F.col("_ord").alias("ord"), "vi", "pos", "tense"))
     g = e.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return g.select(*by, sentence(F.col("items"), insert_tense).alias("sentence"))
 

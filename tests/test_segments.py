@@ -167,7 +167,7 @@ def test_live_frames_equal_batch_windows(spark, tmp_path):
     shake = np.where((np.arange(150) // 25 % 2 == 0)[:, None], rng.normal(0, 0.02, (150, 2)), 0.0)
     p["pose"][:, 5] += shake
     for i in range(150):
-        rows.append(("s", base + pd.Timedelta(milliseconds=40 * i), i, 25.0, 0.04, *[p[k][i].ravel().tolist() for k in ("pose", "lhand", "rhand", "face")], p["vis"][i].tolist(), True, True, True))
+        rows.append(("s", (base + pd.Timedelta(milliseconds=40 * i)).to_pydatetime(), i, 25.0, 0.04, *[p[k][i].ravel().tolist() for k in ("pose", "lhand", "rhand", "face")], p["vis"][i].tolist(), True, True, True))
     schema = "stream_id string, ts timestamp, i int, fps double, dt double, pose array<double>, lhand array<double>, rhand array<double>, face array<double>, pose_vis array<double>, pose_ok boolean, lhand_ok boolean, rhand_ok boolean"
     src = tmp_path / "in"
     for a, b in ((0, 70), (70, 150)):
