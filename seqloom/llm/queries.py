@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.llm import line_rules
 from seqloom.sources.surrogates import table
 
 
+def op3_steady_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.line_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.packing import pack
 
@@ -25,5 +39,11 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_tree_bpe, op8_id_files)}
-SQL: dict[str, str] = {}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.dart_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_steady_toxicity, op5_line_rules, op6_best_fit_packing, op7_tree_bpe, op8_id_files, op10_dart_minhash)}
+SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL}
