@@ -15,6 +15,12 @@ def op3_steady_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.multi_index import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.line_rules import judge
 
@@ -45,5 +51,5 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_steady_toxicity, op5_line_rules, op6_best_fit_packing, op7_tree_bpe, op8_id_files, op10_dart_minhash)}
+QUERIES = {f.__name__: f for f in (op3_steady_toxicity, op4_multi_index, op5_line_rules, op6_best_fit_packing, op7_tree_bpe, op8_id_files, op10_dart_minhash)}
 SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL}
