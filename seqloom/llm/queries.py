@@ -8,6 +8,18 @@ from seqloom.llm import line_rules
 from seqloom.sources.surrogates import table
 
 
+def op1_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.prefix_free import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.quotations import reply_order
+
+    return reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op3_steady_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.toxicity import fit, score
 
@@ -45,11 +57,23 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(table(spark, sf_dir, "documents"))
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.html_layout import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqloom.llm.dart_minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_steady_toxicity, op4_multi_index, op5_line_rules, op6_best_fit_packing, op7_tree_bpe, op8_id_files, op10_dart_minhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_prefix_free_repeats, op2_quotations, op3_steady_toxicity, op4_multi_index, op5_line_rules,
+        op6_best_fit_packing, op7_tree_bpe, op8_id_files, op9_html_layout, op10_dart_minhash,
+    )
+}
 SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL}
