@@ -26,8 +26,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares a band with probability 0.9999
 COORDINATES = BANDS * BAND_ROWS
-BLOCK = 256  # signatures compared at once
-SURE = 0.55  # pairs whose signatures agree less are out: 7 standard errors below the similarity asked for
+BLOCK_BYTES = 1 << 20  # of shingles held against each other at once
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
@@ -37,7 +36,7 @@ _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[[b for b in range(128) if chr(b).isalnum() or b == 95]] = True
 
-_SIGS = "row bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, sig binary"
+_SIGS = "row bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>"
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -155,8 +154,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.bincount(of, minlength=n)
         bands = band_hashes(sig)
         offsets = np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)
-        cols = [pa.array(np.arange(row, row + n)), *batch.columns[:3], pa.array(weight), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))), pa.array([s.tobytes() for s in sig], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k1", "k2", "n", "bands", "sig"])
+        cols = [pa.array(np.arange(row, row + n)), *batch.columns[:3], pa.array(weight), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1)))]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k1", "k2", "n", "bands"])
         row += n
 
 
@@ -201,15 +200,24 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(own.mapInArrow(_shingled, "node bigint, set binary"), "shingles")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of texts that share a bucket but no component yet, and whose signatures agree enough.
+def shared_elements(x: np.ndarray, sorted_elements: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """How many of x's elements each owner of the sorted elements has."""
+    low, high = np.searchsorted(sorted_elements, x, "left"), np.searchsorted(sorted_elements, x, "right")
+    n = high - low
+    at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.bincount(owner[at], minlength=owners)
 
-    In each bucket the texts outside its first text's component are held against all
-    of the bucket, block by block: a row of the join is a pair of blocks.
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a bucket but no component yet, written; links that join nothing new are left out.
+
+    In each bucket the texts outside its first component are held against all of the
+    bucket, block by block and exactly: a row of the join is a pair of blocks of about
+    BLOCK_BYTES, and only links come out of it.
     """
-    lead = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most")
-    rows = members.join(lead, "bucket").withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as bigint))"))
-    packed = F.collect_list(F.struct("node", "component", "sig")).alias("rows")
+    lead = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum(F.length("set") + 64).alias("bytes")).where("least < most")
+    rows = members.join(lead, "bucket").withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(bytes / {BLOCK_BYTES}) as bigint))"))
+    packed = F.collect_list(F.struct("node", "component", "set")).alias("rows")  # about BLOCK_BYTES
     every = rows.groupBy("bucket", "block").agg(packed)
     rest = rows.where("component <> least").groupBy("bucket", "block").agg(packed)
     blocks = rest.select("bucket", F.col("rows").alias("x")).join(every.select("bucket", F.col("rows").alias("y")), "bucket").select("x", "y")
@@ -218,15 +226,22 @@ def _across(members: DataFrame) -> DataFrame:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
                 x, y = x.values, y.values
-                sx, sy = (np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint32).reshape(len(v), -1) for v in (x, y))
-                nx, ny, cx, cy = x.field("node").to_numpy(), y.field("node").to_numpy(), x.field("component").to_numpy(), y.field("component").to_numpy()
-                same = np.zeros((len(nx), len(ny)), np.int32)
-                for j in range(sx.shape[1]):
-                    same += sx[:, j, None] == sy[None, :, j]
-                i, j = np.nonzero((same >= SURE * sx.shape[1]) & (cx[:, None] != cy[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nx[i], ny[j])), pa.array(np.maximum(nx[i], ny[j]))], ["a", "b"])
-
-    return blocks.mapInArrow(compare, "a bigint, b bigint").distinct()
+                sets = [np.frombuffer(v, _U) for v in y.field("set").to_pylist()]
+                size = np.array([len(v) for v in sets])
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                nodes, group = y.field("node").to_pylist(), y.field("component").to_numpy().copy()
+                links = []
+                for node, component, own in zip(x.field("node").to_pylist(), x.field("component").to_pylist(), x.field("set").to_pylist()):
+                    own = np.frombuffer(own, _U)
+                    both = shared_elements(own, flat, owner, len(sets))
+                    near = np.flatnonzero((both >= similarity * (len(own) + size - both)) & (group != component))
+                    links += [(node, nodes[j]) for j in near[np.unique(group[near], return_index=True)[1]]]  # one a component
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return written(blocks.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
@@ -242,9 +257,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     linked = components(links)
     members = crowded.select("bucket", "node").join(linked, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     apart = written(members.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l < m").select("bucket"), "apart")
-    members = members.join(apart, "bucket", "left_semi").join(texts.select("node", "sig"), "node")
-    across = written(_across(members), "pairs")
-    more = _verified(across, sets, similarity)
+    more = _across(members.join(apart, "bucket", "left_semi").join(sets, "node"), similarity)
     reached = linked if more.isEmpty() else components(links.unionByName(more))
     rows = signed.select("row", "doc_id", "k1", "k2", "n").join(nodes, ["k1", "k2"]).join(reached, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("row")).alias("component")
@@ -252,7 +265,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("best"))
     out = rows.join(best, "component").select("doc_id", "k1", "k2", "n_shingles", F.col("best.d").alias("component_id"), (F.col("row") == F.col("best.r")).alias("kept"))
     out = written(out, "near-duplicates")
-    drop_written(signed, nodes, buckets, crowded, pairs, sets, links, apart, across, rows)
+    drop_written(signed, nodes, buckets, crowded, pairs, sets, links, apart, more, rows)
     return out
 
 
