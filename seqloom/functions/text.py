@@ -32,7 +32,8 @@ def tokens(text: Column) -> Column:
 
 # A cell packs cost, the move's rank among equal costs, substitutions and
 # deletions, so the smaller number is the better move; insertions follow from
-# the cost.
+# the cost. A pair of more than _MOST tokens a side could carry into the next field.
+_MOST = (1 << 20) - 1
 _COST, _RANK, _SUB, _DEL = 1 << 42, 1 << 40, 1 << 20, 1
 _NO_RANK = ~(3 << 40)
 _CELLS = 1 << 17  # cells per diagonal and block: a block stays in cache
@@ -63,6 +64,8 @@ def edit_counts(refs: list, hyps: list) -> np.ndarray:
 
 def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
     rows, width, height = len(n), int(n.max()), int(m.max())
+    if max(width, height) > _MOST:
+        raise ValueError(f"token lists of more than {_MOST} tokens")
     ref = np.full((rows, width + 1), -1, np.int64)
     hyp = np.full((rows, height + 1), -2, np.int64)
     for b in range(rows):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,12 +112,25 @@ def spatial_jitter(steps: DataFrame, seed: int = 42, rules: L.AugmentRules = L.A
 def synthetic_negatives(frames: DataFrame, ratio: float, seed: int = 42, hand_min: float = L.HAND_MIN_SPAN, scale_min: float = L.SCALE_MIN, rules: L.AugmentRules = L.AugmentRules()) -> DataFrame:
     """Static steps of a resting signer from the start or end of hash-chosen clips.
 
-    floor(n * ratio) clips give one sample each: the first frame of a short edge
-    slice, held for the whole window with slight noise.
+    floor(n * ratio) samples: the first frame of a short edge slice, held for the
+    whole window with slight noise. Above a ratio of 1 every clip gives floor(ratio)
+    samples, each with draws of its own, and hash-chosen clips one more.
     """
+    whole = int(ratio)
+    parts = [_negatives(frames, None, seed, i, hand_min, scale_min, rules) for i in range(whole)]
+    if ratio > whole or not whole:
+        parts.append(_negatives(frames, ratio - whole, seed, whole, hand_min, scale_min, rules))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _negatives(frames: DataFrame, share: float | None, seed: int, sample: int, hand_min: float, scale_min: float, rules: L.AugmentRules) -> DataFrame:
+    """One sample of each clip, or of a share of them."""
+    seed = seed + 1000 * sample
     tag = f"negative{seed}"
-    cuts = hash_cuts(frames.select("clip_id").distinct(), "clip_id", tag, [(ratio, 0)])
-    f = frames.filter(hash_hex(F.col("clip_id"), tag) <= cuts.getField("c0"))
+    f = frames
+    if share is not None:
+        cuts = hash_cuts(frames.select("clip_id").distinct(), "clip_id", tag, [(share, 0)])
+        f = f.filter(hash_hex(F.col("clip_id"), tag) <= cuts.getField("c0"))
     f = f.withColumn("_t", F.count("*").over(W.partitionBy("clip_id")))
     f = f.withColumn("_k", F.greatest(F.lit(2), F.expr("cast(_t div 8 as int)")))
     head = _draw("edge", seed) < 0.5
@@ -126,7 +141,7 @@ def synthetic_negatives(frames: DataFrame, ratio: float, seed: int = 42, hand_mi
     one, zero = F.lit(1.0), F.lit(0.0)
     shaky = jitter("static", "step", seed31(F.col("clip_id"), f"rest{seed}"), one, zero, zero, zero, F.lit(rules.rest_noise))
     out = F.when(F.col("_t") < 4, F.array_repeat(zero, L.DIM_STATIC)).otherwise(shaky)
-    return s.select(F.concat(F.lit("neg:"), "clip_id").alias("clip_id"), "step", out.alias("static"))
+    return s.select(F.concat(F.lit(f"neg{sample or ''}:"), "clip_id").alias("clip_id"), "step", out.alias("static"))
 
 
 def training_set(frames: DataFrame, labels: DataFrame, nosign_ratio: float = 0.12, mirror_p: float = 0.0, seed: int = 42, hand_min: float = L.HAND_MIN_SPAN, scale_min: float = L.SCALE_MIN) -> DataFrame:

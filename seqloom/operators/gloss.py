@@ -7,53 +7,12 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import edit_ops, sentence, token_norm
 
-# The default lexicon, gloss: (written form, part of speech, tense).
-DEFAULT_LEXICON = {
-    "TÔI": ("tôi", "PRON", None),
-    "BẠN": ("bạn", "PRON", None),
-    "ANH": ("anh", "PRON", None),
-    "CHỊ": ("chị", "PRON", None),
-    "CHÚNG-TÔI": ("chúng tôi", "PRON", None),
-    "HÔM-NAY": ("hôm nay", "TIME", "pres"),
-    "HÔM-QUA": ("hôm qua", "TIME", "past"),
-    "NGÀY-MAI": ("ngày mai", "TIME", "fut"),
-    "TUẦN-TRƯỚC": ("tuần trước", "TIME", "past"),
-    "SÁNG": ("sáng", "TIME", None),
-    "TỐI": ("tối", "TIME", None),
-    "ĐI": ("đi", "VERB", None),
-    "ĂN": ("ăn", "VERB", None),
-    "UỐNG": ("uống", "VERB", None),
-    "HỌC": ("học", "VERB", None),
-    "NGHE": ("nghe", "VERB", None),
-    "THƯƠNG": ("thương", "VERB", None),
-    "CỨU": ("cứu", "VERB", None),
-    "AN-ỦI": ("an ủi", "VERB", None),
-    "XIN-LỖI": ("xin lỗi", "VERB", None),
-    "NGHỈ-NGƠI": ("nghỉ ngơi", "VERB", None),
-    "CHỢ": ("chợ", "NOUN", None),
-    "BỆNH-VIỆN": ("bệnh viện", "NOUN", None),
-    "HỌC-SINH": ("học sinh", "NOUN", None),
-    "THỨC-ĂN": ("thức ăn", "NOUN", None),
-    "XE-ĐẠP": ("xe đạp", "NOUN", None),
-    "Ô-TÔ": ("ô tô", "NOUN", None),
-    "KHẨU-TRANG": ("khẩu trang", "NOUN", None),
-    "BẠN-THÂN": ("bạn thân", "NOUN", None),
-    "KHÔNG": ("không", "NEG", None),
-    "CHƯA": ("chưa", "NEG", None),
-    "GÌ": ("gì", "WH", None),
-    "AI": ("ai", "WH", None),
-    "ĐÂU": ("đâu", "WH", None),
-    "BAO-NHIÊU": ("bao nhiêu", "WH", None),
-    "SỐT": ("sốt", "ADJ", None),
-    "MỆT": ("mệt", "ADJ", None),
-    "VUI": ("vui", "ADJ", None),
-}
-
 LEXICON_SCHEMA = "gloss string, vi string, pos string, tense string"
 
 
-def lexicon(spark, entries: dict | None = None) -> DataFrame:
-    return spark.createDataFrame([(g, *e) for g, e in (entries or DEFAULT_LEXICON).items()], LEXICON_SCHEMA)
+def lexicon(spark, entries: dict) -> DataFrame:
+    """A lexicon table from gloss: (written form, part of speech, tense); larger ones are files (sources.io.read_lexicon)."""
+    return spark.createDataFrame([(g, *e) for g, e in entries.items()], LEXICON_SCHEMA)
 
 
 def drop_control(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from seqloom.functions.layout import MAX_FRAMES
-
 # The manifest's columns and their types, in stored order.
 MANIFEST_SCHEMA = T.StructType(
     [
@@ -35,8 +33,11 @@ VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm", ".MP4", ".AVI")
 
 
 def clip_catalog(paths: DataFrame, path: str, suffixes=VIDEO_SUFFIXES) -> DataFrame:
-    """Label (parent folder), stem and suffix of every path with an accepted suffix."""
-    bare = F.regexp_replace(F.regexp_replace(F.col(path), "[?#].*$", ""), "/+$", "")
+    """Label (parent folder), stem and suffix of every path with an accepted suffix.
+
+    Paths are file names: any character may stand in them, ``#`` and ``?`` too.
+    """
+    bare = F.regexp_replace(F.col(path), "/+$", "")
     parts = F.split(bare, "/")
     name = F.element_at(parts, -1)
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
@@ -52,7 +53,7 @@ def derive_group(stem: Column, pattern: str = r"^(\d+)") -> Column:
     """First capture of ``pattern`` anchored at the start, else the stem itself."""
     if not pattern:
         return stem
-    anchored = pattern if pattern.startswith("^") else "^(?:" + pattern + ")"
+    anchored = "^(?:" + pattern + ")"
     return F.when(stem.rlike(anchored), F.regexp_extract(stem, anchored, 1)).otherwise(stem)
 
 
@@ -76,20 +77,26 @@ def usable_clips(clips: DataFrame, min_det_rate: float = 0.3, min_frames: int =
     )
 
 
-def stride_frames(frames: DataFrame, stride: int = 1, max_frames: int = MAX_FRAMES) -> DataFrame:
-    """Every ``stride``-th frame of a clip, at most ``max_frames`` of them.
+def stride_frames(frames: DataFrame, stride: int = 1, max_frames: int | None = None) -> DataFrame:
+    """Every ``stride``-th frame of a clip; only with ``max_frames`` at most so many.
 
-    frame_idx counts 0, 1, 2, ... within a clip, so the cap is a plain filter
-    (no window, no shuffle) and bounds every later per-clip step.
+    frame_idx counts 0, 1, 2, ... within a clip, so a cap is a plain filter
+    (no window, no shuffle); ``frames_beyond`` tells what it removes.
     """
     fps = F.when(F.col("fps").isNull() | F.isnan("fps") | (F.abs("fps") == float("inf")) | (F.col("fps") <= 1e-3), 30.0).otherwise(F.col("fps"))
     return (
-        frames.filter((F.col("frame_idx") % stride == 0) & (F.col("frame_idx") < stride * max_frames))
+        frames.filter((F.col("frame_idx") % stride == 0) & (F.lit(True) if max_frames is None else F.col("frame_idx") < stride * max_frames))
         .withColumn("kept_idx", F.expr(f"cast(frame_idx div {stride} as int)"))
         .withColumn("fps", fps / stride)
     )
 
 
+def frames_beyond(frames: DataFrame, stride: int, max_frames: int) -> DataFrame:
+    """Clips that lose frames to a cap, and how many."""
+    beyond = frames.filter((F.col("frame_idx") % stride == 0) & (F.col("frame_idx") >= stride * max_frames))
+    return beyond.groupBy("clip_id").agg(F.count("*").alias("n_removed"))
+
+
 def clip_quality(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip_id").agg(
         F.count("*").alias("n_frames"),

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from seqloom.functions.rand import hash_hex
 
 HASH_PREFIX = 3  # 16^3 = 4096 buckets
-VALUE_BUCKETS = 1024
+VALUE_BUCKETS = 256
 
 
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
@@ -22,18 +22,31 @@ def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
     return counts.select(bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), "_n")
 
 
-def global_ordinal(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
+def value_buckets(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Adds ``_b``: buckets of about equally many rows, in the order of the values.
+
+    The bounds are approximate quantiles of the rows themselves, so neither an
+    outlier nor clustered values put most rows into one bucket.
+    """
+    parts = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
+    bounds = F.array_distinct(F.percentile_approx(value, parts, 10_000)).alias("_bounds")
+    if group:
+        placed = df.join(df.groupBy(*group).agg(bounds), group)
+    else:
+        placed = df.withColumn("_bounds", df.agg(bounds).scalar())
+    return placed.withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col(value)))).drop("_bounds")
+
+
+def global_ordinal(df: DataFrame, order: str) -> DataFrame:
     """Adds ``ordinal`` = 1-based position by the unique integer column ``order``.
 
-    The value range is cut into a fixed number of buckets, so the offset table
-    stays small and each task ranks one bucket.
+    Buckets of about equally many rows are ranked on their own; the offset table
+    has a row per bucket.
     """
-    span = df.agg(F.struct(F.min(order).alias("lo"), (F.max(order) - F.min(order) + 1).alias("w")).alias("s")).scalar()
-    b = df.withColumn("_s", span).withColumn("_o", F.col(order))
-    b = b.withColumn("_b", F.floor((F.col("_o") - F.col("_s.lo")) / F.col("_s.w") * buckets)).drop("_s")
+    b = value_buckets(df, [], order)
     off = _offsets(b.groupBy("_b").agg(F.count("*").alias("_n")), "_b").drop("_n")
-    w = W.partitionBy("_b").orderBy("_o")
-    return b.join(off, "_b").withColumn("ordinal", F.row_number().over(w) + F.col("_before")).drop("_b", "_o", "_before")
+    w = W.partitionBy("_b").orderBy(order)
+    return b.join(off, "_b").withColumn("ordinal", F.row_number().over(w) + F.col("_before")).drop("_b", "_before")
 
 
 def hash_cuts(keys: DataFrame, key: str, tag: str, fracs: list[tuple[float, int]]) -> Column:
@@ -77,10 +90,8 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, probs: dict[s
     and only the buckets that hold a wanted rank are sorted.
     """
     dist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    span = dist.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * VALUE_BUCKETS)).otherwise(0)
-    placed = _join(dist, span, group).withColumn("_b", bucket)
+    total = dist.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    placed = _join(value_buckets(dist, group, value), total, group)
     w = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = placed.groupBy(*group, "_b", "_n").agg(F.sum("_c").alias("_bc")).withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
@@ -106,7 +117,4 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, probs: dict[s
 
 
 def _join(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
-    if group:
-        return a.join(b, group)
-    one = b.select(F.struct("_lo", "_hi", "_n").alias("s")).scalar()
-    return a.withColumn("_s", one).select("*", "_s._lo", "_s._hi", "_s._n").drop("_s")
+    return a.join(b, group) if group else a.withColumn("_n", b.scalar())

@@ -36,18 +36,19 @@ def mean_vector(vec: Column) -> Column:
 
 @dataclass
 class CentroidModel:
-    """Mean vector per class index; logits are -scale * squared distance."""
+    """Mean vector per class index; logits are -scale * sum(|difference| ** power)."""
 
     centroids: np.ndarray
     scale: float
+    power: int = 2
 
     def logits(self, vec: str) -> Column:
-        c, scale = self.centroids, self.scale
+        c, scale, power = self.centroids, self.scale, self.power
 
         @F.pandas_udf("array<double>")
         def score(v: pd.Series) -> pd.Series:
             x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, c.shape[1]))
-            z = np.stack([((x - k) ** 2).sum(axis=1) for k in c], axis=1) * -scale
+            z = np.stack([(np.abs(x - k) ** power).sum(axis=1) for k in c], axis=1) * -scale
             return pd.Series(list(z))
 
         return score(F.col(vec))
@@ -60,7 +61,7 @@ class CentroidModel:
         return s.withColumn("prob", prob).withColumn("pred", pred).drop("logits")
 
 
-def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y: str = "y", vec: str = "vec") -> CentroidModel:
+def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y: str = "y", vec: str = "vec", power: int = 2) -> CentroidModel:
     """One aggregation; the model is n_classes x dims numbers, whatever the data size."""
     means = train.groupBy(y).agg(mean_vector(F.slice(vec, 1, dims)).alias("c"))
     c = np.full((n_classes, dims), 1e6)  # a class without training rows is never nearest
@@ -69,7 +70,7 @@ def fit_centroids(train: DataFrame, dims: int, n_classes: int, scale: float, y:
         raise ValueError(f"more than {n_classes} classes in the training rows")
     for row in rows:
         c[row[y]] = row["c"]
-    return CentroidModel(c, scale)
+    return CentroidModel(c, scale, power)
 
 
 def fit_logistic(train: DataFrame, y: str = "y", vec: str = "vec", **params):

@@ -35,7 +35,7 @@ def _union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_paths(spark, sf):
-    pages = V.table(spark, sf, "pages").select("page_id", "url")
+    pages = V.table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
     return M.clip_catalog(pages, "url", ("", ".html")).select("page_id", "label", "stem", "suffix")
 
 
@@ -63,7 +63,7 @@ def frame_stride(spark, sf):
     f = V.embedding_frames(spark, sf).select("clip_id", "frame_idx", "label").withColumn(
         "fps", F.expr("case when label % 4 = 0 then cast('NaN' as double) when label % 4 = 1 then 0.0D when label % 4 = 2 then null else 25.0D end")
     )
-    return M.stride_frames(f, stride=3, max_frames=8).select("clip_id", "frame_idx", "kept_idx", r6("fps"))
+    return M.stride_frames(f, stride=3).select("clip_id", "frame_idx", "kept_idx", r6("fps"))
 
 
 def clip_quality(spark, sf):
@@ -128,7 +128,9 @@ def ordinal_pairing(spark, sf):
     refs = V.table(spark, sf, "documents").filter("lang <> 'en'").select("doc_id")
     v = R.global_ordinal(vids, "conv_id")
     r = R.global_ordinal(refs, "doc_id")
-    return v.join(r, "ordinal").select("ordinal", "conv_id", "turns", "doc_id")
+    pairs = v.join(r, "ordinal", "full").withColumn("paired", F.col("conv_id").isNotNull() & F.col("doc_id").isNotNull())
+    none = F.lit(-1).cast("bigint")  # the side that has no row at this place
+    return pairs.select("ordinal", *[F.coalesce(c, none).alias(c) for c in ("conv_id", "turns", "doc_id")], "paired")
 
 
 def label_map(spark, sf):
@@ -254,7 +256,7 @@ REGISTRY = {
                row_number() over (partition by label, vec_id // 300 order by vec_id) - 1 as frame_idx from embeddings)
            select clip_id, frame_idx::int as frame_idx, (frame_idx // 3)::int as kept_idx,
              round(case when label % 4 = 3 then 25.0 else 30.0 end / 3, 6) as fps
-           from f where frame_idx % 3 = 0 and frame_idx < 24""",
+           from f where frame_idx % 3 = 0""",
     ),
     "clip_quality": (
         clip_quality,
@@ -321,7 +323,7 @@ REGISTRY = {
         ordinal_pairing,
         """with v as (select conv_id, count(*) as turns, row_number() over (order by conv_id) as ordinal from conversations group by conv_id),
              r as (select doc_id, row_number() over (order by doc_id) as ordinal from documents where lang <> 'en')
-           select ordinal, conv_id, turns, doc_id from v join r using (ordinal)""",
+           select ordinal, coalesce(conv_id, -1) as conv_id, coalesce(turns, -1) as turns, coalesce(doc_id, -1) as doc_id, conv_id is not null and doc_id is not null as paired from v full join r using (ordinal)""",
     ),
     "label_map": (
         label_map,

@@ -28,14 +28,15 @@ def _r(c: str, digits: int = 5):
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def letter_freq(text: pd.Series) -> pd.Series:
-    """Relative frequency of each letter, one pass over the whole text."""
-    points = np.array([ord(ch) for ch in LETTERS])
-
-    def one(t: str) -> np.ndarray:
-        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        return np.bincount(np.minimum(codes, 512), minlength=513)[points] / max(len(codes), 1)
-
-    return text.map(one)
+    """Relative frequency of each letter, one pass over all texts of a batch; a null text has none."""
+    own = np.zeros(513, np.int64)
+    own[[ord(ch) for ch in LETTERS]] = np.arange(1, len(LETTERS) + 1)
+    texts = text.fillna("")
+    n = texts.str.len().to_numpy(np.int64)
+    codes = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), 512)
+    width = len(LETTERS) + 1
+    counts = np.bincount(np.repeat(np.arange(len(n)), n) * width + own[codes], minlength=len(n) * width).reshape(len(n), width)
+    return pd.Series(list(counts[:, 1:] / np.maximum(n, 1)[:, None]), index=text.index)
 
 
 def letter_features(spark, sf) -> DataFrame:
@@ -62,19 +63,20 @@ def vector_features(spark, sf) -> DataFrame:
     )
 
 
-def _run(feat: DataFrame, run: str, dims: int, classes: int, scale: float) -> DataFrame:
-    m = C.fit_centroids(feat.filter("fold = 'train'"), dims, classes, scale)
-    t = feat.filter("fold = 'test'").withColumn("vec", F.slice("vec", 1, dims))
+def _run(feat: DataFrame, run: str, dims: int, classes: int, scale: float, power: int = 2) -> DataFrame:
+    m = C.fit_centroids(feat.filter("fold = 'train'"), dims, classes, scale, power=power)
+    t = feat.filter("fold = 'test'")
     return m.transform(t).select("clip_id", F.lit(run).alias("run"), "y", "pred", "prob", "orig_split")
 
 
-def letters_run(spark, sf, half: bool = False) -> DataFrame:
-    n = len(LETTERS) // 2 if half else len(LETTERS)
-    return _run(letter_features(spark, sf), "letters_half" if half else "letters", n, len(LANGS), 100.0)
+def letters_run(spark, sf, absolute: bool = False) -> DataFrame:
+    run = ("letters_l1", 20.0, 1) if absolute else ("letters", 100.0, 2)
+    return _run(letter_features(spark, sf), run[0], len(LETTERS), len(LANGS), *run[1:])
 
 
-def vectors_run(spark, sf, half: bool = False) -> DataFrame:
-    return _run(vector_features(spark, sf), "vectors_half" if half else "vectors", 32 if half else 64, 10, 40.0)
+def vectors_run(spark, sf, absolute: bool = False) -> DataFrame:
+    run = ("vectors_l1", 4.0, 1) if absolute else ("vectors", 40.0, 2)
+    return _run(vector_features(spark, sf), run[0], 64, 10, *run[1:])
 
 
 def all_runs(spark, sf) -> DataFrame:
@@ -87,7 +89,7 @@ def two_runs(spark, sf) -> DataFrame:
 
 
 # Split mode of each run; the last one recorded none.
-MODES = {"letters": "provided", "letters_half": "provided", "vectors": "random"}
+MODES = {"letters": "provided", "letters_l1": "provided", "vectors": "random"}
 
 
 def metrics_table(spark, sf) -> DataFrame:
@@ -133,7 +135,7 @@ def best_run(spark, sf):
 
 def ensemble_vote(spark, sf):
     p = vectors_run(spark, sf).unionByName(vectors_run(spark, sf, True))
-    m = E.eval_metrics(C.ensemble(p, ["vectors", "vectors_half"]))
+    m = E.eval_metrics(C.ensemble(p, ["vectors", "vectors_l1"]))
     return m.select("run", "n", _r("acc"), F.round("macro_f1_true", 5).alias("macro_f1"), _r("top5"))
 
 
@@ -166,10 +168,10 @@ vf as (
   from embeddings)"""
 
 
-def _run_sql(run: str, feat: str, dims: int, scale: float) -> str:
+def _run_sql(run: str, feat: str, dims: int, scale: float, power: int = 2) -> str:
     return f"""{run}_c as (select y as cls, d, avg(vec[d::int]) as m from {feat}, range(1, {dims + 1}) t(d) where fold = 'train' group by all),
 {run}_k as (select cls, list(m order by d) as c from {run}_c group by cls),
-{run}_z as (select clip_id, y, orig_split, cls, -{scale} * list_sum(list_transform(range(1, {dims + 1}), lambda i: power(vec[i::int]-c[i::int], 2))) as z
+{run}_z as (select clip_id, y, orig_split, cls, -{scale} * list_sum(list_transform(range(1, {dims + 1}), lambda i: power(abs(vec[i::int]-c[i::int]), {power}))) as z
    from {feat}, {run}_k where fold = 'test'),
 {run}_e as (select *, exp(z - max(z) over (partition by clip_id)) as e from {run}_z),
 {run} as (select '{run}' as run, clip_id, orig_split, y::int as y, cls::int as cls, e / sum(e) over (partition by clip_id) as p,
@@ -180,11 +182,11 @@ RUNS = ",\n".join(
     [
         _feat_sql(),
         _run_sql("letters", "lf", _N, 100.0),
-        _run_sql("letters_half", "lf", _N // 2, 100.0),
+        _run_sql("letters_l1", "lf", _N, 20.0, 1),
         _run_sql("vectors", "vf", 64, 40.0),
-        _run_sql("vectors_half", "vf", 32, 40.0),
+        _run_sql("vectors_l1", "vf", 64, 4.0, 1),
         "two as (select * from letters union all select * from vectors)",
-        "allp as (select * from letters union all select * from letters_half union all select * from vectors union all select * from vectors_half)",
+        "allp as (select * from letters union all select * from letters_l1 union all select * from vectors union all select * from vectors_l1)",
     ]
 )
 
@@ -204,7 +206,7 @@ def _metrics_sql(src: str, labels: str = "union") -> str:
 
 
 ONE = "o as (select run, clip_id, any_value(orig_split) as orig_split, any_value(y) as y, any_value(pred) as pred, max(p) as conf from two group by run, clip_id)"
-MODE_SQL = "case run when 'letters' then 'provided' when 'letters_half' then 'provided' when 'vectors' then 'random' end"
+MODE_SQL = "case run when 'letters' then 'provided' when 'letters_l1' then 'provided' when 'vectors' then 'random' end"
 
 REGISTRY = {
     "softmax_scores": (
@@ -250,8 +252,8 @@ REGISTRY = {
     ),
     "ensemble_vote": (
         ensemble_vote,
-        f"""with {RUNS}, s as (select clip_id, y, cls, sum(p) as p from allp where run in ('vectors', 'vectors_half') group by all),
-            ens as (select 'vectors+vectors_half' as run, *, first_value(cls) over (partition by clip_id order by p desc, cls) as pred from s)
+        f"""with {RUNS}, s as (select clip_id, y, cls, sum(p) as p from allp where run in ('vectors', 'vectors_l1') group by all),
+            ens as (select 'vectors+vectors_l1' as run, *, first_value(cls) over (partition by clip_id order by p desc, cls) as pred from s)
             select run, n, round(acc, 5) as acc, round(macro_f1, 5) as macro_f1, round(top5, 5) as top5 from {_metrics_sql('ens', 'true_only')}""",
     ),
     "acc_by_origin": (

@@ -22,7 +22,10 @@ from seqloom.session import shared_dir
 from seqloom.sources import surrogates as V
 from seqloom.streaming import live as live_ops
 
-RULES = L.SegmentRules(hi=60.0, lo=20.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=1)
+RULES = L.SegmentRules(hi=60.0, lo=20.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=3)
+
+
+ARRIVALS = 4  # micro-batches the events table is dealt to
 
 
 def _segmented(spark, sf):
@@ -34,14 +37,21 @@ def segment_events(spark, sf):
 
 
 def segment_stream(spark, sf):
-    """The same events from a Structured Streaming run over the events table."""
-    schema = V.table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    live = rows.select(
-        F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_idx"),
-        F.col("value").alias("energy"), (F.col("event_type") != "error").alias("hands"),
-    )
+    """The same events from a Structured Streaming run over the events table.
+
+    The table arrives in several micro-batches; rows up to half an hour apart swap places
+    between them, inside the watermark of an hour.
+    """
+    rows = V.event_stream(spark, sf)
     run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    jitter = F.pmod(F.xxhash64("frame_idx"), F.lit(1800))
+    span = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    step = (span[1] - span[0] + 1800) // ARRIVALS + 1
+    for i in range(ARRIVALS):
+        arrives = F.floor((F.unix_seconds("ts") - span[0] + jitter) / step)
+        rows.filter(arrives == i).write.mode("append").parquet(f"{run}/in")
+    live_ops.closing_rows(rows, "stream_id", "ts", -1).write.mode("append").parquet(f"{run}/in")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{run}/in")
     out = live_ops.run_available(live_ops.segment_stream(live, rules=RULES), f"{run}/out", f"{run}/state")
     return out.select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
 
@@ -60,7 +70,7 @@ def online_energy(spark, sf):
     return e.select("stream_id", "vec_id", F.round("energy", 5).alias("energy"))
 
 
-LIVE_RULES = L.SegmentRules(hi=40.0, lo=25.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=1)
+LIVE_RULES = L.SegmentRules(hi=40.0, lo=25.0, quiet=2, min_len=4, max_len=9, cooldown=2, pre_roll=3, spare=3)
 GATE = L.GateRules(0.35, 0.05)
 EMIT_SCALE = 3.0
 

@@ -35,68 +35,130 @@ def _columns(pdf: pd.DataFrame, names: list[str]) -> dict[str, np.ndarray]:
     return {c: pdf[c].to_numpy() for c in names}
 
 
-class SegmentProcessor(StatefulProcessor):
-    """Segment events of each stream's energy rows."""
+class InOrderProcessor(StatefulProcessor):
+    """Holds each key's rows until the watermark passes them and hands them on in order.
+
+    Rows of a later batch may belong before rows of an earlier one; below the
+    watermark none can follow any more. The held rows, at most those of the watermark's
+    delay, are typed list state; a timer at the last one releases what no later
+    input of the key would.
+    """
 
-    def __init__(self, key: str, order: list[str], rules: L.SegmentRules):
-        self.key, self.order, self.scan = key, order, SegmentScan(rules)
+    def __init__(self, key: str, order: list[str], schema: T.StructType):
+        self.key, self.order, self.schema = key, [MICROS, *order[1:]], schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("segmenter", "seen long, code int")
+        self.handle = handle
+        self.held = handle.getListState("held", self.schema)
+        self.setup(handle)
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def released(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        if not len(pdf):
+        yield from self._advance(key, list(rows), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, parts: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        names = self.schema.names
+        if self.held.exists():
+            parts = [pd.DataFrame(list(self.held.get()), columns=names), *parts]
+        parts = [p[names] for p in parts if len(p)]
+        if not parts:
             return
-        state = self.state.get() if self.state.exists() else self.scan.start()
-        state, out = self.scan.run((int(state[0]), int(state[1])), _columns(pdf, self.scan.columns))
-        self.state.update((int(state[0]), int(state[1])))
-        yield pd.DataFrame({self.key: pdf[self.key], self.order[-1]: pdf[self.order[-1]], **out})
+        pdf = pd.concat(parts, ignore_index=True)
+        due = pdf[MICROS] <= watermark * 1000
+        wait = pdf[~due]
+        if len(wait):
+            self.held.put([tuple(_plain(v) for v in row) for row in wait.itertuples(index=False)])
+            self.handle.registerTimer(int(wait[MICROS].max()) // 1000 + 1)
+        else:
+            self.held.clear()
+        if due.any():
+            yield from self.released(key, pdf[due].sort_values(self.order, kind="stable", ignore_index=True))
 
     def close(self) -> None:
         pass
 
 
+MICROS = "event_micros"
+
+
+def _plain(v):
+    """A cell as plain Python, for typed state."""
+    if isinstance(v, np.ndarray):
+        return v.tolist()
+    return v.item() if isinstance(v, np.generic) else v
+
+
+def _in_order(frames: DataFrame, key: str, order: tuple[str, ...], payload: list[str], watermark: str):
+    """The rows grouped by key, with the event time in microseconds, and the schema that is held."""
+    f = frames.withColumn(MICROS, F.unix_micros(order[0]))
+    by_name = {x.name: x for x in f.schema.fields}
+    schema = T.StructType([T.StructField(c, by_name[c].dataType) for c in dict.fromkeys([MICROS, *order[1:], *payload])])
+    return f.withWatermark(order[0], watermark).groupBy(key), schema, by_name
+
+
+class SegmentProcessor(InOrderProcessor):
+    """Segment events of each stream's energy rows."""
+
+    def __init__(self, key: str, order: list[str], schema: T.StructType, rules: L.SegmentRules):
+        super().__init__(key, order, schema)
+        self.scan = SegmentScan(rules)
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("segmenter", "seen long, code int")
+
+    def released(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else self.scan.start()
+        state, out = self.scan.run((int(state[0]), int(state[1])), _columns(pdf, self.scan.columns))
+        self.state.update((int(state[0]), int(state[1])))
+        yield pd.DataFrame({self.key: [key[0]] * len(pdf), self.order[-1]: pdf[self.order[-1]].to_numpy(), **out})
+
+
 def segment_stream(
     frames: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("ts", "frame_idx"), rules: L.SegmentRules = L.SegmentRules(), watermark: str = "1 hour"
 ) -> DataFrame:
     """Streaming rows (key, ts, frame id, energy, hands) to segment events.
 
-    Rows older than the watermark are dropped by Spark and counted in the
-    query's progress; rows of one batch are put in order first.
+    Rows are taken in event-time order whatever batch they come in; an event comes out
+    once the watermark has passed its row. Rows older than the watermark are dropped by
+    Spark and counted in the query's progress.
     """
     use_keyed_state(frames.sparkSession)
-    by_name = {f.name: f for f in frames.schema.fields}
+    groups, held, by_name = _in_order(frames, key, order, SegmentScan.columns, watermark)
     schema = T.StructType([by_name[key], by_name[order[-1]]] + [T.StructField(n, t) for n, t in SegmentScan.outputs])
-    groups = frames.withWatermark(order[0], watermark).groupBy(key)
     with pickled_by_value():
-        return groups.transformWithStateInPandas(SegmentProcessor(key, list(order), rules), schema, "Append", "EventTime")
+        return groups.transformWithStateInPandas(SegmentProcessor(key, list(order), held, rules), schema, "Append", "EventTime")
 
 
-class LiveProcessor(StatefulProcessor):
+class LiveProcessor(InOrderProcessor):
     """Energy, segmenter and frame buffer in one step; emits a finished
     segment's frames, ready for the window builder."""
 
-    def __init__(self, key: str, order: list[str], payload: list[str], rules: L.SegmentRules):
-        self.key, self.order, self.payload, self.rules = key, order, payload, rules
+    def __init__(self, key: str, order: list[str], schema: T.StructType, payload: list[str], rules: L.SegmentRules):
+        super().__init__(key, order, schema)
+        self.payload, self.rules = payload, rules
         self.energy, self.segments = EnergyScan(), SegmentScan(rules)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def setup(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("live", "blob binary")
+        self.buffer = handle.getListState("buffer", T.StructType([self.schema[c] for c in self.payload]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        if not len(pdf):
-            return
-        if self.state.exists():
-            e, s, buffer = pickle.loads(bytes(self.state.get()[0]))
-        else:
-            e, s, buffer = self.energy.start(), self.segments.start(), pdf[self.payload].iloc[:0]
+    def released(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        e, s = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (self.energy.start(), self.segments.start())
+        buffer = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=self.payload)
         before = len(buffer)
         e, out = self.energy.run(e, _columns(pdf, self.energy.columns))
         s, ev = self.segments.run(s, {"energy": out["energy"], "hands": pdf["hands"].to_numpy()})
-        frames = pd.concat([buffer, pdf[self.payload]]) if before else pdf[self.payload]
-        self.state.update((pickle.dumps((e, s, frames.tail(self.rules.buffer))),))
+        self.state.update((pickle.dumps((e, s)),))
+        frames = pd.concat([buffer, pdf[self.payload]], ignore_index=True) if before else pdf[self.payload]
+        self.buffer.put([tuple(_plain(v) for v in row) for row in frames.tail(self.rules.buffer).itertuples(index=False)])
         for i in np.flatnonzero(ev["event"] == "end"):
             seen = int(ev["frame_no"][i]) + 1
             n = max(1, min(seen, self.rules.buffer, int(ev["seg_len"][i]) + self.rules.pre_roll))
@@ -105,9 +167,6 @@ class LiveProcessor(StatefulProcessor):
             seg_id = pdf[self.order[-1]].iloc[i]
             yield piece.assign(**{self.key: key[0], "seg_id": seg_id, "n": n, "frame_idx": np.arange(n, dtype=np.int32)})
 
-    def close(self) -> None:
-        pass
-
 
 PAYLOAD = ["pose", "lhand", "rhand", "face", "pose_ok", "lhand_ok", "rhand_ok", "fps"]
 
@@ -120,14 +179,23 @@ def segment_frame_stream(frames: DataFrame, key: str, order: tuple[str, ...], ru
     """
     use_keyed_state(frames.sparkSession)
     f = wrist_columns(frames).withColumn("hands", F.col("lhand_ok") | F.col("rhand_ok"))
-    by_name = {x.name: x for x in f.schema.fields}
+    groups, held, by_name = _in_order(f, key, order, [*dict.fromkeys([*PAYLOAD, *EnergyScan().columns, "hands"])], watermark)
     schema = T.StructType(
         [by_name[c] for c in PAYLOAD]
         + [by_name[key], T.StructField("seg_id", by_name[order[-1]].dataType), T.StructField("n", T.IntegerType()), T.StructField("frame_idx", T.IntegerType())]
     )
-    proc = LiveProcessor(key, list(order), PAYLOAD, rules)
+    proc = LiveProcessor(key, list(order), held, PAYLOAD, rules)
     with pickled_by_value():
-        return f.withWatermark(order[0], watermark).groupBy(key).transformWithStateInPandas(proc, schema, "Append", "EventTime")
+        return groups.transformWithStateInPandas(proc, schema, "Append", "EventTime")
+
+
+def closing_rows(frames: DataFrame, key: str, ts: str, name, after: str = "3 hours") -> DataFrame:
+    """The last row again under a key of its own and far later: written behind a
+    finished recording it moves the watermark past all rows, so that a replay releases
+    them. (Nulls are avoided: a null in one key's rows was seen to blank others' values.)"""
+    last = frames.agg(F.max_by(F.struct(*frames.columns), ts).alias("last")).select("last.*")
+    types = {f.name: f.dataType for f in frames.schema.fields}
+    return last.withColumn(ts, F.col(ts) + F.expr(f"interval {after}")).withColumn(key, F.lit(name).cast(types[key]))
 
 
 def each_batch(classify: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

@@ -107,6 +107,32 @@ def test_quality_and_stride(spark):
     assert q["n_frames"] == 100 and q["det_rate"] == 0.75
     s = M.stride_frames(f, 2, 10).collect()
     assert sorted(r["frame_idx"] for r in s) == list(range(0, 20, 2)) and s[0]["fps"] == 12.5
+    assert M.frames_beyond(f, 2, 10).first()["n_removed"] == 40
+
+
+def test_long_clips_keep_all_frames(spark):
+    f = spark.range(1000).selectExpr("'a' as clip_id", "cast(id as int) as frame_idx", "25.0D as fps")
+    assert M.stride_frames(f).count() == 1000 and M.stride_frames(f, 3).count() == 334
+
+
+def test_file_names_may_hold_any_character(spark):
+    d = spark.createDataFrame([("x/l/a#2.mp4",), ("x/l/what?.mp4",), ("x/l/b.mp4/",)], "p string")
+    assert sorted(r["stem"] for r in M.clip_catalog(d, "p").collect()) == ["a#2", "b", "what?"]
+
+
+def test_alternatives_in_a_group_pattern_are_anchored(spark):
+    d = spark.createDataFrame([("b1",), ("xb1",)], "s string")
+    assert [r[0] for r in d.select(M.derive_group(F.col("s"), "^a|(b)")).collect()] == ["b", "xb1"]
+
+
+def test_ordinals_and_percentiles_with_an_outlier(spark):
+    d = spark.range(20_000).selectExpr("id * 3 as k", "cast(id % 7919 as double) as v").union(spark.createDataFrame([(10**15, 1e12)], "k long, v double"))
+    b = R.value_buckets(d, [], "k")
+    assert b.groupBy("_b").count().agg(F.max("count")).first()[0] < 1000
+    o = R.global_ordinal(d, "k")
+    assert o.where("ordinal <> k / 3 + 1").count() == 1 and o.agg(F.max("ordinal")).first()[0] == 20_001
+    got = R.exact_percentiles(d, [], "v", {"p50": 0.5}).first()["p50"]
+    assert got == np.percentile([float(i % 7919) for i in range(20_000)] + [1e12], 50)
 
 
 def test_balanced_shards_walk(spark):
@@ -128,7 +154,7 @@ def test_percentiles_are_exact(spark):
 
 def test_ordinals(spark):
     d = spark.range(0, 9000, 3).repartition(7)
-    o = R.global_ordinal(d, "id", 64)
+    o = R.global_ordinal(d, "id")
     assert o.filter("ordinal <> id div 3 + 1").isEmpty()
 
 
@@ -164,9 +190,9 @@ def test_lists_and_sentences(spark, tmp_path):
 def test_lexicon_file(spark, tmp_path):
     p = tmp_path / "lex.json"
     p.write_text(json.dumps({"_note": {"vi": "x"}, "xe đạp": {"vi": "XE", "pos": "VERB"}, "mới": "mới tinh"}, ensure_ascii=False, indent=1), encoding="utf-8")
-    lex = {r["gloss"]: r for r in io.load_lexicon(spark, str(p), G.lexicon(spark)).collect()}
+    lex = {r["gloss"]: r for r in io.load_lexicon(spark, str(p), G.lexicon(spark, {"XE-ĐẠP": ("xe đạp", "NOUN", None), "TÔI": ("tôi", "PRON", None)})).collect()}
     assert lex["XE-ĐẠP"]["vi"] == "XE" and lex["XE-ĐẠP"]["pos"] == "VERB" and lex["MỚI"]["pos"] is None and lex["TÔI"]["vi"] == "tôi"
-    assert len(lex) == len(G.DEFAULT_LEXICON) + 1
+    assert len(lex) == 3
 
 
 def test_frames_round_trip_and_reports(spark, tmp_path):

@@ -143,14 +143,19 @@ def energy_rows(n=300):
     return pd.DataFrame(rows, columns=["stream_id", "ts", "frame_idx", "energy", "hands"]).sort_values(["ts", "stream_id"])
 
 
-@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("files", [1, 4])
 def test_stream_equals_batch(spark, tmp_path, files):
+    """Rows come out of order within a file and across files, inside the watermark."""
     pdf = energy_rows()
     src = tmp_path / "in"
     src.mkdir()
-    for k, part in enumerate(np.array_split(np.arange(len(pdf)), files)):
+    late = np.random.default_rng(1).random(len(pdf)) < 0.2  # a fifth of the rows come a file later
+    file = np.minimum(np.arange(len(pdf)) * files // len(pdf) + late, files - 1)
+    for k in range(files):
+        part = np.flatnonzero(file == k)
         spark.createDataFrame(pdf.iloc[part].sample(frac=1, random_state=k)).coalesce(1).write.mode("append").parquet(str(src))
-    df = spark.read.parquet(str(src))
+    df = spark.createDataFrame(pdf)
+    live.closing_rows(df, "stream_id", "ts", "~end").coalesce(1).write.mode("append").parquet(str(src))
     want = S.segment(df, "stream_id", ["ts", "frame_idx"], RULES).select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     out = live.run_available(live.segment_stream(stream, rules=RULES), str(tmp_path / "out"), str(tmp_path / "cp")).select(*want.columns)
@@ -170,9 +175,10 @@ def test_live_frames_equal_batch_windows(spark, tmp_path):
         rows.append(("s", (base + pd.Timedelta(milliseconds=40 * i)).to_pydatetime(), i, 25.0, 0.04, *[p[k][i].ravel().tolist() for k in ("pose", "lhand", "rhand", "face")], p["vis"][i].tolist(), True, True, True))
     schema = "stream_id string, ts timestamp, i int, fps double, dt double, pose array<double>, lhand array<double>, rhand array<double>, face array<double>, pose_vis array<double>, pose_ok boolean, lhand_ok boolean, rhand_ok boolean"
     src = tmp_path / "in"
-    for a, b in ((0, 70), (70, 150)):
-        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(str(src))
-    df = spark.read.parquet(str(src))
+    df = spark.createDataFrame(rows, schema)
+    for part in (rows[:60] + rows[70:90], rows[60:70] + rows[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    live.closing_rows(df, "stream_id", "ts", "~end").coalesce(1).write.mode("append").parquet(str(src))
     energy = S.online_energy(df.withColumn("hands", F.col("lhand_ok")), "stream_id", ["i"], ["hands"])
     batch = S.segment_windows(S.segment(energy, "stream_id", ["i"], RULES), "stream_id", "i", RULES)
     want = {(r["seg_id"], r["pos"], r["i"]) for r in batch.collect()}
