@@ -210,6 +210,11 @@ def lay_out(node: Node, flow: Flow, depth: int = 0) -> None:
         elif tag == "textarea":
             flow.put([x for x in "".join(_strings(child)).split("\n") if x.strip()])
         elif tag == "table":
+            stray = Node("div", {})
+            stray.children = list(_stray(child))
+            if stray.children:
+                flow.end_line()
+                lay_out(stray, flow, depth + 1)
             flow.put(table_lines(child, depth + 1), True)
         elif tag == "li":
             own = Flow()
@@ -246,6 +251,19 @@ def _strings(node: Node) -> Iterator[str]:
             yield from _strings(child)
 
 
+def _stray(node: Node) -> Iterator[Node | str]:
+    """What stands in a table outside its cells and captions; a page shows it before the table."""
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip():
+                yield child
+        elif child.tag in ("thead", "tbody", "tfoot", "tr"):
+            if not hidden(child):
+                yield from _stray(child)
+        elif child.tag not in ("td", "th", "caption", "colgroup", "col"):
+            yield child
+
+
 def _rows(node: Node, out: list[Node], captions: list[Node]) -> None:
     order = {"thead": 0, "tfoot": 2}
     for child in sorted((c for c in node.children if isinstance(c, Node)), key=lambda c: order.get(c.tag, 1)):

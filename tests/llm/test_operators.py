@@ -342,6 +342,7 @@ def test_layout(page, text):
 def test_deep_and_broken_pages(spark):
     assert html_layout.render("<div>" * 50_000 + "deep") == "deep"
     assert html_layout.render("<table>" * 3000 + "x") == "x"
+    assert html_layout.render("<table>stray <b>text</b><tr><td>cell</table>") == "stray text\n\ncell"
     pages = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (2, None, "<p>x", 5)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text) for r in html_layout.extract(pages).collect()) == [(1, ""), (1, ""), (2, "x")]
     assert html_layout.extract(pages.limit(0)).count() == 0
