@@ -1,22 +1,14 @@
-"""Registered queries against their SQL on the small tables.
-
-A spread of keys by default; SEQLOOM_ALL=1 checks every key.
-"""
+"""Every registered query of the library against its SQL on the small tables."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from seqloom.plans.registry import REGISTRY
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SOME = [
-    "catalog_paths", "manifest_dedup", "manifest_summary", "catalog_summary", "split_random", "split_provided", "leakage_check", "stratified_fraction",
-    "balanced_shards", "lexicon_override", "ordinal_pairing", "build_window", "motion_energy", "eval_metrics", "ensemble_vote", "confidence_gate",
-    "near_dup_profile", "segment_events", "online_energy", "latency_stats", "wer_corpus", "gloss_sentence", "running_sentence", "synth_negatives",
-]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
@@ -27,10 +19,10 @@ def con():
 
 def test_registry_is_complete():
     q, o = entry.queries(), entry.oracle_sql()
-    assert len(q) >= 77 and set(o) <= set(q) and set(SOME) <= set(q)
+    assert len(q) >= 77 and set(o) <= set(q) and set(REGISTRY) <= set(q)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()) if os.environ.get("SEQLOOM_ALL") else SOME)
+@pytest.mark.parametrize("key", list(REGISTRY))
 def test_matches_sql(spark, con, key):
     ok, info = compare(spark, con, key, entry.queries()[key], entry.oracle_sql().get(key), SF)
     assert ok, info
