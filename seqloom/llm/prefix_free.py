@@ -29,7 +29,7 @@ from seqloom.llm.dart_minhash import _powers, _size, mixed
 LENGTH = 400
 TRIGGER = 16  # bytes under the rolling hash
 PHRASE = 48  # mean bytes between triggers
-DEPTH = 64  # bytes from the first trigger on that must agree before strings are compared
+DEPTHS = (320, 192, 64, TRIGGER)  # bytes from the first trigger on that must agree before strings are compared: the most that the string still holds
 
 _U = np.uint64
 _PARSED = "row bigint, doc_id bigint, k1 bigint, k2 bigint, n_bytes bigint, triggers array<int>, phrases array<bigint>"
@@ -119,16 +119,17 @@ def units(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tu
     sums, down = _sums(data)
     t = triggers(data, np.array([0, len(data)]), sums, down)
     out = []
+    limits = np.array([length - d for d in DEPTHS])
     for a, b in starts.tolist():
         i = np.arange(a, b + 1)
         k = np.searchsorted(t, i)
         first = np.append(t, len(data) + length)[k]
         away = first - i
-        kind = np.where(away > length - TRIGGER, 2, np.where(away > length - DEPTH, 1, 0))
-        first = np.where(kind == 2, -1, first)
+        kind = np.searchsorted(limits, away, "left")
+        first = np.where(kind == len(DEPTHS), -1, first)
         new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (kind[1:] != kind[:-1])]))
         for x, y in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(i) - 1]):
-            f, size = int(first[x]), (DEPTH, TRIGGER, 0)[kind[x]]
+            f, size = int(first[x]), (*DEPTHS, 0)[kind[x]]
             place = xxhash.xxh3_64_intdigest(raw[f : f + size] if size else b"", int(kind[x]))
             out.append((a + x, a + y, xxhash.xxh3_128_digest(raw[a + x : a + y + length]), place - (1 << 63)))
     return out
@@ -184,6 +185,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     regions = written(asked.mapInArrow(_regions, "row bigint, starts array<int>").join(texts.select("row", F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "row"), "regions")
     same = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     held = written(_keys(docs).join(regions, same).select("row", "text", "starts").dropDuplicates(["row"]), "held")
+    keys = written(parsed.select("row", "doc_id", "k1", "k2", "n_bytes"), "keys")
+    drop_written(parsed, regions)
 
     found = written(held.mapInArrow(_units, _UNITS), "units")
     classes = written(found.groupBy("name", "place").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "unit-classes")
@@ -191,7 +194,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one member of every class at an open place is compared string by string
     member = found.join(classes.join(open_, "place").select("name", "row"), ["name", "row"], "left_semi")
     # runs whose place is none's may repeat within themselves
-    alone = found.where(F.col("last") > F.col("first")).where(F.col("place") == xxhash.xxh3_64_intdigest(b"", 2) - (1 << 63)).select("row", "first", "last")
+    alone = found.where(F.col("last") > F.col("first")).where(F.col("place") == xxhash.xxh3_64_intdigest(b"", len(DEPTHS)) - (1 << 63)).select("row", "first", "last")
     compare = member.select("row", "first", "last").unionByName(alone).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     strings = written(held.select("row", "text").join(compare, "row").select("row", "text", "runs").mapInArrow(_strings, "string binary, n bigint, row bigint, at array<int>"), "strings")
     twice = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
@@ -212,8 +215,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = texts.where("copies = 1").join(starts, "row").select("k1", "k2", "n_bytes", "runs").mapInArrow(merge, "k1 bigint, k2 bigint, spans array<int>")
     whole = texts.where("copies > 1").select("k1", "k2", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("spans"))
     spans = written(some.unionByName(whole), "spans")
-    keys = written(parsed.select("row", "doc_id", "k1", "k2", "n_bytes"), "keys")
-    drop_written(parsed, texts, regions, held, found, classes, strings)
+    drop_written(texts, held, found, classes, strings)
     return keys, spans
 
 
