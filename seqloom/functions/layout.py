@@ -32,7 +32,6 @@ DIM_LOCAL = 2 * 2 * N_HAND
 DIM_STATIC = DIM_GLOBAL + DIM_LOCAL + 2
 DIM_WINDOW = DIM_STATIC + DIM_GLOBAL
 SEQ_LEN = 48
-MAX_FRAMES = 300
 NOSIGN = "__NOSIGN__"
 
 HAND_MIN_SPAN = 0.012

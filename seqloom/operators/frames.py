@@ -1,8 +1,7 @@
 """Landmark frames to fixed-length feature windows.
 
 All per-clip steps partition by clip_id, so one shuffle serves the whole chain;
-a clip holds at most MAX_FRAMES frames (manifest.stride_frames), so no window
-partition grows with the data. Coordinates are flat arrays x0,y0,x1,y1,...; the
+a window partition is one recording. Coordinates are flat arrays x0,y0,x1,y1,...; the
 vector maths is written as array constructors, which Spark compiles, instead of
 interpreted lambdas.
 """

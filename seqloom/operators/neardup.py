@@ -1,82 +1,54 @@
 """Nearest training clip of every test clip under the same label.
 
-Distance is the mean absolute difference of two feature vectors. Means over
-equal segments never differ more than the vectors do, so they bound the
-distance from below; exact neighbours come out without forming all pairs.
+Distance is the mean absolute difference of two feature vectors. Both sides of a
+label are cut into blocks of bounded size, and a pair of blocks is one vectorised
+step, so no task grows with a label; only each test vector's minimum leaves a block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranking import exact_percentiles
 from seqloom.session import shared_dir
 
-SEGMENTS = 8
-SLOTS = 8  # sampled training clips per bucket for the first upper bound
-PER_BUCKET = 64
-MAX_BUCKETS = 4096
-
-
-def _dist(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / size({a})")
+BLOCK = 128  # vectors a side of a pair of blocks
 
 
-def _mean(dims: int, k: int) -> Column:
-    """Means of k equal segments."""
-    n = dims // k
-    parts = ",".join(f"aggregate(slice(vec, {i * n + 1}, {n}), 0.0D, (s, x) -> s + x) / {n}" for i in range(k))
-    return F.expr(f"array({parts})")
+def _blocks(clips: DataFrame, fold: str) -> DataFrame:
+    """(label, vecs): each label's distinct vectors of a fold in blocks of about BLOCK."""
+    v = clips.filter(F.col("fold") == fold).select("label", "vec").distinct()
+    size = v.groupBy("label").agg(F.count("*").alias("n"))
+    v = v.join(size, "label").withColumn("block", F.expr(f"pmod(xxhash64(vec), cast(ceil(n / {BLOCK}) as bigint))"))
+    return v.groupBy("label", "block").agg(F.collect_list("vec").alias("vecs")).drop("block")
 
 
 def nearest_in_label(clips: DataFrame, dims: int) -> DataFrame:
     """clip_id, label, dmin for every test clip whose label has training clips.
 
     clips: clip_id, label, fold, vec (``dims`` doubles). Identical vectors are
-    merged on both sides first, so masses of copies cost one comparison.
+    merged on both sides first, so masses of copies cost one comparison. Every
+    test vector is compared with every training vector of its label.
     """
-    k = max(s for s in (SEGMENTS, 4, 2, 1) if dims % s == 0)
-    tests = clips.filter("fold = 'test'")
-
-    def prepared(fold: str) -> DataFrame:
-        v = clips.filter(F.col("fold") == fold).select("label", "vec").distinct()
-        v = v.withColumn("paa", _mean(dims, k))
-        return v.withColumn("mean", F.expr(f"aggregate(paa, 0.0D, (s, x) -> s + x) / {k}"))
-
-    train = prepared("train")
-    span = train.groupBy("label").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"), F.count("*").alias("n"))
-    span = span.select(
-        "label",
-        "lo",
-        F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n") / PER_BUCKET)).alias("g"),
-        F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)).alias("w"),
-    )
-
-    def bucket(mean: Column) -> Column:
-        raw = F.floor((mean - F.col("lo")) / F.col("w") * F.col("g"))
-        return F.greatest(F.lit(0), F.least(F.col("g") - 1, raw)).cast("int")
-
-    placed = train.join(span, "label").withColumn("bucket", bucket(F.col("mean"))).select("label", "bucket", "vec", "paa")
-    slots = placed.groupBy("label", "bucket", F.pmod(F.xxhash64("vec"), F.lit(SLOTS)).alias("slot")).agg(F.min("vec").alias("rep"))
-    reps = slots.groupBy("label", "bucket").agg(F.collect_list("rep").alias("reps"))
-    any_rep = slots.groupBy("label").agg(F.min("rep").alias("any_rep"))
-
-    t = prepared("test").join(span, "label").join(any_rep, "label").withColumn("bucket", bucket(F.col("mean")))
-    t = t.join(reps, ["label", "bucket"], "left")
-    near = F.array_min(F.transform(F.coalesce("reps", F.array("any_rep")), lambda r: F.aggregate(F.zip_with(F.col("vec"), r, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / dims))
-    t = t.withColumn("ub", near).withColumn("_r", F.col("ub") * (1 + 1e-9) + 1e-12)
-    t = t.select(
-        "label",
-        F.col("vec").alias("tvec"),
-        F.col("paa").alias("tpaa"),
-        "ub",
-        "_r",
-        F.explode(F.sequence(bucket(F.col("mean") - F.col("_r")), bucket(F.col("mean") + F.col("_r")))).alias("bucket"),
-    )
-    close = t.join(placed, ["label", "bucket"]).filter(_dist("tpaa", "paa") <= F.col("_r"))
-    best = close.withColumn("d", _dist("tvec", "vec")).groupBy("label", "tvec").agg(F.least(F.min("d"), F.min("ub")).alias("dmin"))
-    return tests.select("clip_id", "label", F.col("vec").alias("tvec")).join(best, ["label", "tvec"]).select("clip_id", "label", "dmin")
+    tests, train = _blocks(clips, "test").withColumnRenamed("vecs", "t"), _blocks(clips, "train")
+    pairs = tests.join(train, "label").select("label", "t", "vecs")
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t, v = (batch.column(c)[i].values for c in (1, 2))
+                x, y = (b.flatten().to_numpy().reshape(-1, dims) for b in (t, v))
+                d = np.array([np.abs(y - one).sum(axis=1).min() for one in x]) / dims
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(x))), t, pa.array(d)], ["label", "tvec", "d"])
+
+    label = clips.schema["label"].dataType.simpleString()
+    best = pairs.mapInArrow(least, f"label {label}, tvec array<double>, d double").groupBy("label", "tvec").agg(F.min("d").alias("dmin"))
+    return clips.filter("fold = 'test'").select("clip_id", "label", F.col("vec").alias("tvec")).join(best, ["label", "tvec"]).select("clip_id", "label", "dmin")
 
 
 def near_dup_profile(near: DataFrame, cohort: str, thresholds=(0.02, 0.05, 0.1)) -> DataFrame:
