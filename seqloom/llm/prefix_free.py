@@ -29,7 +29,7 @@ from seqloom.llm.dart_minhash import _powers, _size, mixed
 LENGTH = 400
 TRIGGER = 16  # bytes under the rolling hash
 PHRASE = 48  # mean bytes between triggers
-DEPTHS = (320, 192, 64, TRIGGER)  # bytes from the first trigger on that must agree before strings are compared: the most that the string still holds
+STEP = 16  # strings are compared one by one only where all but STEP of their bytes, placed by the first trigger, agree already
 
 _U = np.uint64
 _PARSED = "row bigint, doc_id bigint, k1 bigint, k2 bigint, n_bytes bigint, triggers array<int>, phrases array<bigint>"
@@ -110,27 +110,28 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, bytes, int]]:
-    """Runs of starts that have the same first trigger: (first, last, name, place).
+    """Runs of up to STEP starts that have the same first trigger: (first, last, name, place).
 
-    The name stands for all bytes of the run's strings; the place for what equal strings
-    of any two runs have in common, the bytes from the first trigger on.
+    Runs end at whole multiples of STEP before the trigger, so equal strings lie in runs
+    that end alike. The name stands for all bytes of the run's strings; the place for the
+    bytes that every string of such a run has. Strings without a trigger share one place.
     """
     raw = memoryview(data)
     sums, down = _sums(data)
     t = triggers(data, np.array([0, len(data)]), sums, down)
     out = []
-    limits = np.array([length - d for d in DEPTHS])
     for a, b in starts.tolist():
         i = np.arange(a, b + 1)
         k = np.searchsorted(t, i)
         first = np.append(t, len(data) + length)[k]
         away = first - i
-        kind = np.searchsorted(limits, away, "left")
-        first = np.where(kind == len(DEPTHS), -1, first)
+        none = away > length - TRIGGER
+        kind, first = np.where(none, -1, away // STEP), np.where(none, -1, first)
         new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (kind[1:] != kind[:-1])]))
         for x, y in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(i) - 1]):
-            f, size = int(first[x]), (*DEPTHS, 0)[kind[x]]
-            place = xxhash.xxh3_64_intdigest(raw[f : f + size] if size else b"", int(kind[x]))
+            begin = int(first[x]) - STEP * int(kind[x])
+            core = raw[begin : begin + length - STEP + 1] if kind[x] >= 0 else b""
+            place = xxhash.xxh3_64_intdigest(core, int(kind[x]) + 1)
             out.append((a + x, a + y, xxhash.xxh3_128_digest(raw[a + x : a + y + length]), place - (1 << 63)))
     return out
 
@@ -194,7 +195,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one member of every class at an open place is compared string by string
     member = found.join(classes.join(open_, "place").select("name", "row"), ["name", "row"], "left_semi")
     # runs whose place is none's may repeat within themselves
-    alone = found.where(F.col("last") > F.col("first")).where(F.col("place") == xxhash.xxh3_64_intdigest(b"", len(DEPTHS)) - (1 << 63)).select("row", "first", "last")
+    alone = found.where(F.col("last") > F.col("first")).where(F.col("place") == xxhash.xxh3_64_intdigest(b"", 0) - (1 << 63)).select("row", "first", "last")
     compare = member.select("row", "first", "last").unionByName(alone).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     strings = written(held.select("row", "text").join(compare, "row").select("row", "text", "runs").mapInArrow(_strings, "string binary, n bigint, row bigint, at array<int>"), "strings")
     twice = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
