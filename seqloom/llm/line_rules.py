@@ -18,7 +18,6 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MAX_HOST_DOCUMENTS = 10  # a line in more different documents of a host is frequent
-MAX_MEAN_PERCENT = 50  # frequent lines of documents that mostly consist of such lines are copies, not boilerplate
 MAX_REMOVED_PERCENT = 70  # a document that loses more of its words, or keeps fewer than MIN_WORDS, is depleted
 
 _SPACE = np.zeros(256, bool)
@@ -108,20 +107,15 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
 def boilerplate_lines(stats: DataFrame, max_documents: int = MAX_HOST_DOCUMENTS) -> DataFrame:
     """(host, line) of the lines to remove, written.
 
-    A line is frequent if more than max_documents documents with different texts hold it
-    within one host (rows without a host are a host of their own). Where the documents
-    of a frequent line consist mostly of frequent lines (mean above MAX_MEAN_PERCENT of
-    their words), they are copies of one another: such lines stay.
+    A line is removed if more than max_documents documents with different texts hold it
+    within one host (rows without a host are a host of their own), however much of
+    those documents such lines make up: a document that loses too much is rejected.
     """
-    held = stats.select("row", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "text_hash", "n_words", F.explode("lines").alias("l"))
-    held = held.select("row", "host", "no_host", "text_hash", "n_words", "l.line", "l.words")
+    held = stats.select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "text_hash", F.explode("lines").alias("l"))
+    held = held.select("host", "no_host", "text_hash", "l.line")
     key = ["host", "no_host", "line"]
     texts = held.groupBy(*key, "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    frequent = written(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select(*key), "frequent")
-    at = written(held.join(frequent, key).select("row", *key, "n_words", "words"), "frequent-at")
-    share = at.groupBy("row").agg((100 * F.sum("words") / F.first("n_words")).alias("percent"))
-    mean = at.select("row", *key).join(share, "row").groupBy(*key).agg(F.avg("percent").alias("percent"))
-    return written(mean.where(F.col("percent") <= MAX_MEAN_PERCENT).select(*key), "boilerplate")
+    return written(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select(*key), "boilerplate")
 
 
 def verdicts(stats: DataFrame, lines: DataFrame) -> DataFrame:

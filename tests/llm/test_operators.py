@@ -182,6 +182,19 @@ def test_line_rules(spark):
     assert line_rules.clean(docs).columns == docs.columns
 
 
+def test_shared_lines_go_however_much_of_a_page_they_are(spark):
+    """40 pages of 90% shared lines are depleted; a footer goes although most texts with it are near copies."""
+    shared = "\n".join(" ".join(f"nav{i}x{j}" for j in range(9)) for i in range(20))
+    pages = [f"{shared}\n" + " ".join(f"own{i}x{j}" for j in range(20)) for i in range(40)]
+    out = line_rules.judge(H.docs_frame(spark, pages)).collect()
+    assert all(r.n_removed_words == 180 and not r.kept and not r.base_failed for r in out)
+    normal = [" ".join(f"n{i}x{j}" for j in range(57)) + "\nthe shared footer" for i in range(20)]
+    copied = "\n".join(" ".join(f"c{i}x{j}" for j in range(19)) for i in range(3))
+    copies = [f"{copied}\nown{i}\nthe shared footer" for i in range(60)]
+    rows = {r.doc_id: r for r in line_rules.judge(H.docs_frame(spark, normal + copies)).collect()}
+    assert all(rows[i].n_removed_words == 3 and rows[i].kept for i in range(20))
+
+
 def test_line_rules_equal_sql(spark):
     import duckdb
 
