@@ -35,6 +35,7 @@ _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.i
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_RAW_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -56,7 +57,7 @@ def parse(page: str) -> Node:
     """The element tree; tags that authors may leave out are implied, stray end tags ignored."""
     root = Node("html", {})
     stack = [root]
-    at, lower = 0, None
+    at = 0
 
     def text(raw: str) -> None:
         if raw:
@@ -126,9 +127,7 @@ def parse(page: str) -> Node:
         if name in VOID:
             continue
         if name in RAW:
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{name}", at)
-            stop = len(page) if stop < 0 else stop
+            stop = m.start() if (m := _RAW_ENDS[name].search(page, at)) else len(page)
             if name == "textarea":
                 node.children.append(html.unescape(page[at:stop]))
             at = page.find(">", stop) + 1 or len(page)

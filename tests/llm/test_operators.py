@@ -352,6 +352,11 @@ def test_layout(page, text):
     assert html_layout.render(page) == text
 
 
+def test_letters_that_grow_in_lower_case_move_no_raw_end():
+    assert html_layout.render("İ" * 20 + "<script>x</script><p>hello</p>") == "İ" * 20 + "\n\nhello"
+    assert html_layout.render("İ" * 30 + "<SCRIPT>a</SCRIPT><Style>b</sTyle><textarea>İ c</TEXTAREA>d") == "İ" * 30 + "\nİ c\nd"
+
+
 def test_deep_and_broken_pages(spark):
     assert html_layout.render("<div>" * 50_000 + "deep") == "deep"
     assert html_layout.render("<table>" * 3000 + "x") == "x"
