@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import text_slices
 
-MAX_DEPTH = 200  # elements nested deeper are laid out as their ancestor at this depth
 MAX_SPAN = 1000  # as in the HTML standard
 
 # Fixed values of the HTML standard.
@@ -57,26 +57,26 @@ def parse(page: str) -> Node:
     """The element tree; tags that authors may leave out are implied, stray end tags ignored."""
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # per tag, where its open elements stand in the stack
     at = 0
 
     def text(raw: str) -> None:
         if raw:
             if len(stack) > 1 and stack[-1].tag == "head" and raw.strip():
-                stack.pop()
+                close(len(stack) - 1)
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(upto: int) -> None:
-        del stack[upto:]
+        while len(stack) > upto:
+            places[stack.pop().tag].pop()
+
+    def last(names: frozenset) -> int:
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
 
     def find(names: frozenset, fence: frozenset) -> int:
         """The lowest open element of these names above the fence."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                found = i
-            elif stack[i].tag in fence:
-                break
-        return found
+        above = last(fence)
+        return min((p[bisect_right(p, above)] for n in names if (p := places.get(n)) and p[-1] > above), default=0)
 
     while True:
         m = _TOKEN.search(page, at)
@@ -95,12 +95,9 @@ def parse(page: str) -> Node:
                 close(i or len(stack))
             elif end not in ("html", "body"):
                 fence = frozenset(("table",)) if end not in ("table",) and end not in _ENDS else frozenset()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == end:
-                        close(i)
-                        break
-                    if stack[i].tag in fence:
-                        break
+                i = last(frozenset((end,)))
+                if i > last(fence):
+                    close(i)
             continue
         if not name:
             continue
@@ -108,7 +105,7 @@ def parse(page: str) -> Node:
         if name == "html":
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and name not in HEAD_ONLY:
-            stack.pop()
+            close(len(stack) - 1)
         if name == "body":
             root.attributes |= attributes_of(source)
             continue
@@ -117,7 +114,7 @@ def parse(page: str) -> Node:
             if i:
                 close(i)
             if name in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                close(len(stack) - 1)
         if name in _ENDS:
             i = find(*_ENDS[name])
             if i:
@@ -132,7 +129,8 @@ def parse(page: str) -> Node:
                 node.children.append(html.unescape(page[at:stop]))
             at = page.find(">", stop) + 1 or len(page)
             continue
-        if len(stack) < MAX_DEPTH and not (source.endswith("/") and name in ("path", "circle", "rect", "line", "use", "g")):
+        if not (source.endswith("/") and name in ("path", "circle", "rect", "line", "use", "g")):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
 
 
@@ -185,7 +183,23 @@ def _int(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"[+-]?\d{1,9}", value.strip()) else default
 
 
-def lay_out(node: Node, flow: Flow, depth: int = 0) -> None:
+def walk(task: Generator):
+    """The result of a task; what it yields are tasks, whose results it is sent. Depth takes no Python frames."""
+    tasks, result = [task], None
+    while tasks:
+        try:
+            task = tasks[-1].send(result)
+        except StopIteration as end:
+            tasks.pop()
+            result = end.value
+        else:
+            tasks.append(task)
+            result = None
+    return result
+
+
+def lay_out(node: Node, flow: Flow) -> Generator:
+    """A task for walk() that puts what the element shows into the flow."""
     counter = _int(node.attributes.get("start"), 1) if node.tag == "ol" else 0
     shut = node.tag == "details" and "open" not in node.attributes
     for child in node.children:
@@ -213,11 +227,11 @@ def lay_out(node: Node, flow: Flow, depth: int = 0) -> None:
             stray.children = list(_stray(child))
             if stray.children:
                 flow.end_line()
-                lay_out(stray, flow, depth + 1)
-            flow.put(table_lines(child, depth + 1), True)
+                yield lay_out(stray, flow)
+            flow.put((yield table_lines(child)), True)
         elif tag == "li":
             own = Flow()
-            lay_out(child, own, depth + 1)
+            yield lay_out(child, own)
             own.end_line()
             if node.tag == "ol":
                 counter = _int(child.attributes.get("value"), counter)
@@ -228,26 +242,28 @@ def lay_out(node: Node, flow: Flow, depth: int = 0) -> None:
             flow.put([(mark + lines[0]).rstrip(), *((" " * len(mark) + x) if x else "" for x in lines[1:])])
         elif tag == "dd":
             own = Flow()
-            lay_out(child, own, depth + 1)
+            yield lay_out(child, own)
             own.end_line()
             flow.put([("  " + x) if x else "" for x in own.lines])
         elif tag in BLOCKS or tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption"):
             spaced = tag in SPACED and not (tag in ("ul", "ol", "menu") and node.tag == "li")
             flow.end_line(spaced)
-            lay_out(child, flow, depth + 1)
+            yield lay_out(child, flow)
             flow.end_line(spaced)
         else:
-            lay_out(child, flow, depth + 1)
+            yield lay_out(child, flow)
 
 
 def _strings(node: Node) -> Iterator[str]:
-    for child in node.children:
+    left = node.children[::-1]
+    while left:
+        child = left.pop()
         if isinstance(child, str):
             yield child
         elif child.tag == "br":
             yield "\n"
         elif not hidden(child):
-            yield from _strings(child)
+            left += child.children[::-1]
 
 
 def _stray(node: Node) -> Iterator[Node | str]:
@@ -280,14 +296,14 @@ def _rows(node: Node, out: list[Node], captions: list[Node]) -> None:
             out[-1].children.append(child)
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """Rows of cells in aligned columns, two spaces apart; spans keep their columns."""
+def table_lines(table: Node) -> Generator:
+    """A task for walk(): the lines of rows of cells in aligned columns, two spaces apart; spans keep their columns."""
     rows, captions = [], []
     _rows(table, rows, captions)
     lines: list[str] = []
     for node in captions:
         own = Flow()
-        lay_out(node, own, depth)
+        yield lay_out(node, own)
         own.end_line()
         lines += own.lines
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row: column, columns, lines
@@ -301,7 +317,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
             while column in covered:
                 column += 1
             own = Flow()
-            lay_out(cell, own, depth)
+            yield lay_out(cell, own)
             own.end_line()
             wide, tall = min(MAX_SPAN, max(1, _int(cell.attributes.get("colspan"), 1))), _int(cell.attributes.get("rowspan"), 1)
             cells.append((column, wide, own.lines))
@@ -338,7 +354,7 @@ def render(page: str | None) -> str:
         return ""
     root, flow = parse(page), Flow()
     if not hidden(root):
-        lay_out(root, flow)
+        walk(lay_out(root, flow))
         flow.end_line()
     return "\n".join(flow.lines).strip("\n")
 

@@ -366,6 +366,17 @@ def test_deep_and_broken_pages(spark):
     assert html_layout.extract(pages.limit(0)).count() == 0
 
 
+def test_elements_count_at_any_depth():
+    down = "<font>" * 500
+    assert html_layout.render(down + "<div hidden><p>no</p><b>no</b></div>yes<template><i>no</i></template>") == "yes"
+    assert html_layout.render(f"<div hidden>{'<div>' * 300}{'</div>' * 300}no</div>yes") == "yes"
+    assert html_layout.render(down + "<table><tr><td>apple pie<td>3<tr><td>tea<td>12</table>") == "apple pie  3\ntea        12"
+    assert html_layout.render(down + "<ol><li>a<li>b</ol><pre>" + "<b>" * 5000 + "x\n y</pre>") == "1. a\n2. b\n\nx\n y"
+    assert html_layout.render("<table><tr><td>" * 2000 + "cell") == "cell"
+    lines = html_layout.render("<ul><li>x" * 300).split("\n")
+    assert lines == ["  " * i + "- x" for i in range(300)]
+
+
 # 10. near duplicates
 
 
