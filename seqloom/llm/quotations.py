@@ -16,6 +16,11 @@ QUOTE = "^[ \\\\t]*((?:>[ \\\\t]?)+)"
 #: The line that announces a quote, in the languages of the corpus.
 ANNOUNCES = "(?i)(wrote|writes|schrieb|a écrit|escribió|original message)\\\\s*:?[ \\\\t-]*$"
 
+#: Words of a passage that are compared at once, across line breaks.
+WINDOW = 4
+#: Scripts without spaces between words: each character is compared as a word.
+SPACELESS = "([\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}])"
+
 
 def _level(line: str) -> str:
     return f"length(regexp_replace(regexp_extract({line}, '{QUOTE}', 1), '[^>]', ''))"
@@ -34,6 +39,27 @@ def _lines(messages: DataFrame) -> DataFrame:
     return with_parts.withColumn("body", F.expr(f"trim(both '\\n' from regexp_replace(array_join(transform({own}, p -> p.raw), '\\n'), '\\n([ \\\\t]*\\n){{2,}}', '\\n\\n'))"))
 
 
+def _words(line: str) -> str:
+    return f"filter(split(regexp_replace({line}, '{SPACELESS}', ' $1 '), ' +'), w -> w <> '')"
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """What is compared: (row, place, conv, level, line, word, n, h1, h2) for every line and every word.
+
+    A line (word is null) counts n words. A word has the hash of the window of WINDOW
+    words that starts there, which runs over line breaks but not into another
+    level; where no window fits the hash is null.
+    """
+    lines = rows.select("row", "place", "conv", F.expr(f"transform(parts, (p, i) -> named_struct('level', p.level, 'line', i, 'plain', p.plain, 'words', {_words('p.plain')}))").alias("parts"))
+    words = lines.select("row", "place", "conv", "parts", F.expr("flatten(transform(parts, p -> transform(p.words, w -> named_struct('level', p.level, 'line', p.line, 'w', w))))").alias("w"))
+    fits = " and ".join(f"get(w, j + {k}).level = x.level" for k in range(1, WINDOW))
+    text = "concat_ws(' ', " + ", ".join(f"get(w, j + {k}).w" for k in range(WINDOW)) + ")"
+    of_words = f"transform(w, (x, j) -> named_struct('level', x.level, 'line', x.line, 'word', j, 'n', 1L, 'text', if({fits}, concat('w ', {text}), null)))"
+    of_lines = "transform(parts, p -> named_struct('level', p.level, 'line', p.line, 'word', cast(null as int), 'n', cast(size(p.words) as bigint), 'text', concat('l ', p.plain)))"
+    units = words.select("row", "place", "conv", F.explode(F.expr(f"concat({of_lines}, {of_words})")).alias("u")).select("row", "place", "conv", "u.*")
+    return units.withColumn("h1", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).withColumn("h2", F.when(F.col("text").isNotNull(), F.hash("text"))).drop("text")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) with what they reply to; written.
 
@@ -41,10 +67,13 @@ def linked(messages: DataFrame) -> DataFrame:
     found in an earlier message), max_level, place (order in the conversation),
     reply_place, quoted (whether the reply was found by its quotes).
 
-    Quoted lines are hashed without their marks and joined with the own lines of the
-    conversation's earlier messages: each finds the latest message that holds it. The
-    message that most of the lines at the first level come from is the one replied to (ties: the
-    latest); without any it is the message before. Equal turns are ordered by role, then text.
+    Quoted lines are taken without their marks; lines of one level that follow each other
+    are one passage. Windows of its words, over line breaks, and its lines are
+    hashed and joined with those of the own text of the conversation's earlier messages:
+    each finds the latest message that holds it. A line is found if it is a line there or
+    each of its words lies in a found window; a passage of fewer than WINDOW words is found by whole
+    lines alone. The message that most words at the first level come from is the one replied to (ties:
+    the latest); without any it is the message before. Equal turns are ordered by role, then text.
     """
     rows = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -52,30 +81,29 @@ def linked(messages: DataFrame) -> DataFrame:
     rows = written(rows.select("row", "conv_id", "turn", "role", "place", "body", F.expr("filter(parts, p -> p.plain <> '')").alias("parts")), "messages")
 
     # a null conv_id is a conversation of its own, so keys are compared by a hash that covers nulls
-    line = rows.select("row", "place", F.xxhash64(F.coalesce("conv_id", F.lit(-1)), F.col("conv_id").isNull()).alias("conv"), F.explode("parts").alias("p"))
-    line = line.select("row", "place", "conv", F.col("p.level").alias("level"), F.xxhash64("p.plain").alias("h1"), F.hash("p.plain").alias("h2"))
-    quotes = written(line.where("level > 0").groupBy("row", "place", "conv", "h1", "h2").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n")), "quotes")
-    wanted = quotes.select("conv", "h1", "h2").distinct()
-    sources = line.where("level = 0").join(wanted, ["conv", "h1", "h2"], "left_semi").select("conv", "h1", "h2", "place").distinct()
-    both = sources.select("conv", "h1", "h2", "place", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(0).cast("bigint").alias("n")).unionByName(
-        quotes.select("conv", "h1", "h2", "place", "row", F.col("level").cast("int").alias("level"), "n")
-    )
+    keyed = rows.withColumn("conv", F.xxhash64(F.coalesce("conv_id", F.lit(-1)), F.col("conv_id").isNull()))
+    quoting = F.expr("exists(parts, p -> p.level > 0)")
+    units = _units(keyed.join(keyed.where(quoting).select("conv").distinct(), "conv", "left_semi"))
+    quotes = written(units.where("level > 0"), "quotes")
+    wanted = quotes.where("h1 is not null").groupBy("row", "place", "conv", "h1", "h2").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    sources = units.where("level = 0").join(wanted.select("conv", "h1", "h2").distinct(), ["conv", "h1", "h2"], "left_semi").select("conv", "h1", "h2", "place").distinct()
+    both = sources.select("conv", "h1", "h2", "place", F.lit(None).cast("bigint").alias("row")).unionByName(wanted)
     earlier = W.partitionBy("conv", "h1", "h2").orderBy("place").rangeBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("source", F.max(F.when(F.col("row").isNull(), F.col("place"))).over(earlier)).where("row is not null")
-    votes = found.groupBy("row", "level", "source").agg(F.sum("n").alias("n"))
-    per = votes.groupBy("row").agg(
-        F.sum("n").alias("n_quoted"),
-        F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_found"),
-        F.max("level").alias("max_level"),
-        F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("n").alias("n"), F.col("source").alias("s")))).alias("best"),
-    )
+    found = both.withColumn("source", F.max(F.when(F.col("row").isNull(), F.col("place"))).over(earlier)).where("row is not null and source is not null")
+    at = quotes.join(found.select("row", "h1", "h2", "source"), ["row", "h1", "h2"], "left").select("row", "level", "line", "word", "n", "source")
+    covers = W.partitionBy("row", F.col("word").isNull()).orderBy("word").rowsBetween(1 - WINDOW, 0)
+    at = written(at.withColumn("covered", F.when(F.col("word").isNotNull(), F.max(F.col("source").isNotNull()).over(covers))), "found")
+    lines = at.groupBy("row", "line", "level").agg(F.greatest(F.max(F.when(F.col("word").isNull(), F.col("source").isNotNull())), F.min("covered")).alias("is_found"))
+    counts = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_quoted"), F.count_if("is_found").alias("n_found"), F.max("level").alias("max_level"))
+    votes = at.where("source is not null").groupBy("row", "level", "source").agg(F.sum("n").alias("n"))
+    per = counts.join(votes.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("n").alias("n"), F.col("source").alias("s"))).alias("best")), "row", "left")
     out = rows.join(per, "row", "left").select(
         "row", "conv_id", "turn", "role", "body", "place",
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("max_level", F.lit(0)).alias("max_level"),
         F.coalesce("best.s", F.when(F.col("place") > 1, F.col("place") - 1)).alias("reply_place"), F.col("best").isNotNull().alias("quoted"),
     )
     out = written(out, "linked")
-    drop_written(rows, quotes)
+    drop_written(rows, quotes, at)
     return out
 
 

@@ -78,6 +78,22 @@ def test_a_long_plain_conversation_needs_no_rounds(spark):
     assert quotations.reply_order(docs.limit(0)).count() == 0
 
 
+def test_quotes_are_found_across_line_breaks_and_inside_lines(spark):
+    first = "The first point is that nobody ever measured how long the second stage takes on a cold start of the whole machine."
+    rows = [
+        (1, 0, "a", first), (1, 1, "b", "Something else entirely, yes.\nyes"),
+        (1, 2, "c", "> The first point is that nobody ever measured\n> how long the second stage takes on a cold\n> start of the whole machine.\n> yes\nI did."),
+        (1, 3, "d", "> how long the second stage takes\nAn hour."),
+        (1, 4, "e", "> nobody ever said this\n> at all\nno"),
+        (2, 0, "a", "one two\nthree four five"), (2, 1, "b", "x"), (2, 2, "c", "> one two three four five\ny"),
+        (3, 0, "a", "漢字仮名交文章改行"), (3, 1, "b", "x"), (3, 2, "c", "> 漢字仮名交\n> 文章改行\ny"),
+    ]
+    out = {(r.conv_id, r.turn): r for r in quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(out[1, t].reply_to, out[1, t].n_quoted, out[1, t].n_found) for t in (2, 3, 4)] == [(0, 4, 4), (0, 1, 1), (3, 2, 0)]
+    assert (out[2, 2].reply_to, out[2, 2].n_found) == (0, 1) and (out[3, 2].reply_to, out[3, 2].n_found) == (0, 2)
+    assert out[1, 2].text == "I did."
+
+
 # 3. toxicity
 
 
