@@ -94,6 +94,23 @@ def test_quotes_are_found_across_line_breaks_and_inside_lines(spark):
     assert out[1, 2].text == "I did."
 
 
+def test_interleaved_threads_of_any_length_are_in_preorder(spark):
+    """Every message quotes the one before the last, so each starts a branch."""
+    n = 300
+    rows = [(c, i, "u", (f"> line {i - 2} of conversation {c} here\n" if i > 1 else "> line 3 of conversation 1 here\n" if i == 250 else "") + f"line {i} of conversation {c} here") for c in (1, None) for i in range(n)]
+    out = quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, None):
+        one = sorted((r for r in out if r.conv_id == c), key=lambda r: r.position)
+        parent = {i: None if i == 0 else max(i - 2, 0) for i in range(n)}
+        children = {i: [j for j in range(n) if parent[j] == i] for i in range(n)}
+        want, left = [], [(0, 0)]
+        while left:
+            i, depth = left.pop()
+            want.append((i, parent[i], depth))
+            left += [(j, depth + (j != i + 1)) for j in reversed(children[i])]
+        assert [(r.turn, r.reply_to, r.depth) for r in one] == want and [r.position for r in one] == list(range(1, n + 1))
+
+
 # 3. toxicity
 
 
