@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqloom.functions import layout as L
 from seqloom.operators import frames as O
 from seqloom.plans.frames_sql import FRAMES, HAND_MIN, SCALE_MIN, VELOCITY, chain, resampled
+from seqloom.session import shared_dir
+from seqloom.sources import io
 from seqloom.sources import surrogates as V
 
 
@@ -15,6 +19,15 @@ def frames_scan(spark, sf):
     return O.long_rows(f.select("clip_id", "frame_idx", "pose"), ["clip_id", "frame_idx"], "pose", 6)
 
 
+def frames_round_trip(spark, sf):
+    """All blocks, flags and rates written as a landmark table to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex[:12]}"
+    f = V.embedding_frames(spark, sf)
+    io.write_frames(f.select("clip_id", "frame_idx", "fps", "pose", "lhand", "rhand", "face", "pose_ok", "lhand_ok", "rhand_ok"), path)
+    f = io.read_frames(spark, path).withColumn("every", F.concat("pose", "lhand", "rhand", "face"))
+    return O.long_rows(f, ["clip_id", "frame_idx", "fps", "pose_ok", "lhand_ok", "rhand_ok"], "every", 6)
+
+
 def keypoint_project(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("lm"))
     p = O.project_keypoints(e, "lm", "lm", 640, 480)
@@ -89,6 +102,10 @@ REGISTRY = {
         frames_scan,
         f"with {FRAMES} select clip_id, f::int as frame_idx, j::int as dim, round(raw[(j+1)::int], 6) {Z} as v from fr, range(18) t(j)",
     ),
+    "frames_round_trip": (
+        frames_round_trip,
+        f"with {FRAMES} select clip_id, f::int as frame_idx, fps, pose_ok, lhand_ok, rhand_ok, j::int as dim, round(raw[(j+1)::int], 6) {Z} as v from fr, range(142) t(j)",
+    ),
     "keypoint_project": (
         keypoint_project,
         f"""with ix as (

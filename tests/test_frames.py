@@ -158,3 +158,13 @@ def test_training_set_is_reproducible(spark):
 
 def test_schema_of_frames():
     assert [f.name for f in FRAME_SCHEMA][:2] == ["clip_id", "frame_idx"]
+
+
+def test_all_blocks_pass_through_a_landmark_table(spark, tmp_path):
+    from seqloom.plans.registry import REGISTRY
+
+    rows = [(i, 0, [float(j + i) for j in range(64)]) for i in (0, 1, 25)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = REGISTRY["frames_round_trip"][0](spark, str(tmp_path)).collect()
+    assert len(out) == 3 * 142 and {(r.frame_idx, r.dim): r.v for r in out} == {(f, j): float(j % 64 + i) for f, (i, _, _) in enumerate(rows) for j in range(142)}
+    assert {(r.frame_idx, r.fps, r.pose_ok, r.lhand_ok, r.rhand_ok) for r in out} == {(0, 25.0, False, False, True), (1, 25.0, False, True, False), (2, 25.0, True, False, False)}
