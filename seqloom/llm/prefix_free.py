@@ -2,12 +2,12 @@
 
 A rolling hash over TRIGGER bytes ends phrases, so equal strings are parsed alike
 wherever they stand. The dictionary (distinct phrases) settles most of the corpus: a
-string that holds a phrase which occurs once can't be repeated. What is left is put
-into the order of corpus suffixes by the two parts of the prefix-free order, the rest of
-the phrase before a string's first trigger and the parse that follows it, each to the
-depth that matters. Strings of one class of that order are equal: a class with
-two members is a repeat. Only class names (128-bit hashes) are shuffled, never
-suffixes, and copies share the classes of their phrases.
+string that holds a phrase which occurs once can't be repeated. The parse serves only
+this filter. What is left is grouped by hashes of its bytes: windows placed by a string's
+first trigger come first, and single strings are compared only where all but STEP of their
+bytes agree already. Strings with one 128-bit hash are taken as equal: a class with two
+members is a repeat. No suffix array of the dictionary or the parse is built, and
+no suffixes are sorted; only hashes are shuffled.
 """
 
 from __future__ import annotations
