@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import layout as L
 from seqloom.operators import augment as A
 from seqloom.operators import frames as O
-from tests.people import FRAME_SCHEMA, frames, person, windows
+from tests.people import BODY, FRAME_SCHEMA, frames, person, windows
 
 
 @pytest.fixture(scope="module")
@@ -96,7 +96,8 @@ def test_shoulder_fallbacks(spark):
     got = {(x["clip_id"], x["frame_idx"]): (x["scale"], x["sin_a"]) for x in b.collect()}
     torso = np.hypot(*(p["pose"][2, 1] - (p["pose"][2, 7] + p["pose"][2, 8]) / 2))
     assert got["p", 2][0] == pytest.approx(0.9 * torso) and got["p", 2][1] == 0
-    assert got["q", 3][0] == pytest.approx(0.24)
+    shoulders = np.hypot(*(BODY[1] - BODY[2]))
+    assert got["q", 3][0] == pytest.approx(shoulders)
     assert all(got["r", i][0] == 0.25 for i in range(3))
 
 
