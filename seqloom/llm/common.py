@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,17 @@ def drop_written(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as none of the columns needs to clash with it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8_views(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column in one buffer, and each row's offsets in it (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,4 +107,4 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first())
 
 
-__all__ = ["components", "drop_written", "scratch", "text_slices", "utf8_views", "written"]
+__all__ = ["components", "drop_written", "scratch", "text_slices", "unused", "utf8_views", "written"]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import components, drop_written, text_slices, utf8_views, written
+from seqloom.llm.common import components, drop_written, text_slices, unused, utf8_views, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -287,9 +287,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each component (see near_duplicates), once; same columns."""
-    kept = _classes(docs, similarity).where("kept").select(F.col("doc_id").alias("_w_doc"), F.col("k1").alias("_w1"), F.col("k2").alias("_w2"))
+    """One document of each component (see near_duplicates), once; same columns.
+
+    Null texts and texts without words all stay; of rows with one doc_id and text, which
+    can differ in other columns only, one stays; an empty table gives no row; columns may
+    have any names.
+    """
+    d, w1, w2, k0, k1, k2 = unused(docs.columns, "d", "w1", "w2", "k0", "k1", "k2")
+    kept = _classes(docs, similarity).where("kept").select(F.col("doc_id").alias(d), F.col("k1").alias(w1), F.col("k2").alias(w2))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_k0": F.col("doc_id").cast("bigint"), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    rows = rows.join(kept, (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2")) & F.col("_k0").eqNullSafe(F.col("_w_doc")), "left_semi")
-    return rows.dropDuplicates(["_k0", "_k1", "_k2"]).select(*docs.columns)
+    rows = docs.select("*", F.col("doc_id").cast("bigint").alias(k0), F.xxhash64(text).alias(k1), F.xxhash64(F.lit(1), text).alias(k2))
+    rows = rows.join(kept, (F.col(k1) == F.col(w1)) & (F.col(k2) == F.col(w2)) & F.col(k0).eqNullSafe(F.col(d)), "left_semi")
+    return rows.dropDuplicates([k0, k1, k2]).select(*docs.columns)

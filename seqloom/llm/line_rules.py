@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from seqloom.llm.common import text_slices, utf8_views, written
+from seqloom.llm.common import text_slices, unused, utf8_views, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -145,26 +145,29 @@ def judge(docs: DataFrame, host: str = "source", max_documents: int = MAX_HOST_D
 def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_HOST_DOCUMENTS) -> DataFrame:
     """The kept documents with their boilerplate lines cut out; same columns, n_chars (if there) counted anew.
 
-    Rows with the same doc_id, host and text share one verdict and all stay or go.
+    Rows with the same doc_id, host and text share one verdict and all stay or go. Null
+    and empty texts fail the base rule and go; a text of any length is read line by
+    line; an empty table gives no row; columns may have any names.
     """
+    columns = docs.columns
+    own_hash, k_doc, k_host, k_text, gone = unused(columns, "text_hash", "k_doc", "k_host", "k_text", "bad")
     stats = document_stats(docs, host)
     lines = boilerplate_lines(stats, max_documents)
     kept = verdicts(stats, lines).where("kept")
     held = stats.select("row", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode("lines").alias("l"))
     bad = held.select("row", "host", "no_host", "l.line").join(lines, ["host", "no_host", "line"]).groupBy("row").agg(F.collect_set("line").alias("bad"))  # at most a document's lines
-    one = kept.join(bad, "row", "left").select(F.col("doc_id").alias("_k_doc"), F.col("host").alias("_k_host"), F.col("text_hash").alias("_k_text"), F.coalesce("bad", F.array().cast("array<binary>")).alias("_bad"))
-    one = one.dropDuplicates(["_k_doc", "_k_host", "_k_text"])
-    columns = docs.columns
+    one = kept.join(bad, "row", "left").select(F.col("doc_id").alias(k_doc), F.col("host").alias(k_host), F.col("text_hash").alias(k_text), F.coalesce("bad", F.array().cast("array<binary>")).alias(gone))
+    one = one.dropDuplicates([k_doc, k_host, k_text])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8_views(batch.column(batch.schema.get_field_index("text")))
             raw = memoryview(data)
             own = pa.array([xxhash.xxh3_128_digest(raw[at[i] : at[i + 1]]) for i in range(batch.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "_text_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, own_hash])
 
-    rows = docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField("_text_hash", BinaryType())]))
-    same = F.col("_k_doc").eqNullSafe(F.col("doc_id").cast("bigint")) & F.col("_k_host").eqNullSafe(F.col(host).cast("string")) & (F.col("_k_text") == F.col("_text_hash"))
+    rows = docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(own_hash, BinaryType())]))
+    same = F.col(k_doc).eqNullSafe(F.col("doc_id").cast("bigint")) & F.col(k_host).eqNullSafe(F.col(host).cast("string")) & (F.col(k_text) == F.col(own_hash))
     rows = rows.join(one, same)
 
     def cut(text: str | None, bad: set[bytes]) -> str | None:
@@ -178,7 +181,7 @@ def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_HOST_D
             texts = [cut(t, set(b)) for t, b in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == i else batch.column(c) for c in range(batch.num_columns - 1)], columns)
 
-    out = rows.select(*columns, "_bad").mapInArrow(rewrite, docs.schema)
+    out = rows.select(*columns, gone).mapInArrow(rewrite, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
@@ -192,10 +195,7 @@ ln as (select r, source, t, pos, line, array_to_string(list_transform(regexp_ext
   from (select r, source, t, unnest(string_split(t, chr(10))) as line, unnest(range(0, len(string_split(t, chr(10))))) as pos from d)),
 dup as (select r, count(*) as n from (select r, row_number() over (partition by r, line order by pos) as k from ln where words > 0) where k > 1 group by r),
 freq as (select source, norm from ln where words > 0 group by source, norm having count(distinct t) > 10),
-held as (select ln.r, ln.source, ln.norm, sum(ln.words) as words from ln join freq on ln.source is not distinct from freq.source and ln.norm = freq.norm where ln.words > 0 group by all),
-pct as (select held.r, 100 * sum(held.words) / any_value(len(w.ws)) as p from held join w on w.r = held.r group by held.r),
-boiler as (select held.source, held.norm from held join pct on pct.r = held.r group by all having avg(pct.p) <= 50),
-gone as (select held.r, sum(held.words) as n from held join boiler on held.source is not distinct from boiler.source and held.norm = boiler.norm group by held.r),
+gone as (select ln.r, sum(ln.words) as n from ln join freq on ln.source is not distinct from freq.source and ln.norm = freq.norm where ln.words > 0 group by ln.r),
 s as (select w.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars, len(regexp_extract_all(w.t, '[#*$%&|<>]')) as n_symbols,
   coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(gone.n, 0) as gone
   from w left join dup on dup.r = w.r left join rep on rep.r = w.r left join gone on gone.r = w.r)

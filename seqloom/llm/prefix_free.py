@@ -4,7 +4,7 @@ A rolling hash over TRIGGER bytes ends phrases, so equal strings are parsed alik
 wherever they stand. The dictionary (distinct phrases) settles most of the corpus: a
 string that holds a phrase which occurs once can't be repeated. The parse serves only
 this filter. What is left is grouped by hashes of its bytes: windows placed by a string's
-first trigger come first, and single strings are compared only where all but STEP of their
+first trigger come first, and single strings are compared only where all but a few of their
 bytes agree already. Strings with one 128-bit hash are taken as equal: a class with two
 members is a repeat. No suffix array of the dictionary or the parse is built, and
 no suffixes are sorted; only hashes are shuffled.
@@ -23,13 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seqloom.llm.common import drop_written, text_slices, utf8_views, written
+from seqloom.llm.common import drop_written, text_slices, unused, utf8_views, written
 from seqloom.llm.dart_minhash import _powers, _size, mixed
 
 LENGTH = 400
+STAGE_LENGTH = 200  # a passage of over 50 words is longer
 TRIGGER = 16  # bytes under the rolling hash
-PHRASE = 48  # mean bytes between triggers
-STEP = 16  # strings are compared one by one only where all but STEP of their bytes, placed by the first trigger, agree already
+
+
+def phrase_bytes(length: int) -> int:
+    """Mean bytes between triggers: a string of `length` bytes holds about eight phrases."""
+    return max(1, 12 * length // 100)
+
+
+def step_bytes(length: int) -> int:
+    """Strings are compared one by one only where all but so many of their bytes, placed by the first trigger, agree already."""
+    return max(1, length // 25)
+
 
 _U = np.uint64
 _PARSED = "row bigint, doc_id bigint, k1 bigint, k2 bigint, n_bytes bigint, triggers array<int>, phrases array<bigint>"
@@ -41,23 +51,23 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])]), down
 
 
-def triggers(data: np.ndarray, at: np.ndarray, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+def triggers(data: np.ndarray, at: np.ndarray, sums: np.ndarray, down: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Starts of the TRIGGER-byte strings whose hash is small; none crosses the end of a text."""
     n = len(data) - TRIGGER + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     h = mixed((sums[TRIGGER:] - sums[:-TRIGGER]) * down[:n], 11)
-    t = np.flatnonzero(h < _U(2**64 // PHRASE))
+    t = np.flatnonzero(h < _U(2**64 // phrase_bytes(length)))
     return t[at[np.searchsorted(at, t, "right")] - t >= TRIGGER] if len(t) else t
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     for batch in text_slices(batches, "text"):
         data, at = utf8_views(batch.column(3))
         data, at = data[at[0] : at[-1]], at - at[0]
         sums, down = _sums(data)
-        t = triggers(data, at, sums, down)
+        t = triggers(data, at, sums, down, length)
         text = np.searchsorted(at, t, "right") - 1
         to = np.minimum(np.append(t[1:], 0) + TRIGGER, len(data))
         h = mixed((sums[to] - sums[t]) * down[t], 12).view(np.int64)  # of the phrase up to the next trigger's end
@@ -96,13 +106,13 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1], 1)
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own, found = [], []
         for i in range(batch.num_rows):
             t = batch.column(2)[i].values
             shared = batch.column(3)[i].values
-            r = possible_starts(t.to_numpy() if t else np.zeros(0, np.int32), batch.column(1)[i].as_py(), shared.to_numpy() if shared else np.zeros(0, np.int64))
+            r = possible_starts(t.to_numpy() if t else np.zeros(0, np.int32), batch.column(1)[i].as_py(), shared.to_numpy() if shared else np.zeros(0, np.int64), length)
             if len(r):
                 own.append(i)
                 found.append(r.reshape(-1).astype(np.int32))
@@ -110,15 +120,15 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, bytes, int]]:
-    """Runs of up to STEP starts that have the same first trigger: (first, last, name, place).
+    """Runs of up to a step of starts that have the same first trigger: (first, last, name, place).
 
-    Runs end at whole multiples of STEP before the trigger, so equal strings lie in runs
+    Runs end at whole multiples of the step before the trigger, so equal strings lie in runs
     that end alike. The name stands for all bytes of the run's strings; the place for the
     bytes that every string of such a run has. Strings without a trigger share one place.
     """
     raw = memoryview(data)
     sums, down = _sums(data)
-    t = triggers(data, np.array([0, len(data)]), sums, down)
+    t, step = triggers(data, np.array([0, len(data)]), sums, down, length), step_bytes(length)
     out = []
     for a, b in starts.tolist():
         i = np.arange(a, b + 1)
@@ -126,28 +136,28 @@ def units(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tu
         first = np.append(t, len(data) + length)[k]
         away = first - i
         none = away > length - TRIGGER
-        kind, first = np.where(none, -1, away // STEP), np.where(none, -1, first)
+        kind, first = np.where(none, -1, away // step), np.where(none, -1, first)
         new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (kind[1:] != kind[:-1])]))
         for x, y in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(i) - 1]):
-            begin = int(first[x]) - STEP * int(kind[x])
-            core = raw[begin : begin + length - STEP + 1] if kind[x] >= 0 else b""
+            begin = int(first[x]) - step * int(kind[x])
+            core = raw[begin : begin + length - step + 1] if kind[x] >= 0 else b""
             place = xxhash.xxh3_64_intdigest(core, int(kind[x]) + 1)
             out.append((a + x, a + y, xxhash.xxh3_128_digest(raw[a + x : a + y + length]), place - (1 << 63)))
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
         rows = []
         for row, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = np.frombuffer(text.encode(), np.uint8)
-            rows += [(row, *u) for u in units(data, np.array(starts).reshape(-1, 2))]
+            rows += [(row, *u) for u in units(data, np.array(starts).reshape(-1, 2), length)]
         cols = zip(*rows) if rows else [[]] * 5
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["row", "first", "last", "name", "place"])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Names of all strings of the runs that must be compared; equal ones of a text in one row."""
     for batch in text_slices(batches, "text"):
         names, counts, rows, at = [], [], [], []
@@ -156,7 +166,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[bytes, list[int]] = {}
             for s in starts:
                 for i in range(s["first"], s["last"] + 1):
-                    seen.setdefault(xxhash.xxh3_128_digest(raw[i : i + LENGTH]), []).append(i)
+                    seen.setdefault(xxhash.xxh3_128_digest(raw[i : i + length]), []).append(i)
             names += seen.keys()
             counts += [len(v) for v in seen.values()]
             at += seen.values()
@@ -169,27 +179,27 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The documents' keys (row, doc_id, k1, k2, n_bytes) and, for texts with repeats, (k1, k2, spans).
 
-    spans lists [first, last) of the maximal runs of bytes covered by a string of LENGTH
+    spans lists [first, last) of the maximal runs of bytes covered by a string of `length`
     bytes that also starts elsewhere, in order. Both tables are written.
     """
-    parsed = written(_keys(docs).mapInArrow(_parse, _PARSED), "parsed")
+    parsed = written(_keys(docs).mapInArrow(lambda b: _parse(b, length), _PARSED), "parsed")
     texts = parsed.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
-    texts = written(texts.join(parsed.select("row", "doc_id", "n_bytes"), "row").where(f"n_bytes >= {LENGTH}"), "texts")
+    texts = written(texts.join(parsed.select("row", "doc_id", "n_bytes"), "row").where(f"n_bytes >= {length}"), "texts")
     single = parsed.join(texts.select("row"), "row", "left_semi")
     phrases = single.select("row", F.posexplode("phrases").alias("j", "phrase"))
     shared = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     marks = phrases.join(shared, "phrase", "left_semi").groupBy("row").agg(F.collect_list("j").alias("shared"))  # at most a text's phrases
     asked = single.select("row", "n_bytes", "triggers").join(marks, "row", "left").select("row", F.col("n_bytes"), "triggers", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
-    regions = written(asked.mapInArrow(_regions, "row bigint, starts array<int>").join(texts.select("row", F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "row"), "regions")
+    regions = written(asked.mapInArrow(lambda b: _regions(b, length), "row bigint, starts array<int>").join(texts.select("row", F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "row"), "regions")
     same = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     held = written(_keys(docs).join(regions, same).select("row", "text", "starts").dropDuplicates(["row"]), "held")
     keys = written(parsed.select("row", "doc_id", "k1", "k2", "n_bytes"), "keys")
     drop_written(parsed, regions)
 
-    found = written(held.mapInArrow(_units, _UNITS), "units")
+    found = written(held.mapInArrow(lambda b: _units(b, length), _UNITS), "units")
     classes = written(found.groupBy("name", "place").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "unit-classes")
     open_ = classes.groupBy("place").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("place")
     # one member of every class at an open place is compared string by string
@@ -197,7 +207,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # runs whose place is none's may repeat within themselves
     alone = found.where(F.col("last") > F.col("first")).where(F.col("place") == xxhash.xxh3_64_intdigest(b"", 0) - (1 << 63)).select("row", "first", "last")
     compare = member.select("row", "first", "last").unionByName(alone).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    strings = written(held.select("row", "text").join(compare, "row").select("row", "text", "runs").mapInArrow(_strings, "string binary, n bigint, row bigint, at array<int>"), "strings")
+    strings = written(held.select("row", "text").join(compare, "row").select("row", "text", "runs").mapInArrow(lambda b: _strings(b, length), "string binary, n bigint, row bigint, at array<int>"), "strings")
     twice = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
     alike = strings.join(twice, "string", "left_semi").select("row", F.explode("at").alias("first")).select("row", "first", F.col("first").alias("last"))
     copied = found.join(classes.where("n > 1").select("name"), "name", "left_semi").select("row", "first", "last")
@@ -209,7 +219,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for n, r in zip(batch.column(2).to_pylist(), batch.column(3)):
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, r.values.field("first").to_numpy(), 1)
-                np.add.at(edge, r.values.field("last").to_numpy() + LENGTH, -1)
+                np.add.at(edge, r.values.field("last").to_numpy() + length, -1)
                 out.append((runs(np.cumsum(edge[:-1]) > 0) + np.array([0, 1])).reshape(-1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["k1", "k2", "spans"])
 
@@ -252,17 +262,20 @@ def removals(docs: DataFrame) -> DataFrame:
     return digest.mapInArrow(describe, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without the bytes of repeated strings; same columns, n_chars (if there) counted anew.
+def without_repeats(docs: DataFrame, length: int = STAGE_LENGTH) -> DataFrame:
+    """The documents without the bytes of strings of `length` bytes that also start elsewhere; same columns, n_chars (if there) counted anew.
 
-    A cut is moved inwards to whole characters, so up to three bytes of a repeat may stay at either side.
+    A cut is moved inwards to whole characters, so up to three bytes of a repeat may
+    stay at either side. Null texts stay null; repeated rows are copies of each other
+    and lose their texts; an empty table gives no row; columns may have any names.
     """
-    _, spans = repeats(docs)
+    _, spans = repeats(docs, length)
     columns = docs.columns
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    s = spans.select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2"), F.col("spans").alias("_spans"))
-    rows = rows.join(s, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left").select(*docs.columns, "_spans")
+    a, b, c, d, cuts = unused(columns, "k1", "k2", "s1", "s2", "spans")
+    rows = docs.select("*", F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b))
+    s = spans.select(F.col("k1").alias(c), F.col("k2").alias(d), F.col("spans").alias(cuts))
+    rows = rows.join(s, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left").select(*columns, cuts)
 
     def cut(value: str, spans: list[int]) -> str:
         data = value.encode()

@@ -32,6 +32,32 @@ def test_repeats_equal_brute_force(spark):
     assert [tuple(r)[1:] for r in got] == H.repeats_by_force(texts)
 
 
+def test_repeats_of_other_lengths_equal_brute_force(spark):
+    texts = H.varied_texts(60, 9)
+    for length in (200, 60):
+        keys, spans = prefix_free.repeats(H.docs_frame(spark, texts), length)
+        spans = {r.doc_id: r.spans for r in keys.join(spans, ["k1", "k2"]).select("doc_id", "spans").collect()}
+        found = [(sum(s[1::2]) - sum(s[::2]), len(s) // 2) for s in (spans.get(i) or [] for i in range(len(texts)))]
+        assert found == [w[1:3] for w in H.repeats_by_force(texts, length)]
+
+
+def test_repeats_stage_takes_passages_of_51_words(spark):
+    """A passage of 51 words and about 250 bytes goes; columns may have the operator's own names."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i % 7}x{i}" for i in range(51))
+    assert 200 < len(passage) < 300
+    texts = [" ".join(f"a{d}y{i}" for i in range(60)) + f" {passage} " + " ".join(f"{d}b{i}" for i in range(60)) for d in range(4)] + [None, "", "short"]
+    docs = H.docs_frame(spark, texts).withColumns({c: F.lit("x") for c in ("k2", "s1", "s2", "spans", "_k1", "_spans", "bad", "text_hash", "k0", "w1", "d")})
+    out = {r.doc_id: r.text for r in prefix_free.without_repeats(docs).collect()}
+    assert all(passage not in out[d] and f"a{d}y5" in out[d] and f"{d}b0" in out[d] for d in range(4))
+    assert out[4] is None and out[5] == "" and out[6] == "short"
+    assert line_rules.clean(docs).columns == docs.columns and line_rules.clean(docs).count() == 4
+    kept = dart_minhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 7
+    assert prefix_free.without_repeats(H.none(spark)).count() == 0 and dart_minhash.without_near_duplicates(H.none(spark)).count() == 0
+
+
 def test_repeats_on_awkward_rows(spark):
     got = prefix_free.removals(H.awkward(spark)).collect()
     assert len(got) == 8 and sum(r.n_bytes == 0 for r in got) == 2
@@ -231,7 +257,11 @@ def test_shared_lines_go_however_much_of_a_page_they_are(spark):
 def test_line_rules_equal_sql(spark):
     import duckdb
 
+    shared = "\n".join(" ".join(f"nav{i}x{j}" for j in range(9)) for i in range(20))
+    pages = [f"{shared}\n" + " ".join(f"own{i}x{j}" for j in range(20)) for i in range(40)]
+    footers = [" ".join(f"n{i}x{j}" for j in range(57)) + "\nthe shared footer" for i in range(20)]
     docs = _hosts(spark).unionByName(H.awkward(spark)).unionByName(H.docs_frame(spark, H.varied_texts(40), 500))
+    docs = docs.unionByName(H.docs_frame(spark, pages, 700, "pages")).unionByName(H.docs_frame(spark, footers, 800, "footers"))
     got = sorted(map(repr, (tuple(r) for r in line_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept").collect())))
     con = duckdb.connect()
     con.register("pdf", docs.toPandas())

@@ -35,7 +35,7 @@ def test_stages_one_by_one(spark):
             assert set(after) == {ids[c] for c in classes}
         if name == "repeats":
             ids = sorted(before)
-            for i, want in zip(ids, H.repeats_by_force([before[i] for i in ids])):
+            for i, want in zip(ids, H.repeats_by_force([before[i] for i in ids], 200)):
                 assert 0 <= len(after[i].encode()) - (want[0] - want[1]) <= 6 * want[2]
         seen = out
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
