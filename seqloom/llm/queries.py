@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import line_rules
+from seqloom.llm import filter_audit, line_rules
 from seqloom.sources.surrogates import table
 
 
@@ -69,11 +69,18 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_prefix_free_repeats, op2_quotations, op3_steady_toxicity, op4_multi_index, op5_line_rules,
         op6_best_fit_packing, op7_tree_bpe, op8_id_files, op9_html_layout, op10_dart_minhash,
+        op11_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL}
+SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL, "op11_filter_audit": filter_audit.SQL}
