@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,12 +20,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def norm(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "~"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return repr(v + 0.0)
+        return str(int(v)) if v.is_integer() else repr(v)  # a column of whole numbers with nulls comes as floats from either side
     return str(v)
 
 
