@@ -84,13 +84,11 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         row += n
 
 
-def possible_starts(t: np.ndarray, n_bytes: int, shared: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The starts of all strings of `length` bytes that hold no phrase which occurs once, as runs [first, last]."""
+def possible_starts(t: np.ndarray, n_bytes: int, once: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The starts of all strings of `length` bytes that hold none of the phrases `once`, which occur nowhere else, as runs [first, last]."""
     n = n_bytes - length + 1
     if n <= 0:
         return np.zeros((0, 2), np.int64)
-    once = np.ones(max(len(t) - 1, 0), bool)
-    once[shared] = False
     t = t.astype(np.int64)
     low, high = np.maximum(t[1:][once] + TRIGGER - length, 0), np.minimum(t[:-1][once], n - 1)
     use = low <= high
@@ -111,8 +109,8 @@ def _regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         own, found = [], []
         for i in range(batch.num_rows):
             t = batch.column(2)[i].values
-            shared = batch.column(3)[i].values
-            r = possible_starts(t.to_numpy() if t else np.zeros(0, np.int32), batch.column(1)[i].as_py(), shared.to_numpy() if shared else np.zeros(0, np.int64), length)
+            once = batch.column(3)[i].values
+            r = possible_starts(t.to_numpy() if t else np.zeros(0, np.int32), batch.column(1)[i].as_py(), once.to_numpy() if once else np.zeros(0, np.int64), length)
             if len(r):
                 own.append(i)
                 found.append(r.reshape(-1).astype(np.int32))
@@ -190,9 +188,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     texts = written(texts.join(parsed.select("row", "doc_id", "n_bytes"), "row").where(f"n_bytes >= {length}"), "texts")
     single = parsed.join(texts.select("row"), "row", "left_semi")
     phrases = single.select("row", F.posexplode("phrases").alias("j", "phrase"))
-    shared = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
-    marks = phrases.join(shared, "phrase", "left_semi").groupBy("row").agg(F.collect_list("j").alias("shared"))  # at most a text's phrases
-    asked = single.select("row", "n_bytes", "triggers").join(marks, "row", "left").select("row", F.col("n_bytes"), "triggers", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+    seen = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("j").alias("j"))  # the place of a phrase that occurs once
+    marks = seen.where("n = 1").groupBy("row").agg(F.collect_list("j").alias("once"))  # at most a text's phrases
+    asked = single.select("row", "n_bytes", "triggers").join(marks, "row", "left").select("row", "n_bytes", "triggers", F.coalesce("once", F.array().cast("array<int>")).alias("once"))
     regions = written(asked.mapInArrow(lambda b: _regions(b, length), "row bigint, starts array<int>").join(texts.select("row", F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "row"), "regions")
     same = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     held = written(_keys(docs).join(regions, same).select("row", "text", "starts").dropDuplicates(["row"]), "held")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import filter_audit, line_rules
+from seqloom.llm import filter_audit, line_rules, spelling
 from seqloom.sources.surrogates import table
 
 
@@ -75,12 +75,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_prefix_free_repeats, op2_quotations, op3_steady_toxicity, op4_multi_index, op5_line_rules,
         op6_best_fit_packing, op7_tree_bpe, op8_id_files, op9_html_layout, op10_dart_minhash,
-        op11_filter_audit,
+        op11_filter_audit, op12_spelling_variants,
     )
 }
-SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL, "op11_filter_audit": filter_audit.SQL}
+SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL, "op11_filter_audit": filter_audit.SQL, "op12_spelling_variants": spelling.SQL}
