@@ -81,12 +81,19 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqloom.llm.language_spans import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_prefix_free_repeats, op2_quotations, op3_steady_toxicity, op4_multi_index, op5_line_rules,
         op6_best_fit_packing, op7_tree_bpe, op8_id_files, op9_html_layout, op10_dart_minhash,
-        op11_filter_audit, op12_spelling_variants,
+        op11_filter_audit, op12_spelling_variants, op13_language_spans,
     )
 }
 SQL: dict[str, str] = {"op5_line_rules": line_rules.SQL, "op11_filter_audit": filter_audit.SQL, "op12_spelling_variants": spelling.SQL}
