@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -34,8 +36,48 @@ def pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: Fixed value: the pre-tokenizing pattern of byte-level vocabularies.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")  # pieces of two matches at most, on which all libraries agree
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow U+0100 in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def ranked_encoding(path: str):
+    """The vocabulary of a tokenizers file as merge ranks for tiktoken, which encodes many short pieces quicker; None if ids aren't in merge order."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+        return None
+    letters, added = byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])) or any(c not in letters for t in vocab for c in t):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class PieceEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+
+    Pieces are numbered once; their ids lie in one array, from which texts are put together.
+    """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -43,42 +85,84 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size()
-        self._after_space = np.array([(self._tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-        self._cache: dict[str, bytes] = {}
+        after_space = [i for i in range(size) if (self._tokenizer.id_to_token(i) or "").startswith(SPACE)]
+        self._after_space = np.zeros(size, bool)
+        self._after_space[after_space] = True
+        self._ranked = ranked_encoding(path)
+        # tokens that merges of their own letters don't lead to: tiktoken would take them whole
+        ids = [(i, self._tokenizer.decode([i], skip_special_tokens=False)) for i in range(size)] if self._ranked else []
+        ids = [(i, t) for i, t in ids if _PLAIN.fullmatch(t[1:] if t[:1] == " " else "a" + t)]
+        self._odd = {t for (i, t), e in zip(ids, self._tokenizer.encode_batch_fast([t for _, t in ids], add_special_tokens=False)) if e.ids != [i]}
         self._cache_pieces = cache_pieces
-
-    def _ids(self, wanted: list[str]) -> list[bytes]:
-        """The ids of each piece as it stands after a space."""
-        found: list[bytes] = []
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at : at + 4096]
-            ids = np.array(self._tokenizer.encode("".join(" " + p for p in some), add_special_tokens=False).ids, "<u4")
-            starts = 4 * np.flatnonzero(self._after_space[ids])
-            if len(starts) == len(some):  # one id that starts with the space for each piece
-                data, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
-                found += [data[i:j] for i, j in zip(starts.tolist(), ends)]
-            else:
-                each = self._tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-                found += [np.array(e.ids, "<u4").tobytes() for e in each]
-        return found
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number = _Numbers()
+        self._at, self._size, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _split(self, ids: np.ndarray, n: int) -> np.ndarray | None:
+        """Sizes of n pieces' ids: a piece starts with the only id of its that starts with a space."""
+        starts = np.flatnonzero(self._after_space[ids])
+        return np.diff(np.append(starts, len(ids))) if len(starts) == n and (not n or starts[0] == 0) else None
+
+    def _ids(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the pieces as they stand after a space."""
+        match, odd = _PLAIN.fullmatch, self._odd
+        plain = np.array([(m := match(p)) is not None and " " + m[1] not in odd and m[2] not in odd for p in wanted], bool) if self._ranked else np.zeros(len(wanted), bool)
+        out, sizes = [np.zeros(0, "<u4")] * 2, [np.zeros(0, np.int64)] * 2
+        for kind in (0, 1):
+            own = [p for p, k in zip(wanted, plain.tolist()) if k == kind]
+            found, lengths = [], []
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                text = "".join(" " + p for p in some)
+                ids = self._ranked.encode_to_numpy(text, disallowed_special=()) if kind else np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                size = self._split(ids, len(some))
+                if size is None:
+                    each = [e.ids for e in self._tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+                    ids, size = np.array([i for e in each for i in e], "<u4"), np.array([len(e) for e in each])
+                found.append(ids)
+                lengths.append(size)
+            if own:
+                out[kind], sizes[kind] = np.concatenate(found).astype("<u4"), np.concatenate(lengths)
+        # back into the order in which they were wanted
+        place = np.concatenate([np.flatnonzero(~plain), np.flatnonzero(plain)])
+        at = len(out[0])
+        size, start = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        both = np.concatenate(sizes)
+        size[place] = both
+        start[place] = np.cumsum(both) - both
+        return np.concatenate(out)[_ranges(start, size)], size
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cut = [pieces(t or "") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        if len(self._cache) > self._cache_pieces:
-            self._cache.clear()
-        get = self._cache.get
-        values = [list(map(get, c)) for c in cut]
-        gaps = [[i for i, v in enumerate(vs) if v is None] for vs in values]
-        new = list({c[i] for c, g in zip(cut, gaps) for i in g})
-        if new:
-            self._cache.update(zip(new, self._ids(new)))
-            for c, vs, g in zip(cut, values, gaps):
-                for i in g:
-                    vs[i] = self._cache[c[i]]
+        if len(self._number) > self._cache_pieces:
+            self._forget()
+        known, get = len(self._number), self._number.__getitem__
+        heads, numbers, ends = [], [], []
+        for text in texts:
+            cut = pieces(text or "")
+            heads.append(cut[0])
+            numbers += map(get, cut[1:])
+            ends.append(len(numbers))
+        if len(self._number) > known:
+            ids, size = self._ids(list(itertools.islice(self._number, known, None)))
+            self._at = np.concatenate([self._at, len(self._flat) + np.cumsum(size) - size])
+            self._size = np.concatenate([self._size, size])
+            self._flat = np.concatenate([self._flat, ids])
+        of = np.array(numbers, np.int64)
+        size = self._size[of]
+        data = self._flat[_ranges(self._at[of], size)].tobytes()
+        stops = 4 * np.append(0, np.cumsum(size))[[0, *ends]]
         first = self._tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        return [b"".join([np.array(h.ids, "<u4").tobytes(), *vs]) for h, vs in zip(first, values)]
+        return [np.array(h.ids, "<u4").tobytes() + data[a:b] for h, a, b in zip(first, stops[:-1].tolist(), stops[1:].tolist())]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of every range, one after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
 
 
 @functools.lru_cache(maxsize=2)

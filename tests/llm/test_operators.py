@@ -487,3 +487,20 @@ def test_near_duplicates_on_awkward_rows(spark):
     left = dart_minhash.without_near_duplicates(H.awkward(spark))
     assert left.columns == H.awkward(spark).columns and left.count() == 6
     assert dart_minhash.near_duplicates(H.none(spark)).count() == 0
+
+
+def test_piece_ids_equal_the_library_on_any_pieces():
+    """Plain and odd pieces, letters of other scripts, contractions, special tokens as text; with a cache that is forgotten."""
+    from tokenizers import Tokenizer
+
+    from seqloom.llm.vocab import PieceEncoder, byte_letters
+
+    library = Tokenizer.from_file(public_tokenizer("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    own = PieceEncoder(public_tokenizer("byte_bpe_50k.json"), cache_pieces=500)
+    assert own._ranked is not None and sorted(byte_letters().values()) == list(range(256))
+    r = random.Random(12)
+    some = ["don't", "it's,", "x.y", "été!!", "Ünïcode...", "漢字", "a1", "1234567890", "<|endoftext|>", "_x_", "'quoted'", "€5", "­", "ÿ", "×", "naïve;", "A" * 50, "...", "\U0001f600ok", "١٢"]
+    for _ in range(30):
+        texts = [" ".join(r.choice(some + ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéAB") for _ in range(r.randint(1, 12))) + r.choice(["", ".", ",", "!?", "#$"])]) for _ in range(r.randint(0, 60))) for _ in range(10)]
+        assert [list(np.frombuffer(x, "<u4")) for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
