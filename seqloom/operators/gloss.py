@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import edit_ops, sentence, token_norm
+from seqloom.operators.ordered_scan import ordered_scan
+from seqloom.operators.sentences import SentenceScan
 
 LEXICON_SCHEMA = "gloss string, vi string, pos string, tense string"
 
@@ -46,6 +48,23 @@ def translate(tokens: DataFrame, lex: DataFrame, by: list[str], order: str, inse
     return g.select(*by, sentence(F.col("items"), insert_tense).alias("sentence"))
 
 
+def sentence_rows(tokens: DataFrame, lex: DataFrame, reset: Column) -> DataFrame:
+    """The rows SentenceScan reads: real glosses looked up, with `reset` rows between them; no value is null."""
+    t = tokens.withColumn("reset", F.coalesce(reset, F.lit(False)))
+    t = t.filter(F.col("reset") | ((F.coalesce("gloss", F.lit("")) != "") & ~F.col("gloss").startswith("__")))
+    t = lookup(t.withColumn("gloss", F.coalesce("gloss", F.lit(""))), lex).drop("norm")
+    return t.withColumns({c: F.when(F.col("reset"), "").otherwise(F.coalesce(c, F.lit(""))) for c in ("vi", "pos", "tense")})
+
+
+def sentence_digests(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """After every gloss of a stream the running sentence's words, length, digest and the gloss's place in it.
+
+    ``rows`` come from sentence_rows; the cost of a gloss does not depend on the sentence's length,
+    and a stream of any length is spread over tasks.
+    """
+    return ordered_scan(rows, key, order, SentenceScan()).filter(~F.col("reset")).drop("vi", "pos", "tense", "reset")
+
+
 def with_edit_ops(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Adds sub, dele, ins and n_ref for pairs of token arrays."""
     e = pairs.withColumn("_e", edit_ops(F.col(ref), F.col(hyp))).withColumn("n_ref", F.size(ref))

@@ -37,7 +37,9 @@ class SegmentScan:
         self.next = np.zeros((4, size), np.int16)
         self.event = np.zeros((4, size), np.int8)
         self.length = np.zeros((4, size), np.int32)
+        self.frames = np.zeros(size, np.int32)  # of an open segment
         for state, code in codes.items():
+            self.frames[code] = state[1] if state[0] == "act" else 0
             for sym in range(4):
                 new, event, length = self._step(state, bool(sym & 2), bool(sym & 1))
                 self.next[sym, code] = codes[new]

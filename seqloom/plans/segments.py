@@ -26,6 +26,7 @@ RULES = L.SegmentRules(hi=60.0, lo=20.0, quiet=2, min_len=4, max_len=9, cooldown
 
 
 ARRIVALS = 4  # micro-batches the events table is dealt to
+MOST_JITTER = 10_800  # seconds
 
 
 def _segmented(spark, sf):
@@ -36,24 +37,65 @@ def segment_events(spark, sf):
     return _segmented(spark, sf).select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
 
 
+def _arrivals(rows, jitter):
+    """Adds `arrival`, the micro-batch a row comes in: by its time plus the jitter (seconds)."""
+    span = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    step = (span[1] - span[0] + MOST_JITTER) // ARRIVALS + 1
+    return rows.withColumn("arrival", F.floor((F.unix_seconds("ts") - span[0] + jitter) / step))
+
+
+def _streamed(spark, rows, live, key="stream_id"):
+    """The result of `live` over the rows, written in several micro-batches with rows swapped inside the watermark."""
+    run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    placed = _arrivals(rows, F.pmod(F.xxhash64("frame_idx"), F.lit(1800)))
+    for i in range(ARRIVALS):
+        placed.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{run}/in")
+    live_ops.closing_rows(rows, key, "ts", -1).write.mode("append").parquet(f"{run}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{run}/in")
+    return live_ops.run_available(live(source), f"{run}/out", f"{run}/state")
+
+
 def segment_stream(spark, sf):
     """The same events from a Structured Streaming run over the events table.
 
     The table arrives in several micro-batches; rows up to half an hour apart swap places
     between them, inside the watermark of an hour.
     """
+    out = _streamed(spark, V.event_stream(spark, sf), lambda live: live_ops.segment_stream(live, rules=RULES))
+    return out.select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
+
+
+def rate_stream(spark, sf):
+    """The rate meter from a streaming run; equals rate_ema."""
+    rows = V.event_stream(spark, sf).select("stream_id", "ts", "frame_idx")
+    out = _streamed(spark, rows, lambda live: live_ops.rate_stream(live, "stream_id", ("ts", "frame_idx"))).filter("stream_id >= 0")
+    return out.select("stream_id", "frame_idx", F.round(F.when(~F.isnan("rate"), F.col("rate")), 6).alias("rate"))
+
+
+LATE_JITTER, DELAY, IDLE = 10_800, 3600, 43_200  # seconds
+
+
+def segment_flush_stream(spark, sf):
+    """Events of rows in time, flushed segments and late rows of a streaming run.
+
+    Rows come up to three hours late, the watermark waits for one: each micro-batch is parted before
+    the segmenter, and late rows are returned as event `late`. A segment left open by half a
+    day without a row is flushed.
+    """
     rows = V.event_stream(spark, sf)
     run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    jitter = F.pmod(F.xxhash64("frame_idx"), F.lit(1800))
-    span = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
-    step = (span[1] - span[0] + 1800) // ARRIVALS + 1
-    for i in range(ARRIVALS):
-        arrives = F.floor((F.unix_seconds("ts") - span[0] + jitter) / step)
-        rows.filter(arrives == i).write.mode("append").parquet(f"{run}/in")
-    live_ops.closing_rows(rows, "stream_id", "ts", -1).write.mode("append").parquet(f"{run}/in")
-    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{run}/in")
-    out = live_ops.run_available(live_ops.segment_stream(live, rules=RULES), f"{run}/out", f"{run}/state")
-    return out.select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
+    placed = _arrivals(rows, F.pmod(F.col("frame_idx") * 7919, F.lit(LATE_JITTER)))
+    split = live_ops.split_late(f"{run}/split", "ts", DELAY)
+    for i in range(ARRIVALS):  # one micro-batch an arrival
+        placed.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{run}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{run}/in")
+        source.writeStream.foreachBatch(split).option("checkpointLocation", f"{run}/split-state").trigger(availableNow=True).start().awaitTermination()
+    live_ops.closing_rows(rows, "stream_id", "ts", -1, "20 hours").write.parquet(f"{run}/split/on_time/batch={ARRIVALS}")
+    on_time = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{run}/split/on_time")
+    out = live_ops.run_available(live_ops.segment_flush_stream(on_time, rules=RULES, idle_seconds=IDLE), f"{run}/out", f"{run}/state").filter("stream_id >= 0")
+    late = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{run}/split/late")
+    late = late.select("stream_id", "frame_idx", F.lit("late").alias("event"), F.lit(0).alias("seg_len"))
+    return out.select("stream_id", "frame_idx", "event", "seg_len").unionByName(late)
 
 
 def segment_windows(spark, sf):
@@ -136,6 +178,23 @@ def running_sentence(spark, sf):
     return t.withColumn("items", items).select("user_id", "event_id", sentence(F.col("items")).alias("sentence"))
 
 
+def _sentence_rows(spark, sf):
+    ev = TX.event_glosses(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_idx"), "gloss")
+    return G.sentence_rows(ev, G.lexicon(spark, TX.EVENT_LEXICON), F.col("gloss") == "error").drop("gloss")
+
+
+def sentence_digests(spark, sf):
+    """The running sentence after each gloss as length and digest, each at the cost of its gloss."""
+    out = G.sentence_digests(_sentence_rows(spark, sf), "stream_id", ["ts", "frame_idx"])
+    return out.select("stream_id", "frame_idx", "n_words", "n_chars", "digest", "place")
+
+
+def sentence_stream(spark, sf):
+    """The same from a streaming run."""
+    out = _streamed(spark, _sentence_rows(spark, sf), lambda live: live_ops.sentence_stream(live, "stream_id", ("ts", "frame_idx"))).filter("stream_id >= 0")
+    return out.select("stream_id", "frame_idx", "n_words", "n_chars", "digest", "place")
+
+
 def fsm_sql(src: str, key: str, rules: L.SegmentRules) -> str:
     """Segment events of ``src(key, rn, id, energy, hands)`` by stepping all streams together."""
     r = rules
@@ -200,7 +259,56 @@ select string_split(clip_id, ':')[1]::int as stream_id, string_split(clip_id, ':
   round(conf, 5) as conf, round(margin, 5) as margin, (select count(*) from allf a where a.clip_id = x.clip_id)::int as frames
 from x where pred <> 9 and conf >= {GATE.conf} and margin >= {GATE.margin}"""
 
+RUNNING = f"""{TX.LEX_SQL}, {TX.TOKENS_SQL}, rs as (select event_id, raw = 'error' as reset,
+              sum((raw = 'error')::int) over (partition by user_id order by ts, event_id) as part from ev),
+            g as (select t.*, part, row_number() over (partition by user_id, part order by ts, t.event_id) as i from tkn t join rs on rs.event_id = t.event_id where not reset),
+            px as (select a.event_id as emit, b.event_id, b.i, b.vi, b.pos, b.tense from g a join g b on a.user_id = b.user_id and a.part = b.part and b.i <= a.i),
+            {TX.sentence_sql('px', 'emit', 'i')}"""
+
+DIGESTS = f"""with {RUNNING},
+w3 as (select k, o, q, 1 + case when prev in ('NOUN','PRON') and pos = 'NOUN' and has_verb = 0 then 1 else 0 end + case when q = v1 and has_neg = 0 and tn in ('past', 'fut') then 1 else 0 end as nw from s3),
+w4 as (select k, o, nw, sum(nw) over (partition by k order by q) as upto from w3),
+w5 as (select k, sum(nw) as n from w4 group by k),
+own as (select emit, max(i) as i from px group by emit),
+dg as (select k, sentence, list_reduce(list_prepend(0::bigint, list_transform(range(1, length(sentence) + 1), lambda i: unicode(sentence[i])::bigint)), lambda h, c: (h * 1000003 + c) % 2147483647) as digest from snt)
+select e.user_id as stream_id, e.event_id as frame_idx, w5.n::bigint as n_words, length(sentence)::bigint as n_chars, digest::bigint as digest, coalesce(w4.upto, 0)::bigint as place
+from dg join own on own.emit = dg.k join w5 on w5.k = dg.k left join w4 on w4.k = dg.k and w4.o = own.i join events e on e.event_id = dg.k"""
+
+
+def flush_sql(rules: L.SegmentRules) -> str:
+    """Rows in time and late ones by arrival; all streams step together, a gap closes an open segment first."""
+    r = rules
+    q2 = f"case when energy < {r.lo} or not hands then quiet + 1 else 0 end"
+    over = f"({q2} >= {r.quiet} or cnt + 1 >= {r.max_len})"
+    kind = lambda n: f"case when {n} >= {r.min_len} then 'flush_end' else 'flush_discard' end"
+    return f"""with recursive span as (select min(epoch_us(ts) // 1000000) as lo, max(epoch_us(ts) // 1000000) as hi from events),
+arr as (select user_id, event_id, ts, value, event_type, (epoch_us(ts) // 1000000 - lo + event_id * 7919 % {LATE_JITTER}) // ((hi - lo + {MOST_JITTER}) // {ARRIVALS} + 1) as arrival from events, span),
+tops as (select arrival, max(epoch_us(ts)) as top from arr group by arrival),
+mk as (select arr.*, coalesce(epoch_us(ts) <= (select max(top) from tops where tops.arrival < arr.arrival) - {DELAY * 1_000_000}, false) as late from arr),
+src as (select user_id as k, event_id as id, value as energy, event_type <> 'error' as hands, row_number() over w as rn, lag(event_id) over w as pid,
+    coalesce(epoch_us(ts) - lag(epoch_us(ts)) over w > {IDLE * 1_000_000}, false) as gap from mk where not late window w as (partition by user_id order by ts, event_id)),
+fsm as (select k, 0::bigint as rn, 'I' as st, 0 as cnt, 0 as quiet, 0 as cool, null::varchar as event, 0 as seg_len, null::bigint as id, 0 as fl, null::bigint as fid from (select distinct k from src)
+  union all
+  select k, rn, case e when 'C' then case when cool - 1 <= 0 then 'I' else 'C' end when 'I' then case when energy > {r.hi} and hands then 'A' else 'I' end else case when {over} then 'C' else 'A' end end,
+    case e when 'I' then 1 when 'A' then case when {over} then 0 else cnt + 1 end else 0 end,
+    case e when 'A' then case when {over} then 0 else {q2} end else 0 end,
+    case e when 'C' then cool - 1 when 'A' then {r.cooldown} else 0 end,
+    case e when 'C' then 'cooldown' when 'I' then case when energy > {r.hi} and hands then 'start' else 'idle' end
+      else case when {over} then case when cnt + 1 >= {r.min_len} then 'end' else 'discard' end else 'active' end end,
+    case when e = 'A' and {over} then cnt + 1 else 0 end, id, case when st = 'A' and gap then cnt else 0 end, pid
+  from (select fsm.k, s.rn, st, case when st = 'A' and gap then 'I' else st end as e, cnt, quiet, cool, energy, hands, s.id, gap, pid from fsm join src s on s.k = fsm.k and s.rn = fsm.rn + 1)),
+last as (select k, arg_max(st, rn) as st, arg_max(cnt, rn) as cnt, arg_max(id, rn) as id from fsm group by k)
+select k as stream_id, id as frame_idx, event, seg_len::int as seg_len from fsm where rn > 0
+union all select k, fid, {kind('fl')}, fl::int from fsm where fl > 0
+union all select k, id, {kind('cnt')}, cnt::int from last where st = 'A'
+union all select user_id, event_id, 'late', 0 from mk where late"""
+
+
 REGISTRY = {
+    "sentence_digests": (sentence_digests, DIGESTS),
+    "sentence_stream": (sentence_stream, DIGESTS),
+    "rate_stream": (rate_stream, f"with recursive {RATE} select k as stream_id, event_id as frame_idx, round(rate, 6) as rate from re"),
+    "segment_flush_stream": (segment_flush_stream, flush_sql(RULES)),
     "stream_emissions": (stream_emissions, EMIT),
     "segment_events": (
         segment_events,
@@ -230,13 +338,5 @@ REGISTRY = {
             select count(*) as emitted, round(any_value(mins), 2) as idle_minutes, round(count(*) / greatest(any_value(mins), 1e-6), 2) as false_per_min
             from seg, m where event = 'end' and stream_id % 3 = 0""",
     ),
-    "running_sentence": (
-        running_sentence,
-        f"""with {TX.LEX_SQL}, {TX.TOKENS_SQL}, rs as (select event_id, raw = 'error' as reset,
-              sum((raw = 'error')::int) over (partition by user_id order by ts, event_id) as part from ev),
-            g as (select t.*, part, row_number() over (partition by user_id, part order by ts, t.event_id) as i from tkn t join rs on rs.event_id = t.event_id where not reset),
-            px as (select a.event_id as emit, b.event_id, b.i, b.vi, b.pos, b.tense from g a join g b on a.user_id = b.user_id and a.part = b.part and b.i <= a.i),
-            {TX.sentence_sql('px', 'emit', 'i')}
-            select e.user_id, e.event_id, sentence from snt join events e on e.event_id = k""",
-    ),
+    "running_sentence": (running_sentence, f"with {RUNNING} select e.user_id, e.event_id, sentence from snt join events e on e.event_id = k"),
 }

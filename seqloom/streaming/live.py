@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqloom.functions import layout as L
-from seqloom.operators.segments import EnergyScan, SegmentScan, wrist_columns
+from seqloom.operators import sentences
+from seqloom.operators.segments import EnergyScan, RateScan, SegmentScan, wrist_columns
+from seqloom.operators.sentences import SentenceScan
 from seqloom.session import pickled_by_value
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -64,23 +66,27 @@ class InOrderProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
+    def settled(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        """What the passing of time alone brings, once all rows up to the watermark (in ms) are out."""
+        return iter(())
+
     def _advance(self, key, parts: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
         names = self.schema.names
         if self.held.exists():
             parts = [pd.DataFrame(list(self.held.get()), columns=names), *parts]
         parts = [p[names] for p in parts if len(p)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        due = pdf[MICROS] <= watermark * 1000
-        wait = pdf[~due]
-        if len(wait):
-            self.held.put([tuple(_plain(v) for v in row) for row in wait.itertuples(index=False)])
-            self.handle.registerTimer(int(wait[MICROS].max()) // 1000 + 1)
-        else:
-            self.held.clear()
-        if due.any():
-            yield from self.released(key, pdf[due].sort_values(self.order, kind="stable", ignore_index=True))
+        if parts:
+            pdf = pd.concat(parts, ignore_index=True)
+            due = pdf[MICROS] <= watermark * 1000
+            wait = pdf[~due]
+            if len(wait):
+                self.held.put([tuple(_plain(v) for v in row) for row in wait.itertuples(index=False)])
+                self.handle.registerTimer(int(wait[MICROS].max()) // 1000 + 1)
+            else:
+                self.held.clear()
+            if due.any():
+                yield from self.released(key, pdf[due].sort_values(self.order, kind="stable", ignore_index=True))
+        yield from self.settled(key, watermark)
 
     def close(self) -> None:
         pass
@@ -137,6 +143,138 @@ def segment_stream(
         return groups.transformWithStateInPandas(SegmentProcessor(key, list(order), held, rules), schema, "Append", "EventTime")
 
 
+class FlushProcessor(InOrderProcessor):
+    """Segment events; a segment left open by more than `idle` microseconds without a row is closed after its last row."""
+
+    def __init__(self, key: str, order: list[str], schema: T.StructType, rules: L.SegmentRules, idle: int):
+        super().__init__(key, order, schema)
+        self.scan, self.idle = SegmentScan(rules), idle
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        kind = self.schema[self.order[-1]].dataType.simpleString()
+        self.state = handle.getValueState("segmenter", f"seen long, code int, last long, last_id {kind}")
+
+    def _closed(self, key, state: tuple) -> tuple[tuple, list[pd.DataFrame]]:
+        """The state without its open segment, and that segment's event."""
+        seen, code, last, last_id = state
+        n = int(self.scan.frames[code])
+        if not n:
+            return state, []
+        event = "flush_end" if n >= self.scan.rules.min_len else "flush_discard"
+        row = pd.DataFrame({self.key: [key[0]], self.order[-1]: [last_id], "event": [event], "seg_len": np.array([n], np.int32), "frame_no": np.array([seen - 1], np.int64)})
+        return (seen, 0, last, last_id), [row]
+
+    def released(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        micros, ids = pdf[MICROS].to_numpy(), pdf[self.order[-1]].to_numpy()
+        state = tuple(self.state.get()) if self.state.exists() else (*self.scan.start(), int(micros[0]), _plain(ids[0]))
+        before = np.concatenate([[state[2]], micros[:-1]])
+        cuts = np.flatnonzero(micros - before > self.idle).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if a in cuts:
+                state, rows = self._closed(key, state)
+                yield from rows
+            if a < b:
+                piece = pdf.iloc[a:b]
+                (seen, code), out = self.scan.run((int(state[0]), int(state[1])), _columns(piece, self.scan.columns))
+                state = (int(seen), int(code), int(micros[b - 1]), _plain(ids[b - 1]))
+                yield pd.DataFrame({self.key: [key[0]] * (b - a), self.order[-1]: ids[a:b], **out})
+        self.state.update(state)
+
+    def settled(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        state = tuple(self.state.get())
+        if not self.scan.frames[int(state[1])]:
+            return
+        if watermark * 1000 > state[2] + self.idle:
+            state, rows = self._closed(key, state)
+            self.state.update(state)
+            yield from rows
+        else:
+            self.handle.registerTimer((int(state[2]) + self.idle) // 1000 + 1)
+
+
+def segment_flush_stream(
+    frames: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("ts", "frame_idx"), rules: L.SegmentRules = L.SegmentRules(), idle_seconds: int = 60, watermark: str = "1 hour"
+) -> DataFrame:
+    """segment_stream with a flush: a segment still open when its stream has had no row for more than idle_seconds ends with its last row.
+
+    The flush is a row of its own beside that row's event: flush_end, or flush_discard for a segment too short.
+    It comes out with the stream's next row, or by a timer when the watermark is past the idle time.
+    """
+    use_keyed_state(frames.sparkSession)
+    groups, held, by_name = _in_order(frames, key, order, SegmentScan.columns, watermark)
+    schema = T.StructType([by_name[key], by_name[order[-1]]] + [T.StructField(n, t) for n, t in SegmentScan.outputs])
+    with pickled_by_value():
+        return groups.transformWithStateInPandas(FlushProcessor(key, list(order), held, rules, idle_seconds * 1_000_000), schema, "Append", "EventTime")
+
+
+class ScanProcessor(InOrderProcessor):
+    """The outputs of a scan on each stream's rows; its state is a typed row."""
+
+    def __init__(self, key: str, order: list[str], schema: T.StructType, scan, state: str, to_row: Callable, from_row: Callable):
+        super().__init__(key, order, schema)
+        self.scan, self.kind, self.to_row, self.from_row = scan, state, to_row, from_row
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("scan", self.kind)
+
+    def released(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        state = self.from_row(self.state.get()) if self.state.exists() else self.scan.start()
+        state, out = self.scan.run(state, _columns(pdf, self.scan.columns))
+        self.state.update(self.to_row(state))
+        kept = [self.order[-1], *self.scan.columns]
+        yield pd.DataFrame({self.key: [key[0]] * len(pdf), **{c: pdf[c].to_numpy() for c in kept}, **out})
+
+
+def _scan_stream(rows: DataFrame, key: str, order: tuple[str, ...], scan, state: str, to_row: Callable, from_row: Callable, watermark: str) -> DataFrame:
+    use_keyed_state(rows.sparkSession)
+    groups, held, by_name = _in_order(rows, key, order, scan.columns, watermark)
+    schema = T.StructType([by_name[c] for c in (key, order[-1], *scan.columns)] + [T.StructField(n, t) for n, t in scan.outputs])
+    with pickled_by_value():
+        return groups.transformWithStateInPandas(ScanProcessor(key, list(order), held, scan, state, to_row, from_row), schema, "Append", "EventTime")
+
+
+def sentence_stream(rows: DataFrame, key: str, order: tuple[str, ...], watermark: str = "1 hour") -> DataFrame:
+    """Streaming rows of gloss.sentence_rows to the running sentence's words, length, digest and the gloss's place, after each gloss.
+
+    The state of a stream is one summary of constant size, however long its sentence grows.
+    """
+    out = _scan_stream(rows, key, order, SentenceScan(), sentences.STATE, sentences.to_row, sentences.from_row, watermark)
+    return out.filter(~F.col("reset")).drop("vi", "pos", "tense", "reset")
+
+
+def _rate_row(state: tuple) -> tuple:
+    return float(state[0]), int(state[1])
+
+
+def rate_stream(rows: DataFrame, key: str, order: tuple[str, ...], watermark: str = "1 hour") -> DataFrame:
+    """Streaming rows to the frame-rate meter after each row (see segments.RateScan); NaN before the second row."""
+    timed = rows.withColumn("us", F.unix_micros(order[0]))
+    return _scan_stream(timed, key, order, RateScan(), "rate double, last long", _rate_row, tuple, watermark).drop("us")
+
+
+def split_late(path: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that parts rows by the watermark before Spark could drop them.
+
+    A row is late if its time is not after the latest time of all earlier batches less the delay. Late rows go to
+    {path}/late, the others to {path}/on_time; both and the batch's latest time are written under the
+    batch's id, so a replayed batch replaces its own rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tops = [r[0] for r in spark.read.schema("batch_id long, top long").parquet(f"{path}/tops").where(F.col("batch_id") < batch_id).agg(F.max("top")).collect()] if batch_id else []
+        micros = F.unix_micros(ts)
+        late = micros <= tops[0] - delay_seconds * 1_000_000 if tops and tops[0] is not None else F.lit(False)
+        batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        batch.filter(~late).write.mode("overwrite").parquet(f"{path}/on_time/batch={batch_id}")
+        top = batch.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.max(micros).alias("top"))
+        top.write.mode("overwrite").parquet(f"{path}/tops/part={batch_id}")
+
+    return write
+
+
 class LiveProcessor(InOrderProcessor):
     """Energy, segmenter and frame buffer in one step; emits a finished
     segment's frames, ready for the window builder."""
