@@ -31,19 +31,23 @@ def tokens(text: Column) -> Column:
 
 
 # A cell packs cost, the move's rank among equal costs, substitutions and
-# deletions, so the smaller number is the better move; insertions follow from
-# the cost. A pair of more than _MOST tokens a side could carry into the next field.
-_MOST = (1 << 20) - 1
+# deletions, so the smaller number is the better move; insertions follow from the cost.
 _COST, _RANK, _SUB, _DEL = 1 << 42, 1 << 40, 1 << 20, 1
 _NO_RANK = ~(3 << 40)
 _CELLS = 1 << 17  # cells per diagonal and block: a block stays in cache
+_SMALL = 1 << 18  # pairs of more cells are solved by their distance, not their size
+_FIELD = 1 << 20  # more tokens would carry into the next field of a cell
+_KEPT = 256  # frontiers between two that are kept for the way back
+_SLIDES = 1 << 20  # tokens compared at once
 
 
 def edit_counts(refs: list, hyps: list) -> np.ndarray:
     """(substitutions, deletions, insertions) per pair of token lists.
 
-    Ties prefer match/substitution, then deletion, then insertion. Pairs of
-    like size are solved together, one anti-diagonal at a time.
+    Ties prefer match/substitution, then deletion, then insertion. Small pairs of
+    like size are solved together, one anti-diagonal at a time; large ones each on its
+    own by furthest-reaching diagonals, whatever their length, unless they turn out too
+    far apart for that and fit the table.
     """
     n = np.array([len(r) for r in refs], np.int64)
     m = np.array([len(h) for h in hyps], np.int64)
@@ -52,7 +56,14 @@ def edit_counts(refs: list, hyps: list) -> np.ndarray:
     codes = pd.factorize(np.array(flat, dtype=object))[0] if flat else np.zeros(0, np.int64)
     r_at = np.concatenate([[0], np.cumsum(n)])
     h_at = n.sum() + np.concatenate([[0], np.cumsum(m)])
+    small = n * m <= _SMALL
+    for i in np.flatnonzero(~small):
+        most = int(np.sqrt(float(n[i]) * m[i])) // 5 if max(n[i], m[i]) < _FIELD else None  # beyond, the table is quicker
+        found = edit_frontier(codes[r_at[i] : r_at[i] + n[i]], codes[h_at[i] : h_at[i] + m[i]], most)
+        small[i] = found is None
+        out[i] = found or 0
     order = np.argsort(n + m, kind="stable")
+    order = order[small[order]]
     start = 0
     while start < len(order):
         size = max(1, _CELLS // int(n[order[start : start + 512]].max() + 1))
@@ -64,8 +75,6 @@ def edit_counts(refs: list, hyps: list) -> np.ndarray:
 
 def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
     rows, width, height = len(n), int(n.max()), int(m.max())
-    if max(width, height) > _MOST:
-        raise ValueError(f"token lists of more than {_MOST} tokens")
     ref = np.full((rows, width + 1), -1, np.int64)
     hyp = np.full((rows, height + 1), -2, np.int64)
     for b in range(rows):
@@ -94,6 +103,91 @@ def _edit_block(codes, r_at, h_at, n, m) -> np.ndarray:
     return np.stack([s, d, cost - s - d], axis=1)
 
 
+def _slide(ref: np.ndarray, hyp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """i moved on along each diagonal as far as ref[i] equals hyp[j]; compares ever more tokens of ever fewer diagonals."""
+    i, j = i.copy(), j.copy()
+    left = np.minimum(len(ref) - i, len(hyp) - j)
+    live = np.flatnonzero(left > 0)
+    width = 8
+    while len(live):
+        for at in range(0, len(live), max(1, _SLIDES // width)):
+            some = live[at : at + max(1, _SLIDES // width)]
+            step = np.arange(width)
+            a, b = np.minimum(i[some][:, None] + step, len(ref) - 1), np.minimum(j[some][:, None] + step, len(hyp) - 1)
+            same = (ref[a] == hyp[b]) & (step < left[some][:, None])
+            run = np.where(same.all(1), width, same.argmin(1))
+            i[some] += run
+            j[some] += run
+            left[some] = np.where(run == width, left[some] - width, 0)
+        live = live[left[live] > 0]
+        width = min(4 * width, _SLIDES)
+    return i
+
+
+def _next_frontier(ref: np.ndarray, hyp: np.ndarray, d: int, last: np.ndarray) -> np.ndarray:
+    """The furthest row of every diagonal -d..d (column minus row) reached with d edits; last is that of d - 1. -1 where none is."""
+    n, m = len(ref), len(hyp)
+    wide = np.full(2 * d + 3, -1, np.int64)  # last on diagonals -d-1..d+1
+    wide[2:-2] = last
+    k = np.arange(-d, d + 1)
+    sub, ins, dele = wide[1:-1], wide[:-2], wide[2:]
+    i = np.maximum(np.where(sub >= 0, sub + 1, -1), np.maximum(ins, np.where(dele >= 0, dele + 1, -1)))
+    i = np.minimum(i, np.minimum(n, m - k))
+    ok = (i >= 0) & (i + k >= 0)
+    out = np.full(len(k), -1, np.int64)
+    out[ok] = _slide(ref, hyp, i[ok], (i + k)[ok])
+    return out
+
+
+def edit_frontier(ref: np.ndarray, hyp: np.ndarray, most: int | None = None) -> tuple[int, int, int] | None:
+    """(substitutions, deletions, insertions) of one pair of code arrays, by furthest-reaching diagonals; None if they are more than `most`.
+
+    Takes time with the square of the distance and the length of the matches. Of the
+    frontiers every _KEPT-th is kept; those between are found again on the way back. Costs
+    never fall along a diagonal, so a frontier tells whether a cell costs at most d, and the
+    way back follows the same ties as the full table.
+    """
+    n, m = len(ref), len(hyp)
+    goal = m - n
+    now = _slide(ref, hyp, np.zeros(1, np.int64), np.zeros(1, np.int64)) if n and m else np.zeros(1, np.int64)
+    kept, d = {0: now}, 0
+    while not (abs(goal) <= d and now[goal + d] >= n):
+        if most is not None and max(d, abs(goal)) >= most:
+            return None
+        d += 1
+        now = _next_frontier(ref, hyp, d, now)
+        if d % _KEPT == 0:
+            kept[d] = now
+    block: dict[int, np.ndarray] = {}
+
+    def frontier(at: int) -> np.ndarray:
+        nonlocal block
+        if at not in block:
+            first = at - at % _KEPT
+            block = {first: kept[first]}
+            for x in range(first + 1, at + 1):
+                block[x] = _next_frontier(ref, hyp, x, block[x - 1])
+        return block[at]
+
+    i, j, counts = n, m, [0, 0, 0]
+    for cost in range(d, 0, -1):
+        best = frontier(cost - 1)
+        reach = lambda k: best[k + cost - 1] if abs(k) < cost else -1  # noqa: E731, B023  furthest row on diagonal k with one edit less
+        k = j - i
+        back = _slide(ref[:i][::-1], hyp[:j][::-1], np.zeros(1, np.int64), np.zeros(1, np.int64))[0] if i and j else 0
+        i, j = i - back, j - back  # over the matches that end here
+        if i and j and reach(k) >= i - 1:
+            counts[0] += 1
+            i, j = i - 1, j - 1
+        elif i and reach(k + 1) >= i - 1:
+            counts[1] += 1
+            i -= 1
+        else:
+            counts[2] += 1
+            j -= 1
+    return tuple(counts)
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("sub", "dele", "ins")]))
 def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(edit_counts(list(ref), list(hyp)), columns=["sub", "dele", "ins"])

@@ -86,6 +86,26 @@ def corpus_wer(edits: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def threshold_sweep(scored: DataFrame, thresholds: list[float], by: str, order: str, y: str = "y", pred: str = "pred", conf: str = "conf") -> DataFrame:
+    """corpus_wer of the predictions accepted at each confidence threshold (``conf >= threshold``), per group's label sequence.
+
+    A group's hypothesis changes only at thresholds that part its confidences, so edits are counted once
+    for each run of thresholds that accept the same rows, and then summed for all of them.
+    """
+    grid = sorted(set(thresholds))
+    passed = sum((F.col(conf) >= F.lit(t)).cast("int") for t in grid)  # thresholds that accept the row
+    row = F.struct(F.col(order).alias("o"), F.col(y).cast("string").alias("y"), F.col(pred).cast("string").alias("p"), F.coalesce(passed, F.lit(0)).alias("n"))
+    groups = scored.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # threshold i starts a run if some row passes i thresholds and no more
+    firsts = F.array_sort(F.array_union(F.array(F.lit(0)), F.filter(F.array_distinct(F.col("rows.n")), lambda x: x < len(grid))))
+    runs = groups.select(by, "rows", firsts.alias("firsts")).select(by, "rows", "firsts", F.posexplode("firsts").alias("k", "first"))
+    to = F.coalesce(F.get("firsts", F.col("k") + 1), F.lit(len(grid)))
+    pairs = runs.select("first", to.alias("to"), F.col("rows.y").alias("ref"), F.expr("transform(filter(rows, r -> r.n > first), r -> r.p)").alias("hyp"))
+    edits = with_edit_ops(pairs).groupBy("first", "to").agg(*[F.sum(c).alias(c) for c in ("sub", "dele", "ins", "n_ref")])
+    each = edits.select("*", F.explode(F.slice(F.array(*[F.lit(t) for t in grid]), F.col("first") + 1, F.col("to") - F.col("first"))).alias("threshold"))
+    return corpus_wer(each, ["threshold"])
+
+
 def false_alarms(emissions: DataFrame, streams: DataFrame) -> DataFrame:
     """Emissions per idle minute; streams has n_frames and fps per idle stream."""
     n = emissions.join(streams.select("stream_id"), "stream_id", "left_semi").agg(F.count("*").alias("emitted"))

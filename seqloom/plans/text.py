@@ -64,15 +64,7 @@ def threshold_sweep(spark, sf):
     of every test document, its hypothesis the accepted predictions.
     """
     p = C.with_margin(S.letters_run(spark, sf)).withColumn("video", F.expr("clip_id div 20"))
-    grid = F.array(*[F.lit(t) for t in THRESHOLDS])
-    per = p.select("video", "clip_id", "y", "pred", "conf", F.explode(grid).alias("threshold"))
-    hit = F.when(F.col("conf") >= F.col("threshold"), F.struct("clip_id", F.col("pred").cast("string").alias("g")))
-    g = per.groupBy("threshold", "video").agg(
-        F.array_sort(F.collect_list(F.struct("clip_id", F.col("y").cast("string").alias("g")))).alias("r"),
-        F.array_sort(F.collect_list(hit)).alias("h"),
-    )
-    e = G.with_edit_ops(g.select("threshold", "video", F.col("r.g").alias("ref"), F.col("h.g").alias("hyp")))
-    return G.corpus_wer(e, ["threshold"])
+    return G.threshold_sweep(p, THRESHOLDS, "video", "clip_id")
 
 
 def gloss_lookup(spark, sf):

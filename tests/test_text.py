@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from seqloom.functions import text as X
 from seqloom.functions.text import edit_counts, token_norm
 from seqloom.operators import gloss as G
 
@@ -106,3 +107,57 @@ def test_false_alarms(spark):
 
 def test_case_list_is_unique():
     assert len(set(itertools.chain(CASES))) == len(CASES)
+
+
+def _changed(r, a, edits, alphabet):
+    b = a.copy()
+    for _ in range(edits):
+        at = int(r.integers(0, max(len(b), 1)))
+        b = [np.delete(b, at) if len(b) else b, np.insert(b, at, r.integers(0, alphabet)), np.concatenate([b[:at], [r.integers(0, alphabet)], b[at + 1 :]])][int(r.integers(0, 3))]
+    return b.astype(np.int64)
+
+
+def _table(a, b):
+    return tuple(X._edit_block(np.concatenate([a, b]), np.array([0]), np.array([len(a)]), np.array([len(a)]), np.array([len(b)]))[0].tolist())
+
+
+@pytest.mark.parametrize("kept", [1, 3, 256])
+def test_frontiers_follow_the_ties_of_the_table(kept, monkeypatch):
+    monkeypatch.setattr(X, "_KEPT", kept)
+    r = np.random.default_rng(kept)
+    for _ in range(400):
+        alphabet = int(r.integers(1, 5))
+        a = r.integers(0, alphabet, r.integers(0, 30))
+        b = _changed(r, a, int(r.integers(0, 7)), alphabet) if r.random() < 0.7 else r.integers(0, alphabet, r.integers(0, 30))
+        assert X.edit_frontier(a, b) == _table(a, b)
+
+
+def test_large_pairs_of_any_distance():
+    r = np.random.default_rng(9)
+    a = r.integers(0, 40, 900)
+    pairs = [(a, _changed(r, a, 30, 40)), (a, r.integers(0, 40, 700)), (a[:0], a), (a, a)]
+    got = X.edit_counts([list(map(str, x)) for x, _ in pairs], [list(map(str, y)) for _, y in pairs])
+    assert [tuple(g) for g in got.tolist()] == [_table(x, y) for x, y in pairs]
+
+
+def test_two_million_tokens_cost_their_distance():
+    r = np.random.default_rng(4)
+    a = r.integers(0, 50, 2_000_000)
+    b = np.insert(np.delete(a, [5, 1000, 1_500_000]), [77, 1_999_000], [99, 98])
+    b[500_000] = 97
+    assert X.edit_frontier(a, b) == (1, 3, 2)
+
+
+def test_sweep_solves_a_group_once_for_each_change(spark, monkeypatch):
+    """Edits are counted for changes of a group's accepted rows, not for every threshold; the sums are those of every threshold."""
+    r = np.random.default_rng(6)
+    rows = [(g, i, int(r.integers(0, 3)), int(r.integers(0, 3)), float(r.choice([0.1, 0.35, 0.35, 0.62, 0.9]))) for g in range(6) for i in range(5)] + [(9, 0, 1, 1, None)]
+    scored = spark.createDataFrame(rows, "g int, i int, y int, pred int, conf double")
+    grid = [round(0.05 * k, 2) for k in range(20)]
+    solved = []
+    monkeypatch.setattr(G, "with_edit_ops", lambda pairs, f=G.with_edit_ops: solved.append(pairs.count()) or f(pairs))
+    got = {x.threshold: (x["sub"], x.dele, x.ins, x.ref_words) for x in G.threshold_sweep(scored, grid, "g", "i").collect()}
+    assert solved[0] <= 7 * 5 and set(got) == set(grid)
+    for t in grid:
+        ops = edit_counts([[str(y) for g, _, y, _, _ in rows if g == k] for k in (*range(6), 9)], [[str(p) for g, _, _, p, c in rows if g == k and c is not None and c >= t] for k in (*range(6), 9)])
+        assert got[t] == (*ops.sum(0).tolist(), len(rows))
