@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from seqloom.operators.ranking import string_ordinal
+
 # The manifest's columns and their types, in stored order.
 MANIFEST_SCHEMA = T.StructType(
     [
@@ -282,15 +284,14 @@ def frame_stats(manifest: DataFrame, low_rate: float = 0.6) -> DataFrame:
 def label_map(manifest: DataFrame, with_nosign: bool = True, nosign: str = "__NOSIGN__") -> DataFrame:
     """Distinct labels in code-point order numbered from 0; the no-sign label last.
 
-    The label vocabulary is the model's class list (one probability each), so it
-    is a small dictionary after the distinct.
+    Labels are numbered in ranges with offsets, so no task gathers them all.
     """
-    labels = manifest.select("label").distinct().withColumn("_extra", F.lit(0))
-    if with_nosign:
-        extra = labels.agg(F.count_if(F.col("label") == nosign).alias("n")).filter("n = 0")
-        labels = labels.unionByName(extra.select(F.lit(nosign).alias("label"), F.lit(1).alias("_extra")))
-    packed = labels.agg(F.array_sort(F.collect_list(F.struct("_extra", "label"))).alias("a"))
-    return packed.select(F.posexplode("a").alias("idx", "s")).select("idx", F.col("s.label").alias("label"))
+    labels = manifest.select("label").distinct()
+    numbered = string_ordinal(labels, "label", "idx").select(F.col("idx").cast("int").alias("idx"), "label")
+    if not with_nosign:
+        return numbered
+    extra = labels.agg(F.count("*").cast("int").alias("idx"), F.count_if(F.col("label") == nosign).alias("n")).filter("n = 0")
+    return numbered.unionByName(extra.select("idx", F.lit(nosign).alias("label")))
 
 
 def with_label_index(clips: DataFrame, labels: DataFrame) -> DataFrame:
@@ -302,14 +303,15 @@ def class_weights(train: DataFrame, labels: DataFrame, lo: float = 0.2, hi: floa
     """Inverse-frequency weights; a class without clips gets the mean count."""
     n = train.groupBy("label").agg(F.count("*").alias("n"))
     j = labels.join(n, "label", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("double"))
-    packed = j.agg(
-        F.collect_list(F.struct("idx", "label", "n")).alias("rows"),
-        F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("n"))), F.lit(1.0)).alias("mean_n"),
-        F.count("*").alias("k"),
-        F.sum("n").alias("total"),
-        F.count_if(F.col("n") == 0).alias("zeros"),
-    )
-    flat = packed.select(F.inline("rows"), "mean_n", "k", "total", "zeros")
+    facts = j.agg(
+        F.struct(
+            F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("n"))), F.lit(1.0)).alias("mean_n"),
+            F.count("*").alias("k"),
+            F.sum("n").alias("total"),
+            F.count_if(F.col("n") == 0).alias("zeros"),
+        ).alias("f")
+    ).scalar()
+    flat = j.withColumn("f", facts).select("idx", "label", "n", "f.*")
     cnt = F.when(F.col("n") == 0, F.col("mean_n")).otherwise(F.col("n"))
     tot = F.col("total") + F.col("zeros") * F.col("mean_n")
     return flat.select("idx", "label", cnt.alias("n"), F.greatest(F.lit(lo), F.least(F.lit(hi), tot / (F.col("k") * cnt))).alias("weight"))
@@ -327,23 +329,49 @@ def min_support(manifest: DataFrame, min_per_class: int = 8, top_k: int = 0) ->
     return manifest.join(n.select("label"), "label", "left_semi")
 
 
+def level_plan(runs: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, list[int]]]:
+    """Where greedy sharding puts runs of equally large labels: (clips, first, cycle).
+
+    runs lists (clips, labels), largest clips first. Of the labels with so many clips the one with
+    number r, from first up to the next row's, goes to shard cycle[(r - first) % len(cycle)].
+
+    Each label goes to the lightest shard, the lowest on ties. Shards whose loads lie within one
+    label's clips of the lightest take turns in order of load; the turn grows when
+    their level reaches the next shard, so a run is a few cycles however many labels it has.
+    """
+    loads = [0] * n_shards
+    plan = []
+    for clips, labels in runs:
+        done = 0
+        while done < labels:
+            order = sorted(range(n_shards), key=lambda s: (loads[s], s))
+            level = loads[order[0]]
+            turn = [s for s in order if loads[s] < level + clips] if clips else order[:1]
+            rest = order[len(turn) :]
+            if clips and rest:
+                rounds = (loads[rest[0]] - level) // clips
+                n = min(labels - done, rounds * len(turn))
+            else:
+                n = labels - done
+            plan.append((clips, done, turn))
+            for i, s in enumerate(turn):
+                loads[s] += clips * (n // len(turn) + (i < n % len(turn)))
+            done += n
+    return plan
+
+
 def balanced_shards(manifest: DataFrame, n_shards: int) -> DataFrame:
-    """Greedy label sharding: biggest label first, each to the lightest shard.
+    """Greedy label sharding: biggest label first, ties by label, each to the lightest shard, the lowest on ties.
 
-    Rows are reduced to one count per label; the greedy walk itself runs over
-    that label dictionary inside one expression.
+    Labels are numbered within equal numbers of clips, in ranges; the driver only sees how many labels
+    there are of each size (n different sizes need n * n / 2 clips) and plans whole runs of them.
     """
     counts = manifest.groupBy("label").agg(F.count("*").alias("clips"))
-    packed = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("clips")).alias("neg"), "label"))).alias("a"))
-    walk = F.expr(
-        f"""aggregate(a,
-              named_struct('load', array_repeat(0L, {n_shards}), 'pick', cast(array() as array<int>)),
-              (acc, x) -> named_struct(
-                'load', transform(acc.load, (v, i) -> if(i = array_position(acc.load, array_min(acc.load)) - 1, v - x.neg, v)),
-                'pick', concat(acc.pick, array(cast(array_position(acc.load, array_min(acc.load)) - 1 as int)))))"""
-    )
-    return (
-        packed.select("a", walk.alias("w"))
-        .select(F.explode(F.arrays_zip("a", F.col("w.pick").alias("pick"))).alias("z"))
-        .select(F.col("z.a.label").alias("label"), (-F.col("z.a.neg")).alias("clips"), F.col("z.pick").alias("shard"))
-    )
+    sizes = counts.groupBy("clips").agg(F.count("*").alias("labels")).orderBy(F.desc("clips")).collect()
+    segments: dict[int, list] = {}
+    for clips, first, cycle in level_plan([(r["clips"], r["labels"]) for r in sizes], n_shards):
+        segments.setdefault(clips, []).append((first, cycle))
+    plan = manifest.sparkSession.createDataFrame(list(segments.items()), "clips bigint, segments array<struct<first:bigint,cycle:array<int>>>")
+    placed = string_ordinal(counts, "label", "_nth", ["clips"]).join(plan, "clips")
+    at = F.element_at(F.filter("segments", lambda s: s["first"] <= F.col("_nth")), -1)
+    return placed.withColumn("_at", at).select("label", "clips", F.expr("_at.cycle[cast((_nth - _at.first) % size(_at.cycle) as int)]").alias("shard"))

@@ -49,6 +49,31 @@ def global_ordinal(df: DataFrame, order: str) -> DataFrame:
     return b.join(off, "_b").withColumn("ordinal", F.row_number().over(w) + F.col("_before")).drop("_b", "_before")
 
 
+def string_buckets(df: DataFrame, key: str, buckets: int = VALUE_BUCKETS) -> DataFrame:
+    """Adds ``_b``: ranges of the (unique) strings in code-point order, of about equally many rows.
+
+    The bounds are rows of smallest hash, one fewer than buckets, so they follow the keys themselves.
+    """
+    some = df.select(F.col(key).alias("k")).where(F.col(key).isNotNull()).orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
+    bounds = some.agg(F.array_sort(F.collect_list("k")).alias("bounds")).scalar()
+    placed = df.withColumn("_bounds", bounds)
+    return placed.withColumn("_b", F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col(key))), F.lit(0))).drop("_bounds")
+
+
+def string_ordinal(df: DataFrame, key: str, output: str, within: list[str] | None = None) -> DataFrame:
+    """Adds the 0-based position of each row by the unique string ``key``, within equal values of ``within``.
+
+    Ranges are ranked on their own; a range's offset comes from the counts of the ranges before it.
+    """
+    by = within or []
+    b = string_buckets(df, key)
+    counts = b.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over((W.partitionBy(*by) if by else W.partitionBy()).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_before"))  # at most a row for each range and group
+    rank = F.row_number().over(W.partitionBy(*by, "_b").orderBy(key))
+    return b.join(offsets, [*by, "_b"]).withColumn(output, (rank - 1 + F.col("_before")).cast("bigint")).drop("_b", "_before")
+
+
 def hash_cuts(keys: DataFrame, key: str, tag: str, fracs: list[tuple[float, int]]) -> Column:
     """Hash thresholds that put exact shares of the (unique) keys below them.
 

@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -217,3 +219,35 @@ def test_orphans_and_required_folds(sixty, spark):
     M.require_train_and_test(sixty)
     with pytest.raises(ValueError):
         M.require_train_and_test(sixty.filter("split <> 'test'"))
+
+
+def _greedy(counts, n):
+    loads, out = [0] * n, {}
+    for label, clips in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        s = min(range(n), key=lambda i: (loads[i], i))
+        out[label], loads[s] = s, loads[s] + clips
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_level_plan_is_the_greedy_walk(seed):
+    r = random.Random(seed)
+    n = r.randint(1, 7)
+    counts = {f"l{i:03}": r.choice([0, 1, 1, 2, 3, 7, r.randint(1, 200)]) for i in range(r.randint(1, 120))}
+    sizes = sorted(Counter(counts.values()).items(), reverse=True)
+    plan, got = M.level_plan(sizes, n), {}
+    for clips, _ in sizes:
+        own = [(first, cycle) for c, first, cycle in plan if c == clips]
+        for k, label in enumerate(sorted(x for x, c in counts.items() if c == clips)):
+            first, cycle = [x for x in own if x[0] <= k][-1]
+            got[label] = cycle[(k - first) % len(cycle)]
+    assert got == _greedy(counts, n) and len(plan) <= len(sizes) * (n + 1)
+
+
+def test_shards_and_numbers_of_many_labels(spark):
+    r = random.Random(4)
+    counts = {f"{r.choice('aàbßZ')}{i}": r.choice([1, 1, 1, 1, 2, 5, 90]) for i in range(1500)}
+    d = spark.createDataFrame([(x,) for x, c in counts.items() for _ in range(c)], "label string")
+    assert {x["label"]: x["shard"] for x in M.balanced_shards(d, 5).collect()} == _greedy(counts, 5)
+    assert {x["label"]: x["idx"] for x in M.label_map(d).collect()} == {x: i for i, x in enumerate([*sorted(counts), L.NOSIGN])}
+    assert M.label_map(d.limit(0)).collect()[0]["idx"] == 0 and M.balanced_shards(d.limit(0), 3).count() == 0
