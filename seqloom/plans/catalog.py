@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import manifest as M
+from seqloom.operators import processed as P
 from seqloom.operators import ranking as R
 from seqloom.operators import splits as S
 from seqloom.plans import sql
+from seqloom.session import shared_dir
 from seqloom.sources import io
 from seqloom.sources import surrogates as V
 
@@ -102,6 +106,17 @@ def incremental_anti(spark, sf):
     return M.not_yet_done(_docs(spark, sf), done, "doc_id").select("doc_id", "npz")
 
 
+def incremental_load(spark, sf):
+    """Three runs into a bucketed table: a first half, everything, and the second run once more."""
+    name = f"processed_{uuid.uuid4().hex[:12]}"
+    P.processed_table(spark, name, f"{shared_dir(spark)}/{name}", "doc_id bigint, npz string", "doc_id")
+    d = _docs(spark, sf).select("doc_id", "npz")
+    P.load_run(d.filter("doc_id % 2 = 0"), name, "doc_id", "run-1")
+    for _ in range(2):
+        P.load_run(d, name, "doc_id", "run-2")
+    return spark.table(name)
+
+
 def labels_missing_in_test(spark, sf):
     d = _docs(spark, sf).withColumn("label", F.concat("label", F.lit("-"), F.col("n_frames") % 7))
     return M.labels_only_in(d)
@@ -298,6 +313,10 @@ REGISTRY = {
         incremental_anti,
         f"with {D} select doc_id, npz from docm where doc_id not in (select doc_id from labels)",
     ),
+    "incremental_load": (
+        incremental_load,
+        f"with {D} select doc_id, npz, case when doc_id % 2 = 0 then 'run-1' else 'run-2' end as run_id from docm",
+    ),
     "labels_missing_in_test": (
         labels_missing_in_test,
         f"""with {D}, x as (select label||'-'||(n_frames % 7) as label, split from docm)

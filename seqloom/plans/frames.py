@@ -28,6 +28,16 @@ def frames_round_trip(spark, sf):
     return O.long_rows(f, ["clip_id", "frame_idx", "fps", "pose_ok", "lhand_ok", "rhand_ok"], "every", 6)
 
 
+def frames_half(spark, sf):
+    """Two tagged folders of clips in half precision; the test split alone is read back."""
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex[:12]}"
+    f = V.embedding_frames(spark, sf).select("clip_id", "frame_idx", "label", "pose", "lhand", "rhand", "face")
+    for mode, tag, own in (("overwrite", "train", "label % 3 > 0"), ("append", "test", "label % 3 = 0")):
+        io.write_frames(io.with_split_tag(f.filter(own).drop("label"), tag), path, half=True, mode=mode)
+    f = io.read_frames(spark, path, "test").withColumn("every", F.concat("pose", "lhand", "rhand", "face"))
+    return O.long_rows(f, ["clip_id", "frame_idx", "split"], "every", 9)
+
+
 def keypoint_project(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("lm"))
     p = O.project_keypoints(e, "lm", "lm", 640, 480)
@@ -106,6 +116,12 @@ REGISTRY = {
         frames_round_trip,
         f"with {FRAMES} select clip_id, f::int as frame_idx, fps, pose_ok, lhand_ok, rhand_ok, j::int as dim, round(raw[(j+1)::int], 6) {Z} as v from fr, range(142) t(j)",
     ),
+    "frames_half": (
+        frames_half,
+        f"""with {FRAMES}, x as (select clip_id, f::int as frame_idx, j::int as dim, raw[(j+1)::int] as v from fr, range(142) t(j) where label % 3 = 0),
+            e as (select *, power(2.0::double, 10 - greatest(-14, floor(log2(greatest(abs(v), 1e-9))))) as scale from x)
+            select clip_id, frame_idx, 'test' as split, dim, round(sign(v) * round_even(abs(v) * scale, 0) / scale, 9) {Z} as v from e""",
+    ),
     "keypoint_project": (
         keypoint_project,
         f"""with ix as (

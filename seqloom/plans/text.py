@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import token_norm, tokens
 from seqloom.operators import gloss as G
 from seqloom.operators import scoring as C
 from seqloom.plans import scoring as S
+from seqloom.session import shared_dir
+from seqloom.sources import io
 from seqloom.sources import surrogates as V
 
 # Parts of speech given to the event types.
@@ -54,6 +58,20 @@ def wer_corpus(spark, sf):
     return G.corpus_wer(G.with_edit_ops(turn_pairs(spark, sf)))
 
 
+REPORT = "conv_id bigint, turn bigint, wer double, sub bigint, dele bigint, ins bigint"
+
+
+def wer_report(spark, sf):
+    """One evaluation report, written, and read back with its summary beside each pair."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex[:12]}.json"
+    each = G.pair_wer(G.with_edit_ops(turn_pairs(spark, sf))).withColumn("key", F.struct("conv_id", "turn"))
+    total = G.corpus_wer(each).withColumn("videos", F.lit(each.count()))
+    io.write_report(total, each.select("key", "conv_id", "turn", "wer", "sub", "dele", "ins"), "key", path)
+    summary, rows = io.read_report(spark, path, "wer double, sub bigint, dele bigint, ins bigint, ref_words bigint, videos bigint", REPORT)
+    whole = summary.select(F.struct(F.col("wer").alias("corpus_wer"), "ref_words", "videos").alias("s")).scalar()
+    return rows.withColumn("s", whole).select(*rows.columns, "s.*")
+
+
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
@@ -140,6 +158,11 @@ REGISTRY = {
         f"""with recursive {PAIRS}, {edits_sql('pr', 'conv_id, turn')} select round(sum(sub+dele+ins)/greatest(sum(n_ref), 1), 4) as wer,
             sum(sub)::bigint as sub, sum(dele)::bigint as dele, sum(ins)::bigint as ins, sum(n_ref)::bigint as ref_words from ed""",
     ),
+    "wer_report": (
+        wer_report,
+        f"""with recursive {PAIRS}, {edits_sql('pr', 'conv_id, turn')} select conv_id, turn, round((sub+dele+ins)/greatest(n_ref, 1), 3) as wer, sub::bigint as sub, dele::bigint as dele, ins::bigint as ins,
+            (select round(sum(sub+dele+ins)/greatest(sum(n_ref), 1), 4) from ed) as corpus_wer, (select sum(n_ref)::bigint from ed) as ref_words, (select count(*) from ed) as videos from ed""",
+    ),
     "threshold_sweep": (
         threshold_sweep,
         f"""with recursive {S.RUNS}, o as (select clip_id, clip_id // 20 as video, any_value(y) as y, any_value(pred) as pred, max(p) as conf from letters group by clip_id),

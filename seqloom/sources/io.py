@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +26,49 @@ def list_clips(spark: SparkSession, root: str, suffixes=VIDEO_SUFFIXES) -> DataF
     return clip_catalog(files, "path", suffixes)
 
 
-def write_frames(frames: DataFrame, path: str, partition: str | None = "split") -> None:
-    """Landmark frames as parquet, coordinates as floats."""
+def to_half(x: Column) -> Column:
+    """The binary16 number nearest to x (ties to even) as its 16 bits in a smallint; too large ones are infinite."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(F.greatest(a, F.lit(2.0**-14))))
+    # the logarithm may be off by one next to a power of two
+    e = guess + F.when(a >= F.pow(F.lit(2.0), guess + 1), 1).when((a < F.pow(F.lit(2.0), guess)) & (guess > -14), -1).otherwise(0)
+    bits = (e + 15) * 1024 + F.rint(a * F.pow(F.lit(2.0), 10 - e)) - 1024
+    bits = F.when(F.isnan(x), 32256).when(a >= 65520, 31744).otherwise(bits)
+    return F.when(x < 0, bits - 32768).otherwise(bits).cast("smallint")
+
+
+def from_half(h: Column) -> Column:
+    """The double of 16 bits of a binary16 number."""
+    bits = h.cast("int").bitwiseAND(F.lit(32767))
+    e, m = F.shiftright(bits, 10), bits.bitwiseAND(F.lit(1023))
+    v = F.when(e == 0, m * F.lit(2.0**-24)).when(e < 31, (m + 1024) * F.pow(F.lit(2.0), e - 25)).when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(h < 0, -v).otherwise(v)
+
+
+def with_split_tag(df: DataFrame, tag: str) -> DataFrame:
+    """A constant split column, as a folder of clips is tagged as a whole."""
+    return df.withColumn("split", F.lit(tag))
+
+
+def write_frames(frames: DataFrame, path: str, partition: str | None = "split", half: bool = False, mode: str = "overwrite") -> None:
+    """Landmark frames as parquet, coordinates as floats or (half) as the bits of binary16 numbers.
+
+    With a split column the files are parted by it, so readers of one split open its files alone.
+    """
     arrays = [c for c, t in frames.dtypes if t == "array<double>"]
-    out = frames.withColumns({c: F.col(c).cast("array<float>") for c in arrays})
-    w = out.write.mode("overwrite")
+    stored = lambda c: F.transform(c, to_half) if half else F.col(c).cast("array<float>")
+    out = frames.withColumns({c: stored(c) for c in arrays})
+    w = out.write.mode(mode)
     (w.partitionBy(partition) if partition and partition in frames.columns else w).parquet(path)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Landmark frames with double coordinates, of one split if named (only its files are read)."""
     f = spark.read.parquet(path)
-    arrays = [c for c, t in f.dtypes if t == "array<float>"]
-    return f.withColumns({c: F.col(c).cast("array<double>") for c in arrays})
+    if split is not None:
+        f = f.filter(F.col("split") == split)
+    back = {"array<float>": lambda c: F.col(c).cast("array<double>"), "array<smallint>": lambda c: F.transform(c, from_half)}
+    return f.withColumns({c: back[t](c) for c, t in f.dtypes if t in back})
 
 
 def with_default_points(frames: DataFrame) -> DataFrame:
@@ -77,10 +110,39 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_eval_report(summary: DataFrame, per_video: DataFrame, path: str) -> None:
-    """A report as two JSON-lines tables; neither passes through the driver."""
-    summary.write.mode("overwrite").json(f"{path}/summary")
-    per_video.write.mode("overwrite").json(f"{path}/per_video")
+def write_report(summary: DataFrame, per_video: DataFrame, key: str, path: str) -> None:
+    """One JSON document {"summary": {...}, "per_video": [...]}, written in parts.
+
+    summary has one row; per_video a row for each value of the unique ``key``, in whose order they are listed.
+    The document is the folder's part files one after the other: the tasks write stretches of
+    it, no row or task holds all videos, and the finished folder takes its name by a rename.
+    """
+    spark = summary.sparkSession
+    first = per_video.agg(F.min(key)).scalar()
+    null = F.lit(None).cast(per_video.schema[key].dataType)
+    to_json = lambda df: F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    head = summary.select(F.lit(0).alias("part"), null.alias("k"), F.concat(F.lit('{"summary": '), to_json(summary), F.lit(', "per_video": [')).alias("value"))
+    body = per_video.select(F.lit(1).alias("part"), F.col(key).alias("k"), F.concat(F.when(F.col(key) == first, "").otherwise(","), to_json(per_video)).alias("value"))
+    foot = summary.select(F.lit(2).alias("part"), null.alias("k"), F.lit("]}").alias("value"))
+    lines = head.unionByName(body).unionByName(foot).repartitionByRange("part", "k").sortWithinPartitions("part", "k")
+    draft = f"{path}._draft-{uuid.uuid4().hex[:12]}"
+    lines.select("value").write.text(draft)
+    jvm = spark.sparkContext._jvm
+    new, final = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)
+    store = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(final, True)
+    if not store.rename(new, final):
+        raise OSError(f"could not move {draft} to {path}")
+
+
+def read_report(spark: SparkSession, path: str, summary: str, per_video: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables of a report, by their schemas; each line holds one object."""
+    lines = spark.read.text(path)
+    head = lines.filter(F.col("value").startswith('{"summary": '))
+    text = F.regexp_extract("value", r'^\{"summary": (.*), "per_video": \[$', 1)
+    rows = lines.filter(~F.col("value").startswith('{"summary": ') & (F.col("value") != "]}"))
+    one = lambda df, c, schema: df.select(F.from_json(c, schema).alias("o")).select("o.*")
+    return one(head, text, summary), one(rows, F.regexp_replace("value", "^,", ""), per_video)
 
 
 def parse_lexicon(lines: DataFrame, json: str, order: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import layout as L
 from seqloom.operators import gloss as G
 from seqloom.operators import manifest as M
+from seqloom.operators import processed as P
 from seqloom.operators import ranking as R
 from seqloom.operators import splits as S
 from seqloom.sources import io
@@ -209,8 +210,6 @@ def test_frames_round_trip_and_reports(spark, tmp_path):
     for _ in range(2):
         io.append_json(spark.createDataFrame([(1.0, "A", 0.9, 0.5, 30)], io.EMISSION_SCHEMA), str(tmp_path / "log"))
     assert spark.read.schema(io.EMISSION_SCHEMA).json(str(tmp_path / "log")).count() == 2
-    io.write_eval_report(spark.range(1), spark.range(3), str(tmp_path / "r"))
-    assert spark.read.json(str(tmp_path / "r/per_video")).count() == 3
 
 
 def test_orphans_and_required_folds(sixty, spark):
@@ -251,3 +250,64 @@ def test_shards_and_numbers_of_many_labels(spark):
     assert {x["label"]: x["shard"] for x in M.balanced_shards(d, 5).collect()} == _greedy(counts, 5)
     assert {x["label"]: x["idx"] for x in M.label_map(d).collect()} == {x: i for i, x in enumerate([*sorted(counts), L.NOSIGN])}
     assert M.label_map(d.limit(0)).collect()[0]["idx"] == 0 and M.balanced_shards(d.limit(0), 3).count() == 0
+
+
+def test_report_is_one_document(spark, tmp_path):
+    path = str(tmp_path / "report.json")
+    rows = spark.createDataFrame([(i, f'a "quoted"\nname {i}', None if i % 3 else 0.5) for i in range(200)], "id long, name string, wer double")
+    for n in (200, 3, 0):
+        io.write_report(spark.createDataFrame([(0.25, n)], "wer double, n long"), rows.filter(F.col("id") < n), "id", path)
+        parts = sorted(x for x in (tmp_path / "report.json").iterdir() if x.name.startswith("part-"))
+        whole = json.loads("".join(x.read_text() for x in parts))
+        assert whole["summary"] == {"wer": 0.25, "n": n} and [v["id"] for v in whole["per_video"]] == list(range(n))
+        summary, back = io.read_report(spark, path, "wer double, n long", "id long, name string, wer double")
+        assert summary.collect() == [(0.25, n)] and sorted(back.collect()) == sorted(rows.filter(F.col("id") < n).collect())
+    assert [x.name for x in tmp_path.iterdir()] == ["report.json"]
+
+
+def test_half_precision_is_numpys(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(size=300) * 10.0 ** r.integers(-9, 6, 300), 2.0 ** np.arange(-27.0, 17), -(2.0 ** np.arange(-27.0, 17)), [0, 65504, 65519.9, 65520, 1e9, -1e9, 1 / 3, 2049, 2051, np.inf, -np.inf, 2.0**-14 - 2.0**-25]])
+    with np.errstate(over="ignore"):
+        want = v.astype(np.float16)
+    h = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, x double").withColumn("h", io.to_half(F.col("x")))
+    got = h.withColumn("y", io.from_half(F.col("h"))).orderBy("i").collect()
+    assert [g["y"] for g in got] == want.astype(float).tolist()
+    assert [g["h"] & 0x7FFF for g in got] == (want.view(np.uint16) & 0x7FFF).tolist()
+    assert np.isnan(spark.createDataFrame([(float("nan"),)], "x double").select(io.from_half(io.to_half(F.col("x")))).first()[0])
+
+
+def test_a_split_is_read_alone(spark, tmp_path):
+    f = frames(spark, {"c": person(5)})
+    for mode, tag in (("overwrite", "train"), ("append", "test")):
+        io.write_frames(io.with_split_tag(f, tag), str(tmp_path / "f"), half=True, mode=mode)
+    one = io.read_frames(spark, str(tmp_path / "f"), "test")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and one.count() == 5
+    assert np.allclose(one.orderBy("frame_idx").first()["pose"], person(5)["pose"][0].ravel(), atol=1e-3)
+    assert io.read_frames(spark, str(tmp_path / "f")).count() == 10
+
+
+def test_incremental_load(spark, tmp_path):
+    name = "processed_test"
+    P.processed_table(spark, name, str(tmp_path / "t"), "id bigint, v string", "id", 8)
+    rows = spark.range(100).select("id", F.lit("x").alias("v"))
+    P.load_run(rows.filter("id < 30"), name, "id", "a")
+    for _ in range(2):
+        P.load_run(rows, name, "id", "b")
+    P.load_run(rows.filter("id < 30"), name, "id", "a")
+    assert {(r["run_id"], r["count"]) for r in spark.table(name).groupBy("run_id").count().collect()} == {("a", 30), ("b", 70)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = P.not_in_table(spark.range(120).toDF("id"), name, "id", "c")
+        assert new.count() == 20
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(id#") and "SortMergeJoin" in plan
+        processed = plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")]
+        assert "Exchange" not in processed.split("Filter")[-1] and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table {name}")
+    P.processed_table(spark, name, str(tmp_path / "t"), "id bigint, v string", "id", 8)
+    assert spark.table(name).count() == 100
+    spark.sql(f"drop table {name}")
