@@ -32,18 +32,26 @@ ENDS = {
 }
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RAW_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
+# A tag's attributes by the standard's states: name, before the value, quoted or bare value. Nothing is tried twice, so a page is read in one pass.
+_ATTRIBUTE_SOURCE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"""
+_ATTRIBUTES = "(?:" + re.sub(r"\((?=\[\^)", "(?:", _ATTRIBUTE_SOURCE) + r")*+[\s/]*+"
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)" + _ATTRIBUTES + r"(?:>|\Z)|<([a-zA-Z][^\s/>]*+)(" + _ATTRIBUTES + r")(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(_ATTRIBUTE_SOURCE)
+_DECLARATION = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)[^;]*", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_RAW_ENDS = {name: re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I | re.A) for name in RAW}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """gone: nothing of the element takes part in the page; shown: its own text is visible."""
+
+    __slots__ = ("tag", "attributes", "children", "gone", "shown")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.gone, self.shown = False, True
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -54,9 +62,13 @@ def attributes_of(source: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The element tree; tags that authors may leave out are implied, stray end tags ignored."""
+    """The element tree; tags that authors may leave out are implied, stray end tags ignored.
+
+    As in a browser, a tag that the page ends in is no tag, and what it swallowed is not shown.
+    """
     root = Node("html", {})
     stack = [root]
+    sheets: list[str] = []
     places: dict[str, list[int]] = {}  # per tag, where its open elements stand in the stack
     at = 0
 
@@ -82,10 +94,12 @@ def parse(page: str) -> Node:
         m = _TOKEN.search(page, at)
         if not m:
             text(page[at:])
-            return root
+            break
         text(page[at : m.start()])
         at = m.end()
-        end, name = m[1], m[2] or m[4]
+        end, name = m[1], m[2]
+        if name and not m[4]:
+            break
         if end:
             end = end.lower()
             if end == "br":
@@ -101,7 +115,7 @@ def parse(page: str) -> Node:
             continue
         if not name:
             continue
-        name, source = name.lower(), m[3] or m[5] or ""
+        name, source = name.lower(), m[3]
         if name == "html":
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and name not in HEAD_ONLY:
@@ -125,6 +139,8 @@ def parse(page: str) -> Node:
             continue
         if name in RAW:
             stop = m.start() if (m := _RAW_ENDS[name].search(page, at)) else len(page)
+            if name == "style":
+                sheets.append(page[at:stop])
             if name == "textarea":
                 node.children.append(html.unescape(page[at:stop]))
             at = page.find(">", stop) + 1 or len(page)
@@ -132,16 +148,70 @@ def parse(page: str) -> Node:
         if not (source.endswith("/") and name in ("path", "circle", "rect", "line", "use", "g")):
             places.setdefault(name, []).append(len(stack))
             stack.append(node)
+    mark_visible(root, Sheet("\n".join(sheets)))
+    return root
 
 
-def hidden(node: Node) -> bool:
-    """Whether the page shows nothing of the element: by its kind, the hidden attribute or its own style."""
-    if node.tag in NEVER_SHOWN:
-        return True
-    a = node.attributes
-    if not a:
-        return node.tag == "dialog"
-    return ("hidden" in a and a["hidden"].lower() != "until-found") or ("style" in a and bool(_HIDING.search(a["style"]))) or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+class Sheet:
+    """The display and visibility that rules of style elements give by simple selectors: a tag, classes, an id, or several of them.
+
+    Rules with combinators, pseudo-classes or attributes, at-rules and linked sheets are left aside.
+    """
+
+    def __init__(self, css: str):
+        self.rules: dict[str, list[tuple]] = {}
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+        if not re.search("display|visibility", css, re.I):
+            return
+        depth = 0
+        flat = []  # only rules outside of at-rules' braces
+        for piece in re.split(r"(@[^{};]*[{;]|[{}])", css):
+            if depth:
+                depth += piece.endswith("{") - (piece == "}")
+            elif piece.startswith("@"):
+                depth = int(piece.endswith("{"))
+            else:
+                flat.append(piece)
+        for order, (selectors, body) in enumerate(_RULE.findall("".join(flat))):
+            found = declared(body)
+            for selector in selectors.split(",") if found else ():
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    tag = (m[1] or "*").lower()
+                    classes, ids = re.findall(r"\.([\w-]+)", m[2]), re.findall(r"#([\w-]+)", m[2])
+                    key = f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag
+                    self.rules.setdefault(key, []).append(((len(ids), len(classes), tag != "*", order), tag, set(classes), set(ids), found))
+
+    def of(self, node: Node) -> dict[str, str]:
+        if not self.rules:
+            return {}
+        classes, ids = set(node.attributes.get("class", "").split()), {node.attributes.get("id", "")}
+        keys = [*(f".{c}" for c in classes), *(f"#{i}" for i in ids), node.tag, "*"]
+        fit = [(rank, found) for k in keys for rank, tag, c, i, found in self.rules.get(k, ()) if tag in ("*", node.tag) and c <= classes and i <= ids]
+        out: dict[str, str] = {}
+        for _, found in sorted(fit, key=lambda x: x[0]):
+            out |= found
+        return out
+
+
+def declared(style: str) -> dict[str, str]:
+    return {k.lower(): v.lower() for k, v in _DECLARATION.findall(style)}
+
+
+def mark_visible(root: Node, sheet: Sheet) -> None:
+    """Sets gone and shown of every element: by its kind, the hidden attribute, style elements and its own style; visibility is inherited."""
+    left = [(root, True)]
+    while left:
+        node, shown = left.pop()
+        a = node.attributes
+        style = sheet.of(node)
+        if "style" in a:
+            style = style | declared(a["style"])
+        default = ("hidden" in a and a["hidden"].lower() != "until-found") or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+        node.gone = node.tag in NEVER_SHOWN or (style["display"] == "none" if "display" in style else default)
+        node.shown = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), shown)
+        if not node.gone:
+            left += [(c, node.shown) for c in node.children if isinstance(c, Node)]
 
 
 class Flow:
@@ -204,11 +274,11 @@ def lay_out(node: Node, flow: Flow) -> Generator:
     shut = node.tag == "details" and "open" not in node.attributes
     for child in node.children:
         if isinstance(child, str):
-            if not shut and not (node.tag in ("ul", "ol", "select", "dl") and not child.strip()):
+            if node.shown and not shut and not (node.tag in ("ul", "ol", "select", "dl") and not child.strip()):
                 flow.text(child)
             continue
         tag = child.tag
-        if hidden(child) or (shut and tag != "summary"):
+        if child.gone or (shut and tag != "summary"):
             continue
         if tag == "br":
             line = "".join(flow.now).rstrip(" ")
@@ -224,7 +294,7 @@ def lay_out(node: Node, flow: Flow) -> Generator:
             flow.put([x for x in "".join(_strings(child)).split("\n") if x.strip()])
         elif tag == "table":
             stray = Node("div", {})
-            stray.children = list(_stray(child))
+            stray.children, stray.shown = list(_stray(child)), child.shown
             if stray.children:
                 flow.end_line()
                 yield lay_out(stray, flow)
@@ -238,6 +308,9 @@ def lay_out(node: Node, flow: Flow) -> Generator:
                 mark, counter = f"{counter}. ", counter + 1
             else:
                 mark = "- "
+            if not child.shown:  # what is visible inside stands without a mark
+                flow.put(own.lines)
+                continue
             lines = own.lines or [""]
             flow.put([(mark + lines[0]).rstrip(), *((" " * len(mark) + x) if x else "" for x in lines[1:])])
         elif tag == "dd":
@@ -255,15 +328,16 @@ def lay_out(node: Node, flow: Flow) -> Generator:
 
 
 def _strings(node: Node) -> Iterator[str]:
-    left = node.children[::-1]
+    left = [(c, node.shown) for c in node.children[::-1]]
     while left:
-        child = left.pop()
+        child, shown = left.pop()
         if isinstance(child, str):
-            yield child
+            if shown:
+                yield child
         elif child.tag == "br":
             yield "\n"
-        elif not hidden(child):
-            left += child.children[::-1]
+        elif not child.gone:
+            left += [(c, child.shown) for c in child.children[::-1]]
 
 
 def _stray(node: Node) -> Iterator[Node | str]:
@@ -273,7 +347,7 @@ def _stray(node: Node) -> Iterator[Node | str]:
             if child.strip():
                 yield child
         elif child.tag in ("thead", "tbody", "tfoot", "tr"):
-            if not hidden(child):
+            if not child.gone:
                 yield from _stray(child)
         elif child.tag not in ("td", "th", "caption", "colgroup", "col"):
             yield child
@@ -282,7 +356,7 @@ def _stray(node: Node) -> Iterator[Node | str]:
 def _rows(node: Node, out: list[Node], captions: list[Node]) -> None:
     order = {"thead": 0, "tfoot": 2}
     for child in sorted((c for c in node.children if isinstance(c, Node)), key=lambda c: order.get(c.tag, 1)):
-        if hidden(child):
+        if child.gone:
             continue
         if child.tag == "tr":
             out.append(child)
@@ -312,7 +386,7 @@ def table_lines(table: Node) -> Generator:
         cells, column, covered = [], 0, {c for c, n in taken.items() if n > 0}
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.children:
-            if isinstance(cell, str) or cell.tag not in ("td", "th") or hidden(cell):
+            if isinstance(cell, str) or cell.tag not in ("td", "th") or cell.gone:
                 continue
             while column in covered:
                 column += 1
@@ -353,7 +427,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, flow = parse(page), Flow()
-    if not hidden(root):
+    if not root.gone:
         walk(lay_out(root, flow))
         flow.end_line()
     return "\n".join(flow.lines).strip("\n")
@@ -363,10 +437,11 @@ def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> Dat
     """A row per page: key and its visible text.
 
     Tags that may be left out are implied. Nothing is shown of scripts, styles, heads
-    and the like, or of elements hidden by attribute or by their own style. Blocks start
+    and the like, or of elements hidden by attribute, by their own style or by simple selectors of style
+    elements (see Sheet); a visible part of an invisible element is shown. Blocks start
     on new lines; paragraphs, headings, lists and tables stand apart by a blank line; list
     items are marked and indented; table cells are padded to columns; preformatted text
-    is kept. A null or empty page gives an empty text; repeated rows get a row each; an
+    is kept. A page of any length is read in one pass. A null or empty page gives an empty text; repeated rows get a row each; an
     empty table gives none; other columns are ignored.
     """
 
