@@ -8,6 +8,7 @@ from seqloom.functions import layout as L
 from seqloom.functions.rand import uniform
 from seqloom.operators import augment as A
 from seqloom.operators import frames as O
+from seqloom.operators import metric_index as MI
 from seqloom.operators import neardup as N
 from seqloom.plans import sql
 from seqloom.plans.frames_sql import FRAMES, HAND_MIN, SCALE_MIN, VELOCITY, chain, resampled
@@ -62,6 +63,11 @@ def near_dup_min_dist(spark, sf):
     return N.nearest_in_label(_clips(spark, sf), 64).select("clip_id", "label", F.round("dmin", 6).alias("dmin"))
 
 
+def near_dup_pivots(spark, sf):
+    """The same distances through the index of pivots."""
+    return MI.nearest_by_pivots(_clips(spark, sf), 64).select("clip_id", "label", F.round("dmin", 6).alias("dmin"))
+
+
 def near_dup_profile(spark, sf):
     near = N.nearest_in_label(_clips(spark, sf), 64).withColumn("cohort", F.when(F.col("label") < 5, "old").otherwise("new"))
     p = N.near_dup_profile(near, "cohort", (0.112, 0.115, 0.12))
@@ -162,6 +168,7 @@ REGISTRY = {
               step::int as step, dim::int as dim, round(v, 5) + 0.0 as v from win""",
     ),
     "near_dup_min_dist": (near_dup_min_dist, f"with {NEAR} select clip_id, label, round(dmin, 6) as dmin from nd"),
+    "near_dup_pivots": (near_dup_pivots, f"with {NEAR} select clip_id, label, round(dmin, 6) as dmin from nd"),
     "near_dup_profile": (
         near_dup_profile,
         f"""with {NEAR}, c as (select *, case when label < 5 then 'old' else 'new' end as cohort from nd)
