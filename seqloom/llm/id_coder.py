@@ -5,9 +5,12 @@ code their next id with the same model, which then learns from all of them at on
 so the arithmetic runs on whole arrays. Each lane is its own range-coder stream.
 A block starts with a fresh model and carries the crc32 of its ids and of its payload.
 
+Ids of 65,536 and more are coded as two planes of 16 bits, each with a model of its own.
+
 File: MAGIC, then blocks, then one index block. Block: 4-byte tag, header
 <n_ids, n_lanes, payload bytes, crc32 of the payload, crc32 of the ids> (5 x u4),
-payload = words per lane (u2), then the lanes' words (u4), all little-endian.
+payload = words per lane (u2), then the lanes' words (u4), all little-endian; with two
+planes the payload is <bytes of the first> (u4), then the low and the high plane's.
 """
 
 from __future__ import annotations
@@ -18,30 +21,32 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"SLIDS1\r\n"
-BLOCK, INDEX = b"BLK1", b"IDX1"
-LANES = 4096
-LANE_IDS = 256
+MAGIC = b"SLIDS2\r\n"
+BLOCK, PLANES, INDEX = b"BLK2", b"PLN2", b"IDX1"
+LANES = 8192
+LANE_IDS = 512
 BLOCK_IDS = LANES * LANE_IDS
-ID_BITS = 16
-_ALL = 1 << ID_BITS  # ids and order-0 slots
+ID_BITS = 16  # of a plane
+_ALL = 1 << ID_BITS  # values of a plane and order-0 slots
 _UNIT = 64  # shares of the three orders
-_T2_BITS = 18
+_T2_BITS = 20
 _WORD = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 class _Model:
-    """Adaptive state of one block; all arithmetic is in integers."""
+    """Adaptive state of one block; all arithmetic is in integers.
+
+    A context's entry is its predicted id times four plus the prediction's confidence.
+    """
 
     def __init__(self) -> None:
-        self.p1, self.k1 = np.zeros(_ALL, np.int32), np.zeros(_ALL, np.int32)
-        self.p2, self.k2 = np.zeros(1 << _T2_BITS, np.int32), np.zeros(1 << _T2_BITS, np.int32)
+        self.t1, self.t2 = np.zeros(_ALL, np.int32), np.zeros(1 << _T2_BITS, np.int32)
         self.outcomes = np.zeros((32, 3), np.int64)
         self.outcomes[:] = (4, 2, 2)
         self.counts = np.zeros(_ALL, np.int64)
         self.waiting: list[np.ndarray] = []
-        self.n = self.n_waiting = 0
+        self.n = self.n_waiting = self.steps = 0
         self._order0()
         self._mix()
 
@@ -71,23 +76,32 @@ class _Model:
         s2 = np.where(k2 > 0, np.clip(o[:, 0] * _UNIT // total, 1, _UNIT - 4), 0)
         s1 = np.where((k1 > 0) & ~((same == 1) & (k2 > 0)), np.clip(o[:, 1] * _UNIT // total, 1, _UNIT - 4), 0)
         s1 = np.minimum(s1, _UNIT - 2 - s2)
-        self.s2, self.s1 = s2.astype(np.uint64), s1.astype(np.uint64)
+        s0 = _UNIT - s2 - s1
+        self.bounds = np.stack([s2, s2 + s1], 1).astype(np.int32)
+        # of outcome o in state s at 3 * s + o: where its part begins, and its width (of one order-0 slot for the last)
+        self.begin = (np.stack([0 * s2, s2, s2 + s1], 1) << ID_BITS).reshape(-1).astype(np.uint64)
+        self.width = np.stack([s2 << ID_BITS, s1 << ID_BITS, s0], 1).reshape(-1).astype(np.uint64)
+        self.usable = np.stack([s2 > 0, s1 > 0], 1)
 
     def predict(self, a: np.ndarray, b: np.ndarray):
-        """For contexts (b, a), a the last id: table slot, predictions, confidences, state."""
+        """For contexts (b, a), a the last id: table slot, entries, predictions, three times the state."""
         h = ((a * 40503 + b * 30029 + (b >> 5)) ^ (a << 3)) & ((1 << _T2_BITS) - 1)
-        p2, k2, p1, k1 = self.p2[h], self.k2[h], self.p1[a], self.k1[a]
-        return h, p2, k2, p1, k1, (k2 << 3) | (k1 << 1) | (p1 == p2)
-
-    def learn(self, a: np.ndarray, seen: tuple, ids: np.ndarray, outcome: np.ndarray) -> None:
-        h, p2, k2, p1, k1, state = seen
-        for pred, conf, at, p, k in ((self.p2, self.k2, h, p2, k2), (self.p1, self.k1, a, p1, k1)):
-            k = np.where((p == ids) & (k > 0), np.minimum(k + 1, 3), k - 1)
-            new = k <= 0
-            pred[at] = np.where(new, ids, p)  # of lanes in one context the last counts
-            conf[at] = np.where(new, 1, k)
-        self.outcomes += np.bincount(state * 3 + outcome, minlength=96).reshape(32, 3)
-        self._mix()
+        e2, e1 = self.t2[h], self.t1[a]
+        p2, p1 = e2 >> 2, e1 >> 2
+        state = ((e2 & 3) << 3) | ((e1 & 3) << 1) | (p1 == p2)
+        return h, e2, e1, p2, p1, state
+
+    def learn(self, a: np.ndarray, seen: tuple, ids: np.ndarray, coded: np.ndarray) -> None:
+        """coded is three times the state plus the outcome."""
+        h, e2, e1, p2, p1, _ = seen
+        fresh = (ids << 2) | 1
+        for table, at, e, p in ((self.t2, h, e2, p2), (self.t1, a, e1, p1)):
+            k = e & 3
+            table[at] = np.where(p == ids, e + (k < 3), np.where(k > 1, e - 1, fresh))  # of lanes in one context the last counts
+        self.outcomes += np.bincount(coded, minlength=96).reshape(32, 3)
+        self.steps += 1
+        if self.steps < 16 or self.steps % 4 == 0:
+            self._mix()
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting * 4 >= self.n:
@@ -176,65 +190,85 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def encode_block(ids: np.ndarray) -> bytes:
-    """One block of at most BLOCK_IDS ids below 65,536."""
+def _encode_plane(ids: np.ndarray) -> tuple[int, bytes]:
     n = len(ids)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, out = _Model(), _Writer(lanes, steps)
-    a = b = np.zeros(lanes, np.int64)
-    for t in range(steps):
-        x = grid[:, t]
+    a = b = np.zeros(lanes, np.int32)
+    for x in grid:
         seen = model.predict(a, b)
-        _, p2, k2, p1, k1, state = seen
-        s2, s1 = model.s2[state], model.s1[state]
-        outcome = np.where((s2 > 0) & (p2 == x), 0, np.where((s1 > 0) & (p1 == x), 1, 2))
-        slot = np.where(model.f0[x] > 0, x, _ALL)
-        s0 = np.uint64(_UNIT) - s2 - s1
-        start = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, s2 << _16, ((s2 + s1) << _16) + model.c0[slot] * s0))
-        width = np.where(outcome == 0, s2 << _16, np.where(outcome == 1, s1 << _16, model.f0[slot] * s0))
+        _, _, _, p2, p1, state = seen
+        usable = model.usable[state]
+        outcome = np.where(usable[:, 0] & (p2 == x), 0, np.where(usable[:, 1] & (p1 == x), 1, 2))
+        coded = 3 * state + outcome
+        start, width = model.begin[coded], model.width[coded]
+        rest = np.flatnonzero(outcome == 2)
+        own = x[rest]
+        slot = np.where(model.f0[own] > 0, own, _ALL)
+        start[rest] += model.c0[slot] * width[rest]
+        width[rest] *= model.f0[slot]
         out.code(_EVERY, start, width, _BITS)
-        new = np.flatnonzero((outcome == 2) & (slot == _ALL))
+        new = rest[slot == _ALL]
         if len(new):
             out.code(new, x[new].astype(np.uint64), np.ones(len(new), np.uint64), ID_BITS)
-        model.learn(a, seen, x, outcome)
+        model.learn(a, seen, x, coded)
         a, b = x, a
-    payload = out.end()
-    return BLOCK + struct.pack("<5I", n, lanes, len(payload), zlib.crc32(payload), zlib.crc32(np.asarray(ids, "<u4").tobytes())) + payload
+    return lanes, out.end()
 
 
-def decode_block(n: int, lanes: int, payload: bytes) -> np.ndarray:
+def encode_block(ids: np.ndarray) -> bytes:
+    """One block of at most BLOCK_IDS ids below 2**32."""
+    ids = np.asarray(ids, "<u4")
+    if len(ids) and int(ids.max()) >= _ALL:
+        lanes, low = _encode_plane(ids & (_ALL - 1))
+        _, high = _encode_plane(ids >> ID_BITS)
+        tag, payload = PLANES, struct.pack("<I", len(low)) + low + high
+    else:
+        tag, (lanes, payload) = BLOCK, _encode_plane(ids)
+    return tag + struct.pack("<5I", len(ids), lanes, len(payload), zlib.crc32(payload), zlib.crc32(ids.tobytes())) + payload
+
+
+def _decode_plane(n: int, lanes: int, payload: bytes) -> np.ndarray:
     steps = -(-n // lanes)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     model, src = _Model(), _Reader(payload, lanes)
-    a = b = np.zeros(lanes, np.int64)
+    a = b = np.zeros(lanes, np.int32)
     for t in range(steps):
         seen = model.predict(a, b)
-        _, p2, _, p1, _, state = seen
-        s2, s1 = model.s2[state], model.s1[state]
-        s0 = np.uint64(_UNIT) - s2 - s1
+        _, _, _, p2, p1, state = seen
         v = src.peek(_EVERY, _BITS)
-        unit = v >> _16
-        outcome = np.where(unit < s2, 0, np.where(unit < s2 + s1, 1, 2))
-        rest = np.where(outcome == 2, v - ((s2 + s1) << _16), np.uint64(0)) // s0
-        slot = model.slot[rest]
-        start = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, s2 << _16, ((s2 + s1) << _16) + model.c0[slot] * s0))
-        width = np.where(outcome == 0, s2 << _16, np.where(outcome == 1, s1 << _16, model.f0[slot] * s0))
+        unit, bounds = (v >> _16).astype(np.int32), model.bounds[state]
+        outcome = (unit >= bounds[:, 0]).astype(np.int32) + (unit >= bounds[:, 1])
+        coded = 3 * state + outcome
+        start, width = model.begin[coded], model.width[coded]
+        rest = np.flatnonzero(outcome == 2)
+        slot = model.slot[(v[rest] - start[rest]) // width[rest]]
+        start[rest] += model.c0[slot] * width[rest]
+        width[rest] *= model.f0[slot]
         src.drop(_EVERY, start, width)
-        x = np.where(outcome == 0, p2, np.where(outcome == 1, p1, slot)).astype(np.int64)
-        new = np.flatnonzero((outcome == 2) & (slot == _ALL))
+        x = np.where(outcome == 0, p2, p1)
+        x[rest] = slot
+        new = rest[slot == _ALL]
         if len(new):
             raw = src.peek(new, ID_BITS)
             src.drop(new, raw, np.ones(len(new), np.uint64))
-            x[new] = raw.astype(np.int64)
+            x[new] = raw.astype(np.int32)
         grid[t] = x
-        model.learn(a, seen, x, outcome)
+        model.learn(a, seen, x, coded)
         a, b = x, a
     return grid.T.reshape(-1)[:n].astype("<u4")
 
 
+def decode_block(tag: bytes, n: int, lanes: int, payload: bytes) -> np.ndarray:
+    if tag == BLOCK:
+        return _decode_plane(n, lanes, payload)
+    (size,) = struct.unpack("<I", payload[:4])
+    return _decode_plane(n, lanes, payload[4 : 4 + size]) | (_decode_plane(n, lanes, payload[4 + size :]) << np.uint32(ID_BITS))
+
+
 def encode_index(doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """The closing block of a file: the documents' ids and lengths."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -250,15 +284,15 @@ def read_blocks(data: bytes) -> Iterator[np.ndarray | tuple[list[int | None], np
     at, view = len(MAGIC), memoryview(data)
     while True:
         tag = bytes(view[at : at + 4])
-        if tag not in (BLOCK, INDEX):
+        if tag not in (BLOCK, PLANES, INDEX):
             raise ValueError("the file ends early or is damaged")
         n, lanes, size, crc_payload, crc_ids = struct.unpack("<5I", view[at + 4 : at + 24])
         payload = view[at + 24 : at + 24 + size]
         at += 24 + size
         if zlib.crc32(payload) != crc_payload:
             raise ValueError("a block's checksum is wrong")
-        if tag == BLOCK:
-            ids = decode_block(n, lanes, payload)
+        if tag != INDEX:
+            ids = decode_block(tag, n, lanes, payload)
             if zlib.crc32(ids.tobytes()) != crc_ids:
                 raise ValueError("decoded ids differ from those written")
             yield ids

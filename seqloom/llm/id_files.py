@@ -18,7 +18,7 @@ from seqloom.llm.common import scratch, text_slices, written
 from seqloom.llm.vocab import piece_encoder, public_tokenizer
 
 END_ID = 0
-FILE_IDS = 8 * id_coder.BLOCK_IDS  # a file is closed with the document that reaches so many ids
+FILE_IDS = 2 * id_coder.BLOCK_IDS  # a file is closed with the document that reaches so many ids
 
 _FILES = "part int, roll int, name string, n_ids bigint"
 _DOCS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -75,12 +75,13 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, file_
     """Writes the ids of all documents (doc_id, text) to files in a shared folder; returns the written list of files.
 
     Files and the documents in them follow ascending doc_id (nulls first; equal
-    ids by text); each text's ids end with END_ID, so a null or empty text has that
+    ids by their texts' hashes, then by text); each text's ids end with END_ID, so a null or empty text has that
     one id. An empty table writes no file. A task that runs again replaces its own files.
     """
     path = vocabulary or public_tokenizer("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # the hash parts rows of one id as well
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return written(rows.mapInArrow(lambda b: _write_part(b, folder, path, file_ids), _FILES), "id-files")
 
 
@@ -100,9 +101,9 @@ def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
         for batch in batches:
             for base, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 *blocks, (doc_ids, lengths) = id_coder.read_blocks(content.as_buffer().to_pybytes())
-                ids = memoryview(np.concatenate([b.astype("<u2") for b in blocks]))
+                ids = memoryview(np.concatenate(blocks).view(np.uint8))
                 ends = np.cumsum(lengths)
-                crc = [zlib.crc32(np.frombuffer(ids[e - n : e], "<u2").astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist())]
+                crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -504,3 +504,11 @@ def test_piece_ids_equal_the_library_on_any_pieces():
     for _ in range(30):
         texts = [" ".join(r.choice(some + ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéAB") for _ in range(r.randint(1, 12))) + r.choice(["", ".", ",", "!?", "#$"])]) for _ in range(r.randint(0, 60))) for _ in range(10)]
         assert [list(np.frombuffer(x, "<u4")) for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_any_vocabulary_round_trip():
+    r = np.random.default_rng(3)
+    for ids in (r.integers(0, 2**32, 500), r.integers(60_000, 70_000, 5000), np.minimum(r.zipf(1.2, 20_000), 260_000)):
+        ids = ids.astype("<u4")
+        block, _ = id_coder.read_blocks(id_coder.MAGIC + id_coder.encode_block(ids) + id_coder.encode_index([1], [len(ids)]))
+        assert (block == ids).all()
