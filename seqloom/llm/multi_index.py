@@ -4,7 +4,8 @@ The two halves of the unit vectors have a codebook each; their product is a grid
 cells. A vector visits cells in order of how far it lies at least from them: in each
 half the distance to the plane that parts its own codeword from another bounds the
 move into that codeword's region. The traversal stops at the bound that reaches the
-wanted recall; what the visited cells hold is verified by exact cosines.
+wanted recall; what the visited cells hold is verified by exact cosines. A pair that
+only one of its vectors visits is credited to both.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ from seqloom.llm.common import components, drop_written, written
 COSINE = 0.98
 SAMPLE = 20_000  # vectors the codebooks are fitted on: those of smallest id hash
 PER_CELL = 64  # codewords a half = sqrt(vectors / PER_CELL)
-MAX_CODEWORDS = 512
+MAX_CODEWORDS = 2048  # cells keep PER_CELL vectors up to 268 million of one length; beyond, they grow
+LEAST_INDEXED = 512  # vectors of a length that get codebooks; fewer are one cell, compared in blocks
+MOST_INDEXED = 32  # lengths with codebooks: the commonest
 RECALL = 0.9999  # of vectors moved in a random direction to just the wanted cosine
 LEAST_REACH = 0.25  # of the squared radius, so that moves along few directions are found as well
 BLOCK = 256
@@ -47,7 +51,7 @@ def codebook(x: np.ndarray, k: int, seed: int = 7, rounds: int = 10) -> np.ndarr
 class Grid:
     """Two codebooks and the reach of the traversal."""
 
-    def __init__(self, sample: np.ndarray, k: int, cosine: float = COSINE, recall: float = RECALL):
+    def __init__(self, sample: np.ndarray, k: int, cosine: float = COSINE, recall: float | None = None):
         self.half = sample.shape[1] // 2
         self.books = [codebook(np.ascontiguousarray(part), k) for part in self._halves(sample)]
         self.gaps = [2 * np.sqrt(_distances(c, c)) for c in self.books]
@@ -61,7 +65,7 @@ class Grid:
         a, b = self.bounds(x)
         i, j = np.divmod(self.cells(moved), len(self.books[1]))
         n = np.arange(len(x))
-        self.reach = float(min(radius2, max(np.quantile(a[n, i] + b[n, j], recall), LEAST_REACH * radius2))) + 1e-12
+        self.reach = float(min(radius2, max(np.quantile(a[n, i] + b[n, j], RECALL if recall is None else recall), LEAST_REACH * radius2))) + 1e-12
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -92,12 +96,35 @@ class Grid:
         return q, np.repeat(first, n) * b.shape[1] + order[q, at]
 
 
-def _unit(data: list[bytes], width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), width)
+    def visited(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """(vectors, cells): whether each vector visits each of the cells."""
+        a, b = self.bounds(x)
+        i, j = np.divmod(cells, b.shape[1])
+        return b[:, j] <= self.reach - a[:, i]
+
+
+def _numbers(data: list[bytes], kind: str) -> np.ndarray:
+    """Stored vectors of one length in double precision, scaled so that no square overflows or vanishes."""
+    x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+    return x / np.abs(x).max(1)[:, None]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-_ASSIGNED = "node bigint, copies bigint, label string, cell bigint, vec binary"
+def _grids(groups: DataFrame, kind: str, cosine: float) -> dict[int, Grid]:
+    """A grid for each common length, from a bounded sample of its vectors."""
+    sizes = groups.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_INDEXED).orderBy(F.desc("n"), "width").limit(MOST_INDEXED).collect()
+    grids = {}
+    for width, n in sizes:
+        sample = groups.where(F.col("width") == width).select("vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+        x = _unit(_numbers([bytes(r[0]) for r in sample], kind))
+        grids[width] = Grid(x, int(np.clip(np.sqrt(n / PER_CELL), 2, min(MAX_CODEWORDS, len(x)))), cosine)
+    return grids
+
+
+_ASSIGNED = "node bigint, copies bigint, label string, width int, cell bigint, vec binary"
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -107,78 +134,88 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     `cosine` or more. n_links counts the other rows linked directly, component_id is the
     smallest vec_id that links reach, kept tells whether it is the row's own. Null or
     empty vectors, zero vectors and those with null or non-finite components link with
-    nothing, nor does a null vec_id. Repeated rows are vectors of their own. An empty table
+    nothing, nor does a null vec_id. Repeated rows are vectors of their own. Each length is
+    indexed on its own, so a very long vector costs itself alone. An empty table
     gives no row; other columns are ignored.
 
     Equal vectors are merged before the search and counted by their number. All are
-    indexed; only the codebooks come from a sample of at most SAMPLE vectors.
+    indexed; only the codebooks come from a sample of at most SAMPLE vectors a length. A cell is
+    held in blocks, and a row of the search is a pair of blocks.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sound = F.expr("vec_id is not null and label is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v <> 0)")
-    groups = written(rows.where(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
-    n, width = groups.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    all_rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    if not n:
-        return all_rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    width += width % 2
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind, element = ("<f4", "float") if single else ("<f8", "double")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
+    sound = F.expr(f"vec_id is not null and label is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < {element}('infinity')) and exists(embedding, v -> v <> 0)")
+    groups = rows.where(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
 
-    def padded(embedding: list[list[float]]) -> np.ndarray:
-        x = np.zeros((len(embedding), width))
-        for i, e in enumerate(embedding):
-            x[i, : len(e)] = e
-        return x / np.abs(x).max(1)[:, None]  # so that no square overflows or vanishes
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, pa.compute.list_value_length(lists).to_numpy()))
+            data = [flat[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int32)), pa.array(data, pa.binary())], ["node", "copies", "label", "width", "vec"])
 
-    sample = groups.select("embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
-    x = padded([r[0] for r in sample.collect()])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    grid = spark.sparkContext.broadcast(Grid(x, int(np.clip(np.sqrt(n / PER_CELL), 2, MAX_CODEWORDS)), cosine))
+    groups = written(groups, "vectors")
+    all_rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    if groups.isEmpty():
+        return all_rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    stored = written(groups.select("node", "copies", "label", "embedding").mapInArrow(packed, "node bigint, copies bigint, label string, width int, vec binary"), "packed")
+    grids = spark.sparkContext.broadcast(_grids(stored, kind, cosine))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3).to_pylist()
-            for at in range(0, batch.num_rows, 4096):
-                some = lists[at : at + 4096]
-                x = padded(some)
-                cells = grid.value.cells(x / np.linalg.norm(x, axis=1)[:, None])
-                label = [f"{len(e)} {name}" for e, name in zip(some, batch.column(2).slice(at, len(some)).to_pylist())]
-                cols = [batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(label, pa.string()), pa.array(cells), pa.array([v.tobytes() for v in x], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "copies", "label", "cell", "vec"])
-
-    assigned = written(groups.select("node", "copies", "label", "embedding").mapInArrow(assign, _ASSIGNED), "assigned")
-    sizes = assigned.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"))
-    dealt = assigned.join(sizes, ["label", "cell"]).withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as bigint))"))
-    blocks = dealt.groupBy("label", "cell", "block").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("rows")).select("label", "cell", "rows")  # about BLOCK vectors
-    blocks = written(blocks, "blocks")
+            width, data = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            cells = np.zeros(len(data), np.int64)
+            for w in set(width.tolist()) & set(grids.value):
+                own = np.flatnonzero(width == w)
+                for at in range(0, len(own), 4096):
+                    some = own[at : at + 4096]
+                    cells[some] = grids.value[w].cells(_unit(_numbers([data[i] for i in some], kind)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells), batch.column(4)], ["node", "copies", "label", "width", "cell", "vec"])
+
+    key = ["label", "width", "cell"]
+    assigned = written(stored.mapInArrow(assign, _ASSIGNED), "assigned")
+    sizes = assigned.groupBy(*key).agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as bigint)").alias("blocks"))
+    dealt = assigned.join(sizes, key).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    blocks = written(dealt.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("rows")), "blocks")  # about BLOCK vectors
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for label, w, home, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 v = rows.values
                 data = v.field("vec").to_pylist()
-                q, cell = grid.value.visits(_unit(data, width))
+                if w in grids.value:
+                    q, cell = grids.value[w].visits(_unit(_numbers(data, kind)))
+                else:
+                    q, cell = np.arange(len(data)), np.zeros(len(data), np.int64)
                 order = np.argsort(cell, kind="stable")
                 q, cell = q[order], cell[order]
                 cells, first = np.unique(cell, return_index=True)
-                node, ends = v.field("node").to_numpy(), [*first[1:], len(q)]
-                parts = [q[a:b] for a, b in zip(first, ends)]
-                cols = [pa.array([label] * len(cells), pa.string()), pa.array(cells), pa.array([node[p] for p in parts], pa.list_(pa.int64())), pa.array([b"".join([data[i] for i in p]) for p in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["label", "cell", "asking", "asked"])
+                asking = pa.ListArray.from_arrays(pa.array([*first, len(q)], pa.int32()), v.take(pa.array(q)))
+                same = [pa.array([x] * len(cells), t) for x, t in ((label, pa.string()), (w, pa.int32()), (home, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(cells), asking], ["label", "width", "home", "cell", "asking"])
 
-    asking = blocks.select("label", "rows").mapInArrow(visit, "label string, cell bigint, asking array<bigint>, asked binary")
+    member = "array<struct<node:bigint,copies:bigint,vec:binary>>"
+    asking = blocks.select(*key, "rows").mapInArrow(visit, f"label string, width int, home bigint, cell bigint, asking {member}")
+    asking = asking.join(sizes, key).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [])
-            for nodes, data, rows in zip(batch.column(0), batch.column(1), batch.column(2)):
-                a, v = nodes.values.to_numpy(), rows.values
-                b, copies = v.field("node").to_numpy(), v.field("copies").to_numpy()
-                linked = _cosines(data.as_py(), v.field("vec").to_pylist(), width) >= cosine
+            for w, home, asked, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                u, v = asked.values, rows.values
+                (a, b), (ca, cb) = ([t.field(c).to_numpy() for t in (u, v)] for c in ("node", "copies"))
+                x, y = (_numbers(t.field("vec").to_pylist(), kind) for t in (u, v))
+                linked = _cosines(x, y) >= cosine
                 linked &= a[:, None] != b[None, :]
                 i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
                 if not len(i):
                     continue
                 part = linked[np.ix_(i, j)]
+                # those of the block that visit the asking vectors' cell find the pair from there themselves
+                back = grids.value[w].visited(_unit(y[j]), np.array([home]))[:, 0] if w in grids.value else np.ones(len(j), bool)
+                missed = np.where(back, 0, ca[i] @ part)
                 left, right = a[i].copy(), b[j].copy()
                 top = np.iinfo(np.int64).max
                 while True:  # smallest node within the block's own components
@@ -187,12 +224,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     if (new_left == left).all() and (new_right == right).all():
                         break
                     left, right = new_left, new_right
-                for column, values in zip(out, ((a[i], b[j]), (part @ copies[j], np.zeros(len(j), np.int64)), (left, right))):
+                for column, values in zip(out, ((a[i], b[j]), (part @ cb[j], missed), (left, right))):
                     column.extend(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "n", "least"])
 
-    found = asking.join(blocks.select("label", "cell", "rows"), ["label", "cell"]).select("asking", "asked", "rows").mapInArrow(verify, "node bigint, n bigint, least bigint")
+    found = asking.join(blocks.select(*key, "block", "rows"), [*key, "block"]).select("width", "home", "asking", "rows").mapInArrow(verify, "node bigint, n bigint, least bigint")
     found = written(found.groupBy("node", "least").agg(F.sum("n").alias("n")), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     reached = components(found.select("node", "least"), "node", "least")
@@ -201,12 +238,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     same = F.col("sound") & (F.col("label") == F.col("g_label")) & (F.col("embedding") == F.col("g_embedding"))
     result = all_rows.join(named, same, "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     result = written(result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "near-vectors")
-    drop_written(groups, assigned, blocks, found)
+    drop_written(groups, stored, assigned, blocks, found)
     return result
 
 
-def _cosines(asked: bytes, data: list[bytes], width: int) -> np.ndarray:
-    """Cosines in double precision of the asking vectors with a block's."""
-    x = np.frombuffer(asked, np.float64).reshape(-1, width)
-    y = np.frombuffer(b"".join(data), np.float64).reshape(-1, width)
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines in double precision of all rows of x and y."""
     return (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])

@@ -204,6 +204,42 @@ def test_multi_index_equals_brute_force(spark):
     assert multi_index.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_every_length_has_its_own_index(spark, monkeypatch):
+    """Lengths with codebooks, lengths without, one huge vector; a hot label; links that one side alone would visit."""
+    monkeypatch.setattr(multi_index, "LEAST_INDEXED", 100)
+    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    monkeypatch.setattr(multi_index, "PER_CELL", 4)
+    r = np.random.default_rng(8)
+    rows = []
+    for width, n in ((8, 260), (5, 120), (1, 12), (33, 20)):
+        centres = r.normal(size=(n // 6 + 1, width))
+        rows += [(len(rows) + i, "hot" if r.random() < 0.8 else f"l{i % 2}", (centres[r.integers(0, len(centres))] + r.normal(size=width) * r.choice([0.02, 0.1])).tolist()) for i in range(n)]
+    rows += [(9000, "hot", [1.0] * 200_000), (9001, "hot", [1.0] * 199_999 + [2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in multi_index.near_vectors(frame).collect()}
+    assert got == H.neighbours_by_force(rows)
+
+
+def test_pairs_seen_from_one_side_count_for_both(spark, monkeypatch):
+    """With a reach that misses many pairs, those seen at all are credited to both vectors, once."""
+    monkeypatch.setattr(multi_index, "RECALL", 0.9)
+    monkeypatch.setattr(multi_index, "LEAST_REACH", 0.0)
+    monkeypatch.setattr(multi_index, "PER_CELL", 4)
+    kept = {}
+    monkeypatch.setattr(multi_index, "_grids", lambda *a, f=multi_index._grids: kept.setdefault("g", f(*a)))
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(60, 8))
+    x = centres[r.integers(0, 60, 900)] + r.normal(size=(900, 8)) * 0.08
+    frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {y.vec_id: y.n_links for y in multi_index.near_vectors(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    grid = kept["g"][8]
+    seen = grid.visited(unit, grid.cells(unit))
+    near = (unit @ unit.T >= 0.98) & ~np.eye(900, dtype=bool)
+    assert (near & (seen != seen.T)).any() and (near & ~(seen | seen.T)).any()
+    assert [got[i] for i in range(900)] == (near & (seen | seen.T)).sum(1).tolist()
+
+
 def test_recall_of_the_traversal(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(6000, 64))
