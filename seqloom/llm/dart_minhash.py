@@ -216,11 +216,13 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     BLOCK_BYTES, and only links come out of it.
     """
     lead = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum(F.length("set") + 64).alias("bytes")).where("least < most")
-    rows = members.join(lead, "bucket").withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(bytes / {BLOCK_BYTES}) as bigint))"))
+    rows = members.join(lead, "bucket").withColumn("n_blocks", F.expr(f"cast(ceil(bytes / {BLOCK_BYTES}) as bigint)"))
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), n_blocks)"))
     packed = F.collect_list(F.struct("node", "component", "set")).alias("rows")  # about BLOCK_BYTES
     every = rows.groupBy("bucket", "block").agg(packed)
-    rest = rows.where("component <> least").groupBy("bucket", "block").agg(packed)
-    blocks = rest.select("bucket", F.col("rows").alias("x")).join(every.select("bucket", F.col("rows").alias("y")), "bucket").select("x", "y")
+    rest = rows.where("component <> least").groupBy("bucket", "n_blocks", "block").agg(packed)
+    asking = rest.select("bucket", F.col("rows").alias("x"), F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("block"))
+    blocks = asking.join(every.select("bucket", "block", F.col("rows").alias("y")), ["bucket", "block"]).select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

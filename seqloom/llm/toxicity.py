@@ -73,7 +73,7 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most `limit` rows that may be learned from, written.
+    """(text, toxic) of at most `limit` rows that may be learned from, written: those of smallest hash of id and text.
 
     Only ids whose crc32 (of the id as text) leaves a remainder other than 2 by 4 are
     used; an id with several labels counts as toxic if one of them says so; null ids,
@@ -83,7 +83,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     known = known.where(F.crc32(F.col("_l_doc").cast("string").cast("binary")) % 4 != 2).groupBy("_l_doc").agg(F.max("_l_toxic").alias("_l_toxic"))
     known = known.orderBy(F.xxhash64("_l_doc"), "_l_doc").limit(limit)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_d_doc"), F.col("text").alias("_d_text")).where("_d_text is not null")
-    return written(rows.join(F.broadcast(known), F.col("_d_doc") == F.col("_l_doc")).select(F.col("_d_text").alias("text"), F.col("_l_toxic").alias("toxic")), "labelled")
+    rows = rows.join(F.broadcast(known), F.col("_d_doc") == F.col("_l_doc"))  # at most `limit` ids
+    few = written(rows.select("_l_doc", "_l_toxic", F.col("_d_text").alias("text"), F.xxhash64("_d_text").alias("h")), "labelled")
+    # an id may have many rows: of all rows the first by hash, found without their texts
+    rank = F.struct(F.xxhash64("_l_doc"), "_l_doc", "h")
+    last = few.select(rank.alias("rank")).orderBy("rank").limit(limit).agg(F.max("rank")).scalar()
+    some = few.where(rank <= last).dropDuplicates(["_l_doc", "h"])  # equal texts of an id once
+    return some.select("text", F.col("_l_toxic").alias("toxic"))
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
