@@ -2,7 +2,7 @@
 
 Distance is the mean absolute difference of two feature vectors. Both sides of a
 label are cut into blocks of bounded size, and a pair of blocks is one vectorised
-step, so no task grows with a label; only each test vector's minimum leaves a block.
+step, dealt out by label and block, so no task grows with a label; only each test vector's minimum leaves a block.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ BLOCK = 128  # vectors a side of a pair of blocks
 
 
 def _blocks(clips: DataFrame, fold: str) -> DataFrame:
-    """(label, vecs): each label's distinct vectors of a fold in blocks of about BLOCK."""
+    """(label, blocks, block, vecs): each label's distinct vectors of a fold in blocks of about BLOCK, and how many."""
     v = clips.filter(F.col("fold") == fold).select("label", "vec").distinct()
     size = v.groupBy("label").agg(F.count("*").alias("n"))
-    v = v.join(size, "label").withColumn("block", F.expr(f"pmod(xxhash64(vec), cast(ceil(n / {BLOCK}) as bigint))"))
-    return v.groupBy("label", "block").agg(F.collect_list("vec").alias("vecs")).drop("block")
+    v = v.join(size, "label").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)"))
+    v = v.withColumn("block", F.expr("pmod(xxhash64(vec), blocks)"))
+    return v.groupBy("label", "blocks", "block").agg(F.collect_list("vec").alias("vecs"))
 
 
 def nearest_in_label(clips: DataFrame, dims: int) -> DataFrame:
@@ -35,8 +36,10 @@ def nearest_in_label(clips: DataFrame, dims: int) -> DataFrame:
     merged on both sides first, so masses of copies cost one comparison. Every
     test vector is compared with every training vector of its label.
     """
-    tests, train = _blocks(clips, "test").withColumnRenamed("vecs", "t"), _blocks(clips, "train")
-    pairs = tests.join(train, "label").select("label", "t", "vecs")
+    tests, train = _blocks(clips, "test").select("label", F.col("vecs").alias("t")), _blocks(clips, "train")
+    # a pair of blocks is what is dealt out, so one label's pairs spread over tasks
+    asking = tests.join(train.select("label", "blocks").distinct(), "label").select("label", "t", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    pairs = asking.join(train.select("label", "block", "vecs"), ["label", "block"]).select("label", "t", "vecs")
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
