@@ -77,11 +77,10 @@ class _Model:
         s1 = np.where((k1 > 0) & ~((same == 1) & (k2 > 0)), np.clip(o[:, 1] * _UNIT // total, 1, _UNIT - 4), 0)
         s1 = np.minimum(s1, _UNIT - 2 - s2)
         s0 = _UNIT - s2 - s1
-        self.bounds = np.stack([s2, s2 + s1], 1).astype(np.int32)
+        self.first, self.second = s2.astype(np.int32), (s2 + s1).astype(np.int32)
         # of outcome o in state s at 3 * s + o: where its part begins, and its width (of one order-0 slot for the last)
         self.begin = (np.stack([0 * s2, s2, s2 + s1], 1) << ID_BITS).reshape(-1).astype(np.uint64)
         self.width = np.stack([s2 << ID_BITS, s1 << ID_BITS, s0], 1).reshape(-1).astype(np.uint64)
-        self.usable = np.stack([s2 > 0, s1 > 0], 1)
 
     def predict(self, a: np.ndarray, b: np.ndarray):
         """For contexts (b, a), a the last id: table slot, entries, predictions, three times the state."""
@@ -200,9 +199,11 @@ def _encode_plane(ids: np.ndarray) -> tuple[int, bytes]:
     a = b = np.zeros(lanes, np.int32)
     for x in grid:
         seen = model.predict(a, b)
-        _, _, _, p2, p1, state = seen
-        usable = model.usable[state]
-        outcome = np.where(usable[:, 0] & (p2 == x), 0, np.where(usable[:, 1] & (p1 == x), 1, 2))
+        _, e2, e1, _, _, state = seen
+        # an entry predicts x if it is x * 4 and a confidence of 1 to 3
+        least = (x << 2) + 1
+        hit2, hit1 = (e2 - least).view(np.uint32) < 3, (e1 - least).view(np.uint32) < 3
+        outcome = np.where(hit2, 0, 2 - hit1.astype(np.int32))
         coded = 3 * state + outcome
         start, width = model.begin[coded], model.width[coded]
         rest = np.flatnonzero(outcome == 2)
@@ -240,8 +241,8 @@ def _decode_plane(n: int, lanes: int, payload: bytes) -> np.ndarray:
         seen = model.predict(a, b)
         _, _, _, p2, p1, state = seen
         v = src.peek(_EVERY, _BITS)
-        unit, bounds = (v >> _16).astype(np.int32), model.bounds[state]
-        outcome = (unit >= bounds[:, 0]).astype(np.int32) + (unit >= bounds[:, 1])
+        unit = (v >> _16).astype(np.int32)
+        outcome = (unit >= model.first[state]).astype(np.int32) + (unit >= model.second[state])
         coded = 3 * state + outcome
         start, width = model.begin[coded], model.width[coded]
         rest = np.flatnonzero(outcome == 2)

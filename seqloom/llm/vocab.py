@@ -38,7 +38,7 @@ def pieces(text: str) -> list[str]:
 
 #: Fixed value: the pre-tokenizing pattern of byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")  # pieces of two matches at most, on which all libraries agree
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ\n]+")  # pieces that all libraries cut into the same matches: ASCII but for apostrophes, Latin letters, line ends
 
 
 def byte_letters() -> dict[str, int]:
@@ -92,8 +92,8 @@ class PieceEncoder:
         self._after_space[after_space] = True
         self._ranked = ranked_encoding(path)
         # tokens that merges of their own letters don't lead to: tiktoken would take them whole
-        ids = [(i, self._tokenizer.decode([i], skip_special_tokens=False)) for i in range(size)] if self._ranked else []
-        ids = [(i, t) for i, t in ids if _PLAIN.fullmatch(t[1:] if t[:1] == " " else "a" + t)]
+        ids = [(i, self._tokenizer.decode([i], skip_special_tokens=False)) for i in self._ranked._mergeable_ranks.values()] if self._ranked else []
+        ids = [(i, t) for i, t in ids if _PLAIN.fullmatch(t[1:] if t[:1] == " " else t)]
         self._odd = {t for (i, t), e in zip(ids, self._tokenizer.encode_batch_fast([t for _, t in ids], add_special_tokens=False)) if e.ids != [i]}
         self._cache_pieces = cache_pieces
         self._forget()
@@ -109,8 +109,9 @@ class PieceEncoder:
 
     def _ids(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of the pieces as they stand after a space."""
-        match, odd = _PLAIN.fullmatch, self._odd
-        plain = np.array([(m := match(p)) is not None and " " + m[1] not in odd and m[2] not in odd for p in wanted], bool) if self._ranked else np.zeros(len(wanted), bool)
+        plain = np.fromiter(map(_PLAIN.fullmatch, wanted), object, len(wanted)).astype(bool) if self._ranked else np.zeros(len(wanted), bool)
+        if self._odd:
+            plain &= np.fromiter((not any(t in " " + p for t in self._odd) for p in wanted), bool, len(wanted))
         out, sizes = [np.zeros(0, "<u4")] * 2, [np.zeros(0, np.int64)] * 2
         for kind in (0, 1):
             own = [p for p, k in zip(wanted, plain.tolist()) if k == kind]
@@ -140,18 +141,18 @@ class PieceEncoder:
         if len(self._number) > self._cache_pieces:
             self._forget()
         known, get = len(self._number), self._number.__getitem__
-        heads, numbers, ends = [], [], []
+        heads, numbers = [], []
         for text in texts:
             cut = pieces(text or "")
             heads.append(cut[0])
-            numbers += map(get, cut[1:])
-            ends.append(len(numbers))
+            numbers.append(np.fromiter(map(get, itertools.islice(cut, 1, None)), np.int64, len(cut) - 1))
+        ends = np.cumsum([len(x) for x in numbers])
         if len(self._number) > known:
             ids, size = self._ids(list(itertools.islice(self._number, known, None)))
             self._at = np.concatenate([self._at, len(self._flat) + np.cumsum(size) - size])
             self._size = np.concatenate([self._size, size])
             self._flat = np.concatenate([self._flat, ids])
-        of = np.array(numbers, np.int64)
+        of = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         size = self._size[of]
         data = self._flat[_ranges(self._at[of], size)].tobytes()
         stops = 4 * np.append(0, np.cumsum(size))[[0, *ends]]

@@ -548,3 +548,14 @@ def test_ids_of_any_vocabulary_round_trip():
         ids = ids.astype("<u4")
         block, _ = id_coder.read_blocks(id_coder.MAGIC + id_coder.encode_block(ids) + id_coder.encode_index([1], [len(ids)]))
         assert (block == ids).all()
+
+
+def test_piece_ids_across_line_ends():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizer("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    r = random.Random(5)
+    for _ in range(400):
+        text = "".join(r.choice(["a", "The", ".", "\n", "\n\n", " ", "  ", "é", "'s", "9", "\t", "x\ny", "<|endoftext|>", "..."]) for _ in range(r.randint(0, 25)))
+        assert np.frombuffer(piece_encoder(public_tokenizer("byte_bpe_50k.json")).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
