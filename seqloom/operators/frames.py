@@ -37,6 +37,14 @@ def project_keypoints(detections: DataFrame, pose: str, face: str, width: int, h
     return detections.withColumn("pose", F.expr(pick(pose, L.POSE_IDX))).withColumn("face", F.expr(pick(face, L.FACE_IDX)))
 
 
+def correct_aspect(frames: DataFrame, width: int, height: int, blocks: tuple[str, ...] = ("pose", "lhand", "rhand", "face")) -> DataFrame:
+    """x of all landmark blocks in height units, so that distances in wide and tall frames compare."""
+    if width == height:
+        return frames
+    ratio = f"{float(width)!r}D/{float(height)!r}D"
+    return frames.withColumns({b: F.expr(f"transform({b}, (v, i) -> if(i % 2 = 0, v * ({ratio}), v))") for b in blocks})
+
+
 def forward_fill_pose(frames: DataFrame, leading: str = "keep") -> DataFrame:
     """Adds ``pose_f``: the last detected pose; a leading gap stays raw unless
     ``leading='backfill'``."""

@@ -152,6 +152,27 @@ def label_map(spark, sf):
     return M.label_map(_docs(spark, sf))
 
 
+def label_lookup(spark, sf):
+    """Every clip's label index, and the label that the index leads back to."""
+    d, labels = _docs(spark, sf), M.label_map(_docs(spark, sf))
+    there = M.with_label_index(d.select("doc_id", "label"), labels)
+    return there.join(labels.select("idx", F.col("label").alias("back")), "idx").select("doc_id", "label", "idx", "back")
+
+
+def recording_log(spark, sf):
+    """Recordings appended to a log in two sessions, read back and summed up by signer and mode."""
+    path = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex[:12]}"
+    c = V.table(spark, sf, "conversations")
+    log = c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("file"), F.col("role").alias("prompt"), F.concat(F.lit("s"), F.col("conv_id") % 7).alias("signer"),
+        F.when(F.col("turn") % 2 == 0, "sentence").otherwise("word").alias("mode"), (F.length("text") / 16.0).alias("seconds"), "turn",
+    )
+    for session in (0, 1):
+        io.append_json(log.filter(F.col("turn") % 2 == session).drop("turn"), path)
+    back = io.read_recordings(spark, path)
+    return back.groupBy("signer", "mode", "prompt").agg(F.count_distinct("file").alias("files"), F.round(F.sum("seconds"), 3).alias("seconds"))
+
+
 def class_weights(spark, sf):
     d = _docs(spark, sf)
     return M.class_weights(d.filter("split = 'train'"), M.label_map(d)).select("idx", "label", r6("n"), r6("weight"))
@@ -349,6 +370,16 @@ REGISTRY = {
         f"""with {D}, l as (select label, 0 as x from docm union select '__NOSIGN__', 1)
             select (row_number() over (order by x, label) - 1)::int as idx, label from l""",
     ),
+    "label_lookup": (
+        label_lookup,
+        f"""with {D}, m as (select label, row_number() over (order by label) - 1 as idx from (select distinct label from docm))
+            select doc_id, docm.label, idx::int as idx, m.label as back from docm join m on m.label = docm.label""",
+    ),
+    "recording_log": (
+        recording_log,
+        """select 's' || (conv_id % 7) as signer, case when turn % 2 = 0 then 'sentence' else 'word' end as mode, role as prompt, count(distinct conv_id || '-' || turn) as files,
+            round(sum(length(text) / 16.0), 3) as seconds from conversations group by all""",
+    ),
     "class_weights": (
         class_weights,
         f"""with {D}, l as (select label, 0 as x from docm union select '__NOSIGN__', 1),

@@ -38,6 +38,18 @@ def frames_half(spark, sf):
     return O.long_rows(f, ["clip_id", "frame_idx", "split"], "every", 9)
 
 
+def aspect_correct(spark, sf):
+    """All blocks, hands included, of frames recorded 640 by 480."""
+    f = O.correct_aspect(V.embedding_frames(spark, sf), 640, 480).withColumn("every", F.concat("pose", "lhand", "rhand", "face"))
+    return O.long_rows(f, ["clip_id", "frame_idx"], "every", 6)
+
+
+def clip_slice(spark, sf):
+    """Frames 5 to 24 of every clip."""
+    f = O.slice_clip(V.embedding_frames(spark, sf), 5, 25)
+    return O.long_rows(f, ["clip_id", "frame_idx"], "lhand", 6)
+
+
 def keypoint_project(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("lm"))
     p = O.project_keypoints(e, "lm", "lm", 640, 480)
@@ -122,6 +134,14 @@ REGISTRY = {
             e as (select *, power(2.0::double, 10 - greatest(-14, floor(log2(greatest(abs(v), 1e-9))))) as scale from x)
             select clip_id, frame_idx, 'test' as split, dim, round(sign(v) * round_even(abs(v) * scale, 0) / scale, 9) {Z} as v from e""",
     ),
+    "aspect_correct": (
+        aspect_correct,
+        f"with {FRAMES} select clip_id, f::int as frame_idx, j::int as dim, round(raw[(j+1)::int] * case when j % 2 = 0 then 640.0/480.0 else 1 end, 6) {Z} as v from fr, range(142) t(j)",
+    ),
+    "clip_slice": (
+        clip_slice,
+        f"with {FRAMES} select clip_id, f::int as frame_idx, j::int as dim, round(raw[(18+j+1)::int], 6) {Z} as v from fr, range(42) t(j) where f >= 5 and f < 25",
+    ),
     "keypoint_project": (
         keypoint_project,
         f"""with ix as (

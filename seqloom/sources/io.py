@@ -96,11 +96,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """Text list: trimmed lines without blanks and # comments, in file order (``ord``)."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    """Text list: trimmed lines without blanks and # comments, in file order (``ord``: file, place in the file)."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("ord"))
     return lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select("ord", F.trim("value").alias("value"))
 
 
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """The recording log: one JSON object a clip, appended as clips are recorded."""
+    return spark.read.schema(RECORDING_SCHEMA).json(path)
+
+
 def read_reference_sentences(spark: SparkSession, path: str) -> DataFrame:
     """One gloss sequence per line, normalised tokens."""
     return read_list(spark, path).select("ord", F.transform(F.split("value", r"\s+"), token_norm).alias("ref"))

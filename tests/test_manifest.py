@@ -311,3 +311,10 @@ def test_incremental_load(spark, tmp_path):
     P.processed_table(spark, name, str(tmp_path / "t"), "id bigint, v string", "id", 8)
     assert spark.table(name).count() == 100
     spark.sql(f"drop table {name}")
+
+
+def test_lists_keep_their_order_over_files(spark, tmp_path):
+    for k, lines in enumerate((["# head", "one", "", " two "], ["three"] * 1, [f"n{i}" for i in range(500)])):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(lines) + "\n")
+    got = [r["value"] for r in io.read_list(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == ["one", "two", "three", *[f"n{i}" for i in range(500)]]
