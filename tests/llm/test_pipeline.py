@@ -41,3 +41,15 @@ def test_stages_one_by_one(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
     assert packed.select("doc_id").distinct().count() == seen.count()
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_without_rows_and_with_awkward_ones(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, rows in (("none", docs.limit(0)), ("awkward", H.awkward(spark))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        # of the awkward rows only the long text passes the quality rules
+        assert sorted({r.doc_id for r in out}) == ([] if name == "none" else [2])
