@@ -104,9 +104,9 @@ class Grid:
 
 
 def _numbers(data: list[bytes], kind: str) -> np.ndarray:
-    """Stored vectors of one length in double precision, scaled so that no square overflows or vanishes."""
+    """Stored vectors of one length in double precision; doubles are scaled so that no square overflows or vanishes, floats can't."""
     x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
-    return x / np.abs(x).max(1)[:, None]
+    return x if kind == "<f4" else x / np.abs(x).max(1)[:, None]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
