@@ -94,7 +94,9 @@ def gloss_sentence(spark, sf):
     return G.translate(event_glosses(spark, sf), G.lexicon(spark, EVENT_LEXICON), ["sentence_id"], "event_id")
 
 
-PAIRS = """tk as (select conv_id, turn, case when trim(text) = '' then [] else string_split_regex(upper(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') end as tok from conversations),
+# ß is upper-cased to SS, as in the query; DuckDB's own upper() makes it one letter. Its \s lacks the vertical tab.
+PAIRS = """tk as (select conv_id, turn, case when t = '' then [] else string_split_regex(t, '[\\s\\x0b]+') end as tok
+  from (select conv_id, turn, upper(replace(regexp_replace(text, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'), 'ß', 'ss')) as t from conversations)),
 pr as (select a.conv_id, a.turn, a.tok as ref, b.tok as hyp from tk a join tk b on b.conv_id = a.conv_id and b.turn = a.turn + 1)"""
 
 _C, _S = 1 << 40, 1 << 20

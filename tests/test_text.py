@@ -1,6 +1,8 @@
 import itertools
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,6 +10,8 @@ from hypothesis import strategies as st
 from seqloom.functions import text as X
 from seqloom.functions.text import edit_counts, token_norm
 from seqloom.operators import gloss as G
+from seqloom.plans.text import REGISTRY
+from tests.oracle import compare
 
 
 def slow_edits(ref, hyp):
@@ -53,6 +57,16 @@ def test_wer_reports(spark):
     assert (c["wer"], c["sub"], c["dele"], c["ins"], c["ref_words"]) == (0.8, 1, 2, 1, 5)
 
 
+@pytest.mark.parametrize("key", ["edit_ops", "wer_per_pair", "wer_corpus", "wer_report"])
+def test_sharp_s_and_white_space_agree_with_sql(spark, tmp_path, key):
+    texts = ["Straße 10", "STRASSE 10", "strasse", " \n", "\x0b a\x0bß ", "a SS"]
+    pd.DataFrame({"conv_id": 1, "turn": range(len(texts)), "text": texts}).to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet'")
+    ok, info = compare(spark, con, key, *REGISTRY[key], str(tmp_path))
+    assert ok, info
+
+
 def _same(words: str, pos: str, tense: str | None = None) -> dict:
     """Entries written like their gloss, in lower case without hyphens."""
     return {w: (w.lower().replace("-", " "), pos, tense) for w in words.split()}
