@@ -44,15 +44,28 @@ def _arrivals(rows, jitter):
     return rows.withColumn("arrival", F.floor((F.unix_seconds("ts") - span[0] + jitter) / step))
 
 
+STREAMS_A_SHARD = 128
+
+
+def _shards(rows, key="stream_id"):
+    """Shards of the streaming state: as many as the streams need, so that none grows with the table."""
+    return rows.agg(F.approx_count_distinct(key)).first()[0] // STREAMS_A_SHARD + 16
+
+
 def _streamed(spark, rows, live, key="stream_id"):
-    """The result of `live` over the rows, written in several micro-batches with rows swapped inside the watermark."""
+    """The result of `live(source, shards)` over the rows, which come in several micro-batches with rows swapped inside the watermark.
+
+    Each arrival is one micro-batch, however many files it has: were it cut, its later files
+    could fall behind the watermark of the first.
+    """
     run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    placed = _arrivals(rows, F.pmod(F.xxhash64("frame_idx"), F.lit(1800)))
+    placed, shards = _arrivals(rows, F.pmod(F.xxhash64("frame_idx"), F.lit(1800))), _shards(rows, key)
     for i in range(ARRIVALS):
         placed.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{run}/in")
-    live_ops.closing_rows(rows, key, "ts", -1).write.mode("append").parquet(f"{run}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{run}/in")
-    return live_ops.run_available(live(source), f"{run}/out", f"{run}/state")
+        if i == ARRIVALS - 1:
+            live_ops.closing_rows(rows, key, "ts", -1).write.mode("append").parquet(f"{run}/in")
+        out = live_ops.run_available(live(spark.readStream.schema(rows.schema).parquet(f"{run}/in"), shards), f"{run}/out", f"{run}/state")
+    return out
 
 
 def segment_stream(spark, sf):
@@ -61,14 +74,14 @@ def segment_stream(spark, sf):
     The table arrives in several micro-batches; rows up to half an hour apart swap places
     between them, inside the watermark of an hour.
     """
-    out = _streamed(spark, V.event_stream(spark, sf), lambda live: live_ops.segment_stream(live, rules=RULES))
+    out = _streamed(spark, V.event_stream(spark, sf), lambda live, n: live_ops.segment_stream(live, rules=RULES, shards=n))
     return out.select("stream_id", "frame_idx", "frame_no", "event", "seg_len")
 
 
 def rate_stream(spark, sf):
     """The rate meter from a streaming run; equals rate_ema."""
     rows = V.event_stream(spark, sf).select("stream_id", "ts", "frame_idx")
-    out = _streamed(spark, rows, lambda live: live_ops.rate_stream(live, "stream_id", ("ts", "frame_idx"))).filter("stream_id >= 0")
+    out = _streamed(spark, rows, lambda live, n: live_ops.rate_stream(live, "stream_id", ("ts", "frame_idx"), shards=n)).filter("stream_id >= 0")
     return out.select("stream_id", "frame_idx", F.round(F.when(~F.isnan("rate"), F.col("rate")), 6).alias("rate"))
 
 
@@ -84,15 +97,17 @@ def segment_flush_stream(spark, sf):
     """
     rows = V.event_stream(spark, sf)
     run = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    placed = _arrivals(rows, F.pmod(F.col("frame_idx") * 7919, F.lit(LATE_JITTER)))
+    placed, shards = _arrivals(rows, F.pmod(F.col("frame_idx") * 7919, F.lit(LATE_JITTER))), _shards(rows)
     split = live_ops.split_late(f"{run}/split", "ts", DELAY)
-    for i in range(ARRIVALS):  # one micro-batch an arrival
+    for i in range(ARRIVALS):  # one micro-batch an arrival, in both queries
         placed.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{run}/in")
         source = spark.readStream.schema(rows.schema).parquet(f"{run}/in")
         source.writeStream.foreachBatch(split).option("checkpointLocation", f"{run}/split-state").trigger(availableNow=True).start().awaitTermination()
-    live_ops.closing_rows(rows, "stream_id", "ts", -1, "20 hours").write.parquet(f"{run}/split/on_time/batch={ARRIVALS}")
-    on_time = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{run}/split/on_time")
-    out = live_ops.run_available(live_ops.segment_flush_stream(on_time, rules=RULES, idle_seconds=IDLE), f"{run}/out", f"{run}/state").filter("stream_id >= 0")
+        if i == ARRIVALS - 1:
+            live_ops.closing_rows(rows, "stream_id", "ts", -1, "20 hours").write.parquet(f"{run}/split/on_time/batch={ARRIVALS}")
+        on_time = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{run}/split/on_time")
+        events = live_ops.segment_flush_stream(on_time, rules=RULES, idle_seconds=IDLE, shards=shards)
+        out = live_ops.run_available(events, f"{run}/out", f"{run}/state").filter("stream_id >= 0")
     late = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{run}/split/late")
     late = late.select("stream_id", "frame_idx", F.lit("late").alias("event"), F.lit(0).alias("seg_len"))
     return out.select("stream_id", "frame_idx", "event", "seg_len").unionByName(late)
@@ -191,7 +206,7 @@ def sentence_digests(spark, sf):
 
 def sentence_stream(spark, sf):
     """The same from a streaming run."""
-    out = _streamed(spark, _sentence_rows(spark, sf), lambda live: live_ops.sentence_stream(live, "stream_id", ("ts", "frame_idx"))).filter("stream_id >= 0")
+    out = _streamed(spark, _sentence_rows(spark, sf), lambda live, n: live_ops.sentence_stream(live, "stream_id", ("ts", "frame_idx"), shards=n)).filter("stream_id >= 0")
     return out.select("stream_id", "frame_idx", "n_words", "n_chars", "digest", "place")
 
 

@@ -1,14 +1,20 @@
+import os
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import layout as L
 from seqloom.operators import frames as FR
 from seqloom.operators import segments as S
 from seqloom.operators.ordered_scan import Counter, ordered_scan
+from seqloom.plans.segments import REGISTRY
 from seqloom.session import shared_dir
 from seqloom.streaming import live
+from tests.oracle import rows_of
 from tests.people import person
 
 RULES = L.SegmentRules()
@@ -204,3 +210,75 @@ def test_live_frames_equal_batch_windows(spark, tmp_path):
 
 def test_checkpoint_folder_is_taken_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The small events table in as many files, and partitions, as a large one has."""
+    path = str(tmp_path_factory.mktemp("events"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(24).write.parquet(f"{path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # each file is a partition
+    yield path
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+@pytest.mark.parametrize("key", ["segment_stream", "segment_flush_stream", "rate_stream", "sentence_stream"])
+def test_streams_over_many_files(spark, many_files, key):
+    """An arrival of any number of files is one micro-batch: no file falls behind the watermark of another."""
+    fn, sql = REGISTRY[key]
+    got = fn(spark, many_files).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{many_files}/events.parquet/*.parquet'")
+    assert rows_of(got) == rows_of(con.execute(sql).df())
+
+
+@pytest.mark.parametrize("scan", [S.SegmentScan(RULES), S.RateScan()])
+def test_one_call_serves_a_shard(scan):
+    """Streams of a shard keep their own states, over calls and between them."""
+    long, double, flag = T.LongType(), T.DoubleType(), T.BooleanType()
+    fields = [("k", T.StringType()), (live.MICROS, long), ("i", long), ("energy", double), ("hands", flag), ("us", long)]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 90), live.MICROS: rng.permutation(90) * 1_000_000, "i": np.arange(90), "energy": rng.choice([5.0, 90.0], 90), "hands": True})
+    pdf["us"] = pdf[live.MICROS]
+    proc = live.ShardProcessor("k", ["ts", "i"], schema, scan, T.StructType([T.StructField("x", long), T.StructField("y", long)]))
+    proc.init(_Handle())
+    got = pd.concat([out for piece, at in ((pdf[:50], 20_000), (pdf[50:50], 30_000), (pdf[50:], 30_000), (pdf[:0], 99_000)) for out in proc._advance([piece], at)])
+    # the first 50 rows come before the watermark of 20 s, the rest after it: order holds among rows released together
+    for k, rows in got.groupby("k"):
+        assert sorted(rows["i"]) == sorted(pdf[pdf.k == k]["i"])
+        _, want = scan.run(scan.start(), {c: rows[c].to_numpy() for c in scan.columns})
+        for c, v in want.items():
+            assert rows[c].tolist() == v.tolist() or np.allclose(rows[c], v, equal_nan=True)
+
+
+class _Handle:
+    """Keyed state of one shard, in memory."""
+
+    def getListState(self, *_):
+        return _State()
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        pass
+
+
+class _State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
