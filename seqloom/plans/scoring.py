@@ -26,17 +26,24 @@ def _r(c: str, digits: int = 5):
     return F.round(c, digits).alias(c)
 
 
+_PIECE = 1 << 16  # code points counted at once
+
+
+def letter_counts(text: str, own: np.ndarray) -> np.ndarray:
+    """How often each letter occurs, a piece of the text at a time; own: each code point's place among LETTERS from 1, else 0."""
+    counts = np.zeros(len(LETTERS) + 1, np.int64)
+    for at in range(0, len(text), _PIECE):
+        codes = np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts += np.bincount(own[np.minimum(codes, 512)], minlength=len(counts))
+    return counts[1:]
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def letter_freq(text: pd.Series) -> pd.Series:
-    """Relative frequency of each letter, one pass over all texts of a batch; a null text has none."""
+    """Relative frequency of each letter; a null text has none. Memory follows a piece, not a batch or a long text."""
     own = np.zeros(513, np.int64)
     own[[ord(ch) for ch in LETTERS]] = np.arange(1, len(LETTERS) + 1)
-    texts = text.fillna("")
-    n = texts.str.len().to_numpy(np.int64)
-    codes = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), 512)
-    width = len(LETTERS) + 1
-    counts = np.bincount(np.repeat(np.arange(len(n)), n) * width + own[codes], minlength=len(n) * width).reshape(len(n), width)
-    return pd.Series(list(counts[:, 1:] / np.maximum(n, 1)[:, None]), index=text.index)
+    return pd.Series([letter_counts(t, own) / max(len(t), 1) for t in text.fillna("")], index=text.index, dtype=object)
 
 
 def letter_features(spark, sf) -> DataFrame:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from seqloom.functions import layout as L
 from seqloom.operators import evaluation as E
 from seqloom.operators import neardup as N
 from seqloom.operators import scoring as C
+from seqloom.plans.scoring import LETTERS, letter_freq
 
 SCHEMA = "clip_id int, run string, y int, pred int, prob array<double>"
 
@@ -96,3 +100,16 @@ def test_nearest_against_all_pairs(spark, spread):
         tr = vecs[(fold == "train") & (label == label[i])]
         want[int(i)] = np.abs(tr - vecs[i]).mean(axis=1).min()
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
+def test_letters_of_long_texts_take_little_memory():
+    """A batch of long texts is counted by pieces; a table over all its code points took some 40 bytes each."""
+    texts = pd.Series(["zà" * 400_000 + "\U0001f600", None, "", "abc", "ABC ü"] * 4)
+    tracemalloc.start()
+    got = letter_freq.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    for text, freq in zip(texts, got):
+        text = text or ""
+        assert list(freq) == [text.count(x) / max(len(text), 1) for x in LETTERS]
