@@ -44,3 +44,36 @@ def test_bounds_hold():
 
 def test_no_rows(spark):
     assert M.nearest_by_pivots(_clips(spark, "grid", 10).limit(0), DIMS).count() == 0
+
+
+def test_no_vector_is_sent_to_each_ring(spark):
+    """Uniform vectors ask nearly all rings of their label; each is sent once to a part of them."""
+    clips = _clips(spark, "uniform", 3000).cache()
+    clips.count()
+    sent = lambda: sum(e.totalShuffleWrite() for e in _executors(spark))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = sent()
+        assert M.nearest_by_pivots(clips, DIMS).count() > 800
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        times = (sent() - before) / (clips.count() * DIMS * 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    print("bytes through shuffles, times the vectors' own:", round(times, 1))
+    assert times < 25
+
+
+def _executors(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_parts_and_shelves_lose_no_vector(spark, monkeypatch):
+    """Rings that lie in several shelves, and parts of several shelves."""
+    clips = _clips(spark, "grid", 2000).unionByName(_clips(spark, "clustered", 2000, 2).selectExpr("clip_id + 100000 as clip_id", "label", "fold", "vec"))
+    want = {r.clip_id: r.dmin for r in N.nearest_in_label(clips, DIMS).collect()}
+    monkeypatch.setattr(M, "SHELF", 7)
+    for parts in (3, 64):
+        monkeypatch.setattr(M, "PARTS", parts)
+        assert {r.clip_id: r.dmin for r in M.nearest_by_pivots(clips, DIMS).collect()} == want
