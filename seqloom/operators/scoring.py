@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -45,13 +45,14 @@ class CentroidModel:
     def logits(self, vec: str) -> Column:
         c, scale, power = self.centroids, self.scale, self.power
 
-        @F.pandas_udf("array<double>")
-        def score(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, c.shape[1]))
+        @F.arrow_udf("array<double>")
+        def score(v: pa.Array) -> pa.Array:
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), c.shape[1])
             z = np.stack([(np.abs(x - k) ** power).sum(axis=1) for k in c], axis=1) * -scale
-            return pd.Series(list(z))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(c)), pa.array(z.reshape(-1)))
 
-        return score(F.col(vec))
+        # else Spark pushes a filter on pred or prob below and scores every row a second time
+        return score.asNondeterministic()(F.col(vec))
 
     def transform(self, df: DataFrame, vec: str = "vec") -> DataFrame:
         """Adds prob and pred (first class with the largest logit)."""

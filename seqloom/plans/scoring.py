@@ -6,6 +6,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ def _r(c: str, digits: int = 5):
 
 
 _PIECE = 1 << 16  # code points counted at once
+_SLICE = 1 << 20  # bytes of text that are Python strings at once
 
 
 def letter_counts(text: str, own: np.ndarray) -> np.ndarray:
@@ -46,6 +49,16 @@ def letter_freq(text: pd.Series) -> pd.Series:
     return pd.Series([letter_counts(t, own) / max(len(t), 1) for t in text.fillna("")], index=text.index, dtype=object)
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def letter_vectors(text: pa.Array) -> pa.Array:
+    """letter_freq of a batch, whose texts become strings a slice at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(size // _SLICE)) + 1).tolist(), len(text)]
+    found = [f for a, b in zip(edges, edges[1:]) for f in letter_freq.func(text.slice(a, b - a).to_pandas())]
+    flat = np.concatenate([np.zeros(0), *found])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * len(LETTERS)), pa.array(flat))
+
+
 def letter_features(spark, sf) -> DataFrame:
     d = V.table(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("t"))
     y = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1
@@ -53,7 +66,7 @@ def letter_features(spark, sf) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("clip_id"),
         y.cast("int").alias("y"),
-        letter_freq("t").alias("vec"),
+        letter_vectors("t").alias("vec"),
         F.when(uniform(F.col("doc_id"), "fold") < 0.3, "test").otherwise("train").alias("fold"),
         F.when(split < 0.2, "test").otherwise("train").alias("orig_split"),
     )

@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from seqloom.functions import layout as L
 from seqloom.operators import evaluation as E
 from seqloom.operators import neardup as N
 from seqloom.operators import scoring as C
-from seqloom.plans.scoring import LETTERS, letter_freq
+from seqloom.plans.scoring import LETTERS, letter_freq, letter_vectors
 
 SCHEMA = "clip_id int, run string, y int, pred int, prob array<double>"
 
@@ -113,3 +114,26 @@ def test_letters_of_long_texts_take_little_memory():
     for text, freq in zip(texts, got):
         text = text or ""
         assert list(freq) == [text.count(x) / max(len(text), 1) for x in LETTERS]
+
+
+def test_letters_of_a_batch_become_strings_by_slices():
+    texts = [("zà" * 5_000 + "\U0001f600") * (i % 3) for i in range(1_500)] + [None, "", "ABC ü", "zà" * 700_000]
+    column = pa.array(texts)
+    tracemalloc.start()
+    got = letter_vectors.func(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 < sum(len(t or "") for t in texts)
+    assert got.to_pylist() == [list(f) for f in letter_freq.func(pd.Series(texts, dtype=object))]
+    assert letter_vectors.func(column.slice(1_500, 3)).to_pylist() == got.to_pylist()[1_500:1_503]
+    assert letter_vectors.func(column.slice(0, 0)).to_pylist() == []
+
+
+def test_gate_scores_each_row_once(spark, capfd):
+    """A filter on pred or prob was pushed below the scores, which were then worked out twice."""
+    model = C.CentroidModel(np.array([[0.0, 1.0], [1.0, 0.0]]), 10.0)
+    rows = spark.createDataFrame([(1, [0.0, 0.9]), (2, [0.5, 0.5])], "clip_id int, vec array<double>").repartition(2)
+    gated = C.gate(model.transform(rows).withColumn("name", F.concat(F.lit("c"), F.col("pred").cast("string"))))
+    gated.explain()
+    assert capfd.readouterr().out.count("EvalPython") == 1
+    assert [r.clip_id for r in gated.collect()] == [1]
