@@ -6,6 +6,9 @@ half the distance to the plane that parts its own codeword from another bounds t
 move into that codeword's region. The traversal stops at the bound that reaches the
 wanted recall; what the visited cells hold is verified by exact cosines. A pair that
 only one of its vectors visits is credited to both.
+
+The cells of one codeword of the first half are a row of the grid. A vector is sent
+once to each row that it visits, with the visited cells of that row.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ LEAST_INDEXED = 512  # vectors of a length that get codebooks; fewer are one cel
 MOST_INDEXED = 32  # lengths with codebooks: the commonest
 RECALL = 0.9999  # of vectors moved in a random direction to just the wanted cosine
 LEAST_REACH = 0.25  # of the squared radius, so that moves along few directions are found as well
-BLOCK = 256
+BLOCK = 256  # vectors of a row of cells, or of a length without codebooks, that are held together
+BLOCK_BYTES = 1 << 21  # of doubles: short vectors come in larger blocks, of 16 * BLOCK at most
+TILE = 1 << 20  # cosines held at once
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -95,6 +100,9 @@ class Grid:
         q = np.repeat(rows, n)
         return q, np.repeat(first, n) * b.shape[1] + order[q, at]
 
+    def rows(self, cells: np.ndarray) -> np.ndarray:
+        """The cells' codewords of the first half."""
+        return cells // len(self.books[1])
 
     def visited(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """(vectors, cells): whether each vector visits each of the cells."""
@@ -103,28 +111,83 @@ class Grid:
         return b[:, j] <= self.reach - a[:, i]
 
 
-def _numbers(data: list[bytes], kind: str) -> np.ndarray:
-    """Stored vectors of one length in double precision; doubles are scaled so that no square overflows or vanishes, floats can't."""
-    x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
-    return x if kind == "<f4" else x / np.abs(x).max(1)[:, None]
+def _numbers(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length in double precision; doubles are scaled so that no square overflows or vanishes, floats can't."""
+    flat = vectors.flatten()
+    x = flat.to_numpy().reshape(len(vectors), -1).astype(np.float64)
+    return x if pa.types.is_float32(flat.type) else x / np.abs(x).max(1)[:, None]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _grids(groups: DataFrame, kind: str, cosine: float) -> dict[int, Grid]:
+def _grids(groups: DataFrame, cosine: float) -> dict[int, Grid]:
     """A grid for each common length, from a bounded sample of its vectors."""
     sizes = groups.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_INDEXED).orderBy(F.desc("n"), "width").limit(MOST_INDEXED).collect()
     grids = {}
     for width, n in sizes:
-        sample = groups.where(F.col("width") == width).select("vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
-        x = _unit(_numbers([bytes(r[0]) for r in sample], kind))
+        sample = groups.where(F.col("width") == width).select("embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
+        x = _unit(_numbers(sample.column(0).combine_chunks()))
         grids[width] = Grid(x, int(np.clip(np.sqrt(n / PER_CELL), 2, min(MAX_CODEWORDS, len(x)))), cosine)
     return grids
 
 
-_ASSIGNED = "node bigint, copies bigint, label string, width int, cell bigint, vec binary"
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
+    """The values cut into lists that begin at starts."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+class Members:
+    """A block of a row: its vectors in the order of their cells."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        block = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        cell = block.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.x = _numbers(block.column("embedding"))[order]
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.node, self.copies = (block.column(c).to_numpy()[order] for c in ("node", "copies"))
+        self.cells, first = np.unique(cell[order], return_index=True)
+        self.span = np.append(first, len(order))
+
+    def links(self, asking: pa.RecordBatch, grid: Grid | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, n, least) of vectors that have links to the others in the visited cells, found on either side."""
+        x = _numbers(asking.column("embedding"))
+        norm = np.linalg.norm(x, axis=1)
+        node, copies, home = (asking.column(c).to_numpy() for c in ("node", "copies", "cell"))
+        visits = asking.column("visits")
+        asked, who = visits.flatten().to_numpy(), np.repeat(np.arange(len(x)), pa.compute.list_value_length(visits).to_numpy())
+        order = np.argsort(asked, kind="stable")
+        asked, who = asked[order], who[order]
+        for k, (begin, end) in enumerate(zip(np.searchsorted(asked, self.cells), np.searchsorted(asked, self.cells, "right"))):
+            own = slice(self.span[k], self.span[k + 1])
+            y, b, cb = self.x[own], self.node[own], self.copies[own]
+            step = max(1, TILE // len(y))
+            for at in range(begin, end, step):
+                i = who[at : min(at + step, end)]
+                linked = (x[i] @ y.T) / (norm[i][:, None] * self.norm[own][None, :]) >= cosine
+                linked &= node[i][:, None] != b[None, :]
+                if not linked.any():
+                    continue
+                i, j = i[linked.any(1)], np.flatnonzero(linked.any(0))
+                part = linked[linked.any(1)][:, j]
+                # members that visit an asking vector's cell find the pair from there themselves
+                back = grid.visited(_unit(y[j]), home[i]).T if grid else np.ones(part.shape, bool)
+                left, right = _least(part, node[i], b[j])
+                yield node[i], part @ cb[j], left
+                yield b[j], copies[i] @ (part & ~back), right
+
+
+def _least(part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest node of each one's component, for linked nodes left and right."""
+    top = np.iinfo(np.int64).max
+    while True:
+        new_left = np.minimum(left, np.where(part, right[None, :], top).min(1))
+        new_right = np.minimum(right, np.where(part, new_left[:, None], top).min(0))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -139,109 +202,88 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     gives no row; other columns are ignored.
 
     Equal vectors are merged before the search and counted by their number. All are
-    indexed; only the codebooks come from a sample of at most SAMPLE vectors a length. A cell is
-    held in blocks, and a row of the search is a pair of blocks.
+    indexed; only the codebooks come from a sample of at most SAMPLE vectors a length. A
+    label's vectors in a row of the grid are held in blocks, and a task searches a block
+    for all vectors that visit its row, which pass by in batches.
     """
     spark = vectors.sparkSession
-    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
-    kind, element = ("<f4", "float") if single else ("<f8", "double")
+    element = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
-    sound = F.expr(f"vec_id is not null and label is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < {element}('infinity')) and exists(embedding, v -> v <> 0)")
+    # array_contains is null if nan isn't found and a component is null, array_min and array_max are null if there is none; lambdas take longer
+    sound = F.expr(f"""vec_id is not null and label is not null and not array_contains(embedding, {element}('nan'))
+        and array_min(embedding) > {element}('-infinity') and array_max(embedding) < {element}('infinity') and (array_min(embedding) < 0 or array_max(embedding) > 0)""")
     groups = rows.where(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, pa.compute.list_value_length(lists).to_numpy()))
-            data = [flat[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int32)), pa.array(data, pa.binary())], ["node", "copies", "label", "width", "vec"])
-
-    groups = written(groups, "vectors")
-    all_rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    groups = written(groups.withColumn("width", F.size("embedding")), "vectors")
     if groups.isEmpty():
-        return all_rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    stored = written(groups.select("node", "copies", "label", "embedding").mapInArrow(packed, "node bigint, copies bigint, label string, width int, vec binary"), "packed")
-    grids = spark.sparkContext.broadcast(_grids(stored, kind, cosine))
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    grids = spark.sparkContext.broadcast(_grids(groups, cosine))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            width, data = batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            cells = np.zeros(len(data), np.int64)
-            for w in set(width.tolist()) & set(grids.value):
-                own = np.flatnonzero(width == w)
+            width, embedding = batch.column("width").to_numpy(), batch.column("embedding")
+            row, cell = np.zeros(len(width), np.int32), np.zeros(len(width), np.int32)
+            asked = [np.empty((3, 0), np.int32)]  # vector, row, cell of all visits
+            for w in np.unique(width):
+                own, grid = np.flatnonzero(width == w), grids.value.get(int(w))
+                if grid is None:
+                    asked.append(np.stack([own, row[own], cell[own]]))
+                    continue
                 for at in range(0, len(own), 4096):
                     some = own[at : at + 4096]
-                    cells[some] = grids.value[w].cells(_unit(_numbers([data[i] for i in some], kind)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells), batch.column(4)], ["node", "copies", "label", "width", "cell", "vec"])
-
-    key = ["label", "width", "cell"]
-    assigned = written(stored.mapInArrow(assign, _ASSIGNED), "assigned")
-    sizes = assigned.groupBy(*key).agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as bigint)").alias("blocks"))
-    dealt = assigned.join(sizes, key).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    blocks = written(dealt.groupBy(*key, "block").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("rows")), "blocks")  # about BLOCK vectors
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for label, w, home, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                v = rows.values
-                data = v.field("vec").to_pylist()
-                if w in grids.value:
-                    q, cell = grids.value[w].visits(_unit(_numbers(data, kind)))
-                else:
-                    q, cell = np.arange(len(data)), np.zeros(len(data), np.int64)
-                order = np.argsort(cell, kind="stable")
-                q, cell = q[order], cell[order]
-                cells, first = np.unique(cell, return_index=True)
-                asking = pa.ListArray.from_arrays(pa.array([*first, len(q)], pa.int32()), v.take(pa.array(q)))
-                same = [pa.array([x] * len(cells), t) for x, t in ((label, pa.string()), (w, pa.int32()), (home, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(cells), asking], ["label", "width", "home", "cell", "asking"])
-
-    member = "array<struct<node:bigint,copies:bigint,vec:binary>>"
-    asking = blocks.select(*key, "rows").mapInArrow(visit, f"label string, width int, home bigint, cell bigint, asking {member}")
-    asking = asking.join(sizes, key).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    x = _unit(_numbers(embedding.take(pa.array(some))))
+                    cell[some] = grid.cells(x)
+                    row[some] = grid.rows(cell[some])
+                    q, c = grid.visits(x)
+                    asked.append(np.stack([some[q], grid.rows(c), c]))
+            asked = np.concatenate(asked, axis=1).astype(np.int32)
+            q, r, c = asked[:, np.lexsort(asked[::-1])]
+            first = np.flatnonzero((np.diff(q, prepend=-1) != 0) | (np.diff(r, prepend=-1) != 0))
+            of_row = pa.StructArray.from_arrays([pa.array(r[first]), _lists(pa.array(c), first)], ["row", "visits"])
+            asks = _lists(of_row, np.searchsorted(q[first], np.arange(len(width))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(cell), asks], [*batch.schema.names, "row", "cell", "asks"])
+
+    key = ["row", "label", "width"]
+    columns = groups.select("node", "copies", "label", "width", "embedding")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema)
+    assigned = written(columns.mapInArrow(assign, f"{kinds}, row int, cell int, asks array<struct<row:int,visits:array<int>>>"), "assigned")
+    full = f"greatest({BLOCK}, least({16 * BLOCK}, {BLOCK_BYTES} / (8 * width)))"
+    blocks = assigned.groupBy(*key).agg(F.expr(f"cast(ceil(count(1) / {full}) as int)").alias("blocks")).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    blocks = written(blocks.withColumn("id", F.monotonically_increasing_id()), "blocks")
+    vector = ["node", "copies", "cell", "embedding"]
+    members = assigned.withColumn("hash", F.xxhash64("node")).join(blocks, key).where("block = pmod(hash, blocks)")
+    members = members.select(F.expr("2 * id").alias("turn"), *vector, F.lit(None).cast("array<int>").alias("visits"))
+    asking = assigned.select("label", "width", *vector, F.inline("asks")).join(blocks, key)
+    asking = asking.select(F.expr("2 * id + 1").alias("turn"), *vector, "visits")
+    searches = members.unionByName(asking).repartition(F.expr("turn div 2")).sortWithinPartitions("turn")  # a block's members, then those who ask
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, members = None, [], None
         for batch in batches:
-            out = ([], [], [])
-            for w, home, asked, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                u, v = asked.values, rows.values
-                (a, b), (ca, cb) = ([t.field(c).to_numpy() for t in (u, v)] for c in ("node", "copies"))
-                x, y = (_numbers(t.field("vec").to_pylist(), kind) for t in (u, v))
-                linked = _cosines(x, y) >= cosine
-                linked &= a[:, None] != b[None, :]
-                i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-                if not len(i):
-                    continue
-                part = linked[np.ix_(i, j)]
-                # those of the block that visit the asking vectors' cell find the pair from there themselves
-                back = grids.value[w].visited(_unit(y[j]), np.array([home]))[:, 0] if w in grids.value else np.ones(len(j), bool)
-                missed = np.where(back, 0, ca[i] @ part)
-                left, right = a[i].copy(), b[j].copy()
-                top = np.iinfo(np.int64).max
-                while True:  # smallest node within the block's own components
-                    new_left = np.minimum(left, np.where(part, right[None, :], top).min(1))
-                    new_right = np.minimum(right, np.where(part, new_left[:, None], top).min(0))
-                    if (new_left == left).all() and (new_right == right).all():
-                        break
-                    left, right = new_left, new_right
-                for column, values in zip(out, ((a[i], b[j]), (part @ cb[j], missed), (left, right))):
-                    column.extend(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "n", "least"])
-
-    found = asking.join(blocks.select(*key, "block", "rows"), [*key, "block"]).select("width", "home", "asking", "rows").mapInArrow(verify, "node bigint, n bigint, least bigint")
+            turn, out = batch.column("turn").to_numpy(), []
+            begins = np.flatnonzero(np.diff(turn, prepend=-1))
+            for begin, end in zip(begins, [*begins[1:], len(turn)]):
+                run = batch.slice(begin, end - begin)
+                block, asks = divmod(int(turn[begin]), 2)
+                if block != held:
+                    held, parts, members = block, [], None
+                if not asks:
+                    parts.append(run)
+                elif parts:
+                    members = members or Members(parts)
+                    out.extend(members.links(run, grids.value.get(members.x.shape[1]), cosine))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "n", "least"])
+
+    found = searches.mapInArrow(search, "node bigint, n bigint, least bigint")
     found = written(found.groupBy("node", "least").agg(F.sum("n").alias("n")), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     reached = components(found.select("node", "least"), "node", "least")
     named = groups.join(counts, "node", "left").join(reached, "node", "left")
-    named = named.select(F.col("label").alias("g_label"), F.col("embedding").alias("g_embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
-    same = F.col("sound") & (F.col("label") == F.col("g_label")) & (F.col("embedding") == F.col("g_embedding"))
+    # joined on a hash and the label; whole vectors are compared by range, as an equality would be one more key to sort by
+    named = named.select(F.xxhash64("embedding").alias("g_hash"), F.col("label").alias("g_label"), F.col("embedding").alias("g_embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
+    all_rows = rows.withColumn("hash", F.xxhash64("embedding"))
+    same = F.col("vec_id").isNotNull() & (F.col("hash") == F.col("g_hash")) & (F.col("label") == F.col("g_label")) & F.col("embedding").between(F.col("g_embedding"), F.col("g_embedding"))
     result = all_rows.join(named, same, "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     result = written(result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "near-vectors")
-    drop_written(groups, stored, assigned, blocks, found)
+    drop_written(groups, assigned, blocks, found)
     return result
-
-
-def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of all rows of x and y."""
-    return (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])

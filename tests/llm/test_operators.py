@@ -240,6 +240,50 @@ def test_pairs_seen_from_one_side_count_for_both(spark, monkeypatch):
     assert [got[i] for i in range(900)] == (near & (seen | seen.T)).sum(1).tolist()
 
 
+def test_a_vector_is_sent_once_to_each_row_it_visits(spark, monkeypatch):
+    """Not once to each cell; a search takes a sorted stream of vectors, one long to sort by, and joins carry no lists of them."""
+    monkeypatch.setattr(multi_index, "PER_CELL", 4)
+    kept, plans = {}, {}
+    monkeypatch.setattr(multi_index, "_grids", lambda *a, f=multi_index._grids: kept.setdefault("g", f(*a)))
+    monkeypatch.setattr(multi_index, "drop_written", lambda *frames: None)
+
+    def written(df, name, f=multi_index.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept.setdefault(name, f(df, name))
+
+    monkeypatch.setattr(multi_index, "written", written)
+    x = np.random.default_rng(4).normal(size=(2000, 8)).astype(np.float32)
+    multi_index.near_vectors(spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>"))
+    asks = {a.node: [(k.row, k.visits) for k in a.asks] for a in kept["assigned"].select("node", "asks").collect()}
+    q, cell = kept["g"][8].visits(multi_index._unit(x.astype(float)))
+    seen = {i: set() for i in range(2000)}
+    for i, c in zip(q.tolist(), cell.tolist()):
+        seen[i].add(c)
+    assert {i: {c for _, cells in rows for c in cells} for i, rows in asks.items()} == seen
+    assert all(len({r for r, _ in rows}) == len(rows) for rows in asks.values())
+    assert sum(len(rows) for rows in asks.values()) < 0.5 * len(q)
+    assert plans["found"].count("MapInArrow") == 1 and "collect_list" not in plans["found"] and "Sort [turn#" in plans["found"]
+    final = plans["near-vectors"]
+    assert "SortMergeJoin [hash#" in final and "exists(" not in final
+
+
+def test_blocks_of_a_hot_row(spark, monkeypatch):
+    """Rows of several blocks with and without codebooks, signed zeros, null ids beside their like, repeated rows."""
+    monkeypatch.setattr(multi_index, "LEAST_INDEXED", 100)
+    monkeypatch.setattr(multi_index, "BLOCK", 8)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 0)
+    r = np.random.default_rng(6)
+    rows = [(i, "hot", (np.ones(6) + r.normal(size=6) * r.choice([0.02, 0.3])).tolist()) for i in range(300)]
+    rows += [(300 + i, f"l{i % 2}", r.normal(size=3).tolist()) for i in range(60)]
+    rows += [(400, "hot", [0.0, 1.0, 0.0]), (401, "hot", [-0.0, 2.0, 0.0]), (402, "hot", [-0.0, 1.0, -0.0])]
+    rows += [(403 + i, "hot", rows[5][2]) for i in range(20)]
+    expected = H.neighbours_by_force(rows)
+    frame = spark.createDataFrame([*rows, (None, "hot", rows[5][2])], "vec_id long, label string, embedding array<double>")
+    out = multi_index.near_vectors(frame).collect()
+    assert {x.vec_id: (x.n_links, x.component_id) for x in out} == expected | {None: (0, None)}
+    assert len(out) == len(rows) + 1 and sum(x.kept for x in out) == len({c for _, c in expected.values()})
+
+
 def test_recall_of_the_traversal(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(6000, 64))
