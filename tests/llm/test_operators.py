@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from seqloom.llm import dart_minhash, html_layout, id_coder, id_files, line_rules, multi_index, packing, prefix_free, quotations, toxicity, tree_bpe
+from seqloom.llm import common, dart_minhash, html_layout, id_coder, id_files, line_rules, multi_index, packing, prefix_free, quotations, toxicity, tree_bpe
 from seqloom.llm.common import components
 from seqloom.llm.vocab import piece_encoder, public_tokenizer
 from tests.llm import helpers as H
@@ -284,6 +284,22 @@ def test_blocks_of_a_hot_row(spark, monkeypatch):
     assert len(out) == len(rows) + 1 and sum(x.kept for x in out) == len({c for _, c in expected.values()})
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are not linked anew; a chain takes rounds; no edge gives no row."""
+    rounds = []
+    monkeypatch.setattr(common, "written", lambda df, name, f=common.written: rounds.append(name) or f(df, name))
+
+    def found(edges):
+        rounds.clear()
+        return dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect()), len(rounds)
+
+    assert found([(1, 2), (3, 1), (2, 1), (7, 8), (5, 5), (None, 4)]) == ({2: 1, 3: 1, 8: 7}, 1)
+    assert found([(9, 9), (None, 1)]) == ({}, 1)
+    chain, n = found([(i, i + 1) for i in range(40)])
+    assert chain == {i: 0 for i in range(1, 41)} and n > 1
+    assert found([(2, 1), (2, 3), (4, 3)])[0] == {2: 1, 3: 1, 4: 1}
+
+
 def test_recall_of_the_traversal(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(6000, 64))
